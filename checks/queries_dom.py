@@ -19,7 +19,7 @@ def preclean_html(spark, sf):
 
 
 def html_nodes(spark, sf):
-    return D.html_nodes(I.pages(spark, sf)).drop("token")
+    return D.html_nodes(I.pages(spark, sf))
 
 
 def drop_useless_nodes(spark, sf):
@@ -35,7 +35,7 @@ def retag_nodes(spark, sf):
 
 
 def node_measures(spark, sf):
-    return N.node_measures(I.pages(spark, sf)).drop("token", "density", "sbdi")
+    return N.node_measures(I.pages(spark, sf)).drop("density", "sbdi")
 
 
 def text_density(spark, sf):

@@ -6,44 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemine.functions.text import collapse_text, count_punctuation
-from pagemine.operators.dom import _nest, _running, _signed, clean_events
+from pagemine.operators.dom import BEGIN, END, _nest, _running, _signed, clean_events
 
 
-def measured_tree(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def measured_tree(pages: DataFrame) -> DataFrame:
     """The cleaned tree: nodes with their measures, texts and points.
 
     Every measure is the difference of a running sum between the end and the open of a
     node, so all nodes of a page cost one sorted pass however deep the page is nested.
     """
-    events = clean_events(pages, keep)
-    is_text = F.col("kind") == "text"
-    marked = events.withColumn("flat", F.when(is_text, collapse_text(F.col("token")))).withColumns(
+    marked = clean_events(pages).withColumns(
         {
             "in_link": F.sum(_signed(F.col("tag") == "a")).over(_running()),
             "in_body": F.sum(_signed(F.col("tag") == "body")).over(_running()),
         }
     )
-    opened = F.col("event") == "open"
-    filled = is_text & (F.col("flat") != "")
+    opened = F.col("event") == BEGIN
+    is_text = F.col("kind") == "text"
     totals = {
-        "pieces": F.when(filled, 1).otherwise(0),
-        "chars": F.when(filled, F.length("flat")).otherwise(0),
-        "link_chars": F.when(filled & (F.col("in_link") > 0), F.length("flat")).otherwise(0),
-        "marks": F.when(filled, count_punctuation(F.col("flat"))).otherwise(0),
+        "n_texts": F.when(is_text & (F.col("chars") > 0), 1).otherwise(0),
+        "n_chars": F.when(is_text, F.col("chars")).otherwise(0),
+        "link_chars": F.when(is_text & (F.col("in_link") > 0), F.col("chars")).otherwise(0),
+        "n_marks": F.when(is_text, F.col("marks")).otherwise(0),
         "tgi": F.when(opened, 1).otherwise(0),
         "ltgi": F.when(opened & (F.col("tag") == "a"), 1).otherwise(0),
         "p_count": F.when(opened & (F.col("tag") == "p"), 1).otherwise(0),
     }
-    nested = _nest(marked, totals, [])
     return (
-        nested.where(F.col("event") != "end")
-        .withColumn("ti", F.col("chars") + F.greatest(F.col("pieces") - 1, F.lit(0)))
+        _nest(marked, totals, [])
+        .where(F.col("event") != END)
+        .withColumn("ti", F.col("n_chars") + F.greatest(F.col("n_texts") - 1, F.lit(0)))
         .withColumn("lti", F.when(F.col("in_link") > 0, 0).otherwise(F.col("link_chars")))
         .withColumn("in_body", F.col("in_body") > 0)
         .select(
-            "page_id", *(keep or []), "kind", "seq", "end_seq", "depth", "parent_seq", "tag", "token", "flat",
-            "in_body", "ti", "lti", "tgi", "ltgi", "p_count", "marks",
+            "page_id", "kind", "seq", "end_seq", "depth", "parent_seq", "tag",
+            "in_body", "ti", "lti", "tgi", "ltgi", "p_count", F.col("n_marks").alias("marks"),
         )
     )
 
@@ -73,8 +70,7 @@ def node_measures(pages: DataFrame) -> DataFrame:
         .withColumn("density", text_density(F.col("ti"), F.col("lti"), F.col("tgi"), F.col("ltgi")))
         .withColumn("sbdi", punctuation_density(F.col("ti"), F.col("lti"), F.col("marks")))
         .select(
-            "page_id", "seq", "end_seq", "depth", "parent_seq", "tag", "token",
-            "ti", "lti", "tgi", "ltgi", "p_count", "marks", "density", "sbdi",
+            "page_id", "seq", "end_seq", "depth", "parent_seq", "tag", "ti", "lti", "tgi", "ltgi", "p_count", "marks", "density", "sbdi",
         )
     )
 

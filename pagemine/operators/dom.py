@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemine.functions.text import attribute, decode_entities
+from pagemine.functions.text import attribute, collapse_text, count_punctuation, decode_entities
 
 # Elements that never have content.
 VOID_TAGS = ["br", "img", "meta", "link", "input", "hr", "area", "source", "base", "col", "embed", "param", "track", "wbr"]
@@ -47,7 +47,7 @@ DROPPED_WHEN_EMPTY = ["section", "h1", "h2", "h3", "h4", "h5", "h6", "span"]
 REMEMBERED_TAGS = ["video", "script"]
 
 TOKEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<[^>]*\z|</?[a-z][^>]*>|<![^>]*>|<\?[^>]*>|[^<]+|<"
-OPEN, LEAF, TEXT, CLOSE = "open", "leaf", "text", "close"
+OPEN, LEAF, TEXT, CLOSE = 1, 2, 3, 4
 
 
 def preclean_html(html: Column) -> Column:
@@ -55,38 +55,59 @@ def preclean_html(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, r"(?i)</?br\b[^>]*>", ""), r"(?s)<!--.*?-->", "")
 
 
-def page_tokens(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Tokens of each page: (page_id, n_tokens, seq, kind, tag, token), seq even.
+def token_array(html: Column) -> Column:
+    """Tags, text runs, whole scripts and whole styles of a page, in order."""
+    return F.regexp_extract_all(preclean_html(html), F.lit(TOKEN), F.lit(0))
+
+
+def by_page(pages: DataFrame) -> DataFrame:
+    """The one shuffle of the extraction: whole pages by page_id, before they are cut.
 
     The number of partitions is stated because a page grows by an order of magnitude
     when it is cut, which size-based coalescing of the shuffle cannot know.
     """
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = F.regexp_extract_all(preclean_html(F.col("html")), F.lit(TOKEN), F.lit(0))
-    kept = [F.col(name) for name in keep or []]
-    rows = (
-        pages.select("page_id", "html", *kept)
-        .repartition(n, "page_id")
-        .select("page_id", *kept, cut.alias("tokens"))
-        .select("page_id", *kept, F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("at", "token"))
-    )
+    return pages.select("page_id", "html").repartition(n, "page_id")
+
+
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """One slim row per token: its kind, tag and text counts, but not its text.
+
+    Texts are looked up again by position where they are needed (`page_docs`), so that
+    the sorts below move some bytes per token only. The outer explode keeps the
+    optimizer from deriving a filter on the token array, which would cut every page a
+    second time below the shuffle.
+    """
+    rows = by_page(pages).select("page_id", token_array(F.col("html")).alias("tokens"))
+    rows = rows.select("page_id", F.size("tokens").alias("n_tokens"), F.posexplode_outer("tokens").alias("at", "token"))
     name = F.lower(F.regexp_extract("token", r"^</?([A-Za-z][A-Za-z0-9:-]*)[^>]*>", 1))
-    whole = F.lower(F.regexp_extract("token", r"(?is)^<(script|style)\b.*</(script|style)>$", 1))
-    void = F.col("tag").isin(VOID_TAGS)
+    is_tag = F.startswith("token", F.lit("<")) & (F.col("token") != "<")
     closing = F.startswith("token", F.lit("</"))
+    whole = F.lower(F.substring("token", -9, 9)).eqNullSafe("</script>") | F.lower(F.substring("token", -8, 8)).eqNullSafe("</style>")
+    void = F.col("tag").isin(VOID_TAGS)
+    is_text = F.col("kind") == TEXT
     return (
-        rows.withColumn("seq", 2 * F.col("at"))
-        .withColumn("tag", F.when(F.startswith("token", F.lit("<")), name).otherwise(""))
+        rows.withColumn("tag", F.when(is_tag, name).otherwise(""))
         .withColumn(
             "kind",
-            F.when(F.col("tag") == "", F.when((F.col("token") == "<") | ~F.startswith("token", F.lit("<")), TEXT))
+            F.when(F.col("tag") == "", F.when(~is_tag, TEXT))
             .when(void & closing, F.lit(None))
-            .when(void | (whole != ""), LEAF)
+            .when(void | (F.col("tag").isin("script", "style") & whole & ~closing), LEAF)
             .when(closing, CLOSE)
             .otherwise(OPEN),
         )
-        .where("kind is not null")
-        .drop("at")
+        .withColumn("flat", F.when(is_text, collapse_text(decode_entities(F.col("token")))).otherwise(""))
+        .withColumn("class", F.when(F.col("kind").isin(OPEN, LEAF), attribute(F.col("token"), "class")).otherwise(""))
+        .select(
+            "page_id",
+            "n_tokens",
+            (2 * F.col("at")).alias("seq"),
+            "kind",
+            "tag",
+            (F.col("tag").isin(USELESS_TAGS) | F.coalesce(F.col("class").rlike("|".join(USELESS_CLASS_WORDS)), F.lit(False))).alias("useless"),
+            F.length("flat").alias("chars"),
+            count_punctuation(F.col("flat")).alias("marks"),
+        )
     )
 
 
@@ -102,7 +123,7 @@ def _ends(tokens: DataFrame) -> DataFrame:
         .withColumn("own_end", F.lead("seq").over(by_level))
         .withColumn("before", F.lag("kind").over(by_level))
         .withColumn("own_end", F.when((F.col("kind") == OPEN) & (F.col("after") == CLOSE), F.col("own_end")))
-        .where("kind <> 'close' or before = 'open'")
+        .where((F.col("kind") != CLOSE) | (F.col("before") == OPEN))
         .drop("level", "after", "before")
     )
     # Depth counted over elements that have an end tag: an element without one ends
@@ -139,6 +160,7 @@ def _ends(tokens: DataFrame) -> DataFrame:
 
 
 EVENT_ORDER = ["seq", "rank"]
+BEGIN, END, INSIDE = 1, 2, 3
 
 
 def _running():
@@ -147,20 +169,20 @@ def _running():
 
 def _signed(flag: Column) -> Column:
     """+1 where a flagged element opens, -1 where it ends."""
-    return F.when(flag & (F.col("event") == "open"), 1).when(flag & (F.col("event") == "end"), -1).otherwise(0)
+    return F.when(flag & (F.col("event") == BEGIN), 1).when(flag & (F.col("event") == END), -1).otherwise(0)
 
 
 def _nest(events: DataFrame, totals: dict[str, Column], carried: list[str]) -> DataFrame:
     """Pair opens and ends by depth; add node, end_seq, depth, parent_seq and totals.
 
-    `events` has (page_id, seq, rank, event): 'open' and 'end' of elements, 'inside' for
+    `events` has (page_id, seq, rank, event): BEGIN and END of elements, INSIDE for
     everything without extent. At one position ends (rank 0) come before opens (rank 1).
     A total is a number per row; open rows get its sum over the rows strictly inside
     their element. End rows get the `carried` columns of their open row.
     """
     in_order = W.partitionBy("page_id").orderBy(*EVENT_ORDER)
     at_depth = W.partitionBy("page_id", "depth").orderBy(*EVENT_ORDER)
-    is_open, is_end = F.col("event") == "open", F.col("event") == "end"
+    is_open, is_end = F.col("event") == BEGIN, F.col("event") == END
     outside = {name: F.when(is_open, F.lead(f"_{name}").over(at_depth) - F.col(f"_{name}")) for name in totals}
     passed = {name: F.when(is_end, F.lag(name).over(at_depth)).otherwise(F.col(name)) for name in carried}
     return (
@@ -168,7 +190,7 @@ def _nest(events: DataFrame, totals: dict[str, Column], carried: list[str]) -> D
             {
                 "depth": F.sum(_signed(F.lit(True))).over(_running()) + F.when(is_open, 0).otherwise(1),
                 # Set on first children only; siblings get it from the row before them at their depth.
-                "opener": F.when(~is_end & (F.lag("event").over(in_order) == "open"), F.lag("seq").over(in_order)),
+                "opener": F.when(~is_end & (F.lag("event").over(in_order) == BEGIN), F.lag("seq").over(in_order)),
                 **{f"_{name}": F.sum(value).over(_running()) for name, value in totals.items()},
             }
         )
@@ -187,30 +209,26 @@ def _nest(events: DataFrame, totals: dict[str, Column], carried: list[str]) -> D
     )
 
 
-def page_events(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def page_events(pages: DataFrame) -> DataFrame:
     """The raw tree as events in page order, before any clean-up."""
-    ends = _ends(page_tokens(pages, keep))
     is_text = F.col("kind") == TEXT
-    useless_class = F.col("class").rlike("|".join(USELESS_CLASS_WORDS))
+    is_end = F.col("side") == 1
     opened = (
-        ends.withColumn("class", F.when(~is_text, attribute(F.col("token"), "class")))
-        .withColumn("useless", F.col("tag").isin(USELESS_TAGS) | F.coalesce(useless_class, F.lit(False)))
-        .withColumn("token", F.when(is_text, decode_entities(F.col("token"))).otherwise(F.col("token")))
+        _ends(page_tokens(pages))
         .withColumn("places", F.when(is_text, F.array("seq")).otherwise(F.array("seq", "end")))
-        .select("page_id", *(keep or []), "kind", "tag", "token", "useless", F.posexplode("places").alias("side", "seq"))
-        .withColumn("rank", F.when(F.col("side") == 1, 0).otherwise(1))
-        .withColumn("event", F.when(F.col("side") == 1, "end").when(F.col("kind") == TEXT, "inside").otherwise("open"))
-        .withColumn("token", F.when(F.col("side") == 0, F.col("token")))
+        .select("page_id", "kind", "tag", "useless", "chars", "marks", F.posexplode_outer("places").alias("side", "seq"))
+        .withColumn("rank", F.when(is_end, 0).otherwise(1))
+        .withColumn("event", F.when(is_end, END).when(is_text, INSIDE).otherwise(BEGIN))
         .drop("side", "kind")
     )
     counted = {
-        "elements": F.when(F.col("event") == "open", 1).otherwise(0),
-        "contents": F.when(F.col("event") == "end", 0).otherwise(1),
+        "elements": F.when(F.col("event") == BEGIN, 1).otherwise(0),
+        "contents": F.when(F.col("event") == END, 0).otherwise(1),
     }
     nested = _nest(opened, counted, ["tag", "useless"])
     at_depth = W.partitionBy("page_id", "depth").orderBy(*EVENT_ORDER)
     own = {
-        name: F.when(F.col("event") == "end", F.lag(name).over(at_depth)).otherwise(F.col(name))
+        name: F.when(F.col("event") == END, F.lag(name).over(at_depth)).otherwise(F.col(name))
         for name in ("elements", "contents")
     }
     return nested.withColumns(own)
@@ -218,26 +236,13 @@ def page_events(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def html_nodes(pages: DataFrame) -> DataFrame:
     """The raw node table: one row per element, subtree = [seq, end_seq)."""
-    raw = page_events(pages).where("event = 'open'")
-    return raw.select("page_id", "seq", "end_seq", "tag", "depth", "parent_seq", "token")
-
-
-def html_texts(pages: DataFrame) -> DataFrame:
-    """The raw text pieces with the element they stand in."""
-    raw = page_events(pages).where("event = 'inside'")
-    return raw.select("page_id", "seq", "parent_seq", F.col("token").alias("text"))
-
-
-def node_attributes(nodes: DataFrame, names: list[str]) -> DataFrame:
-    """Add the named attributes as a map, absent ones left out."""
-    entries = F.array(*[F.struct(F.lit(n).alias("key"), attribute(F.col("token"), n).alias("value")) for n in names])
-    found = F.filter(entries, lambda entry: entry["value"].isNotNull())
-    return nodes.withColumn("attrs", F.map_from_entries(found))
+    raw = page_events(pages).where(F.col("event") == BEGIN)
+    return raw.select("page_id", "seq", "end_seq", "tag", "depth", "parent_seq")
 
 
 def _flagged(events: DataFrame) -> DataFrame:
     """Mark events inside dropped subtrees and inside paragraphs."""
-    is_end = F.col("event") == "end"
+    is_end = F.col("event") == END
     shut = F.sum(_signed(F.col("useless"))).over(_running())
     return events.withColumn("dropped", shut + F.when(is_end & F.col("useless"), 1).otherwise(0)).withColumn(
         "in_p", F.sum(_signed(F.col("tag") == "p")).over(_running())
@@ -258,37 +263,37 @@ def _new_tag() -> Column:
 
 def drop_useless_nodes(pages: DataFrame) -> DataFrame:
     """Elements outside the subtrees of useless tags and useless classes."""
-    return _flagged(page_events(pages)).where("event = 'open' and dropped = 0").select("page_id", "seq", "end_seq", "tag")
+    return _flagged(page_events(pages)).where((F.col("event") == BEGIN) & (F.col("dropped") == 0)).select("page_id", "seq", "end_seq", "tag")
 
 
 def drop_empty_nodes(pages: DataFrame) -> DataFrame:
     """Elements without the headings, sections and spans that hold nothing."""
-    raw = page_events(pages).where("event = 'open'")
+    raw = page_events(pages).where(F.col("event") == BEGIN)
     return raw.where(~_is_empty()).select("page_id", "seq", "end_seq", "tag")
 
 
 def retag_nodes(pages: DataFrame) -> DataFrame:
     """Childless div and span become p; span and strong inside p are dissolved."""
-    raw = _flagged(page_events(pages)).where("event = 'open'")
+    raw = _flagged(page_events(pages)).where(F.col("event") == BEGIN)
     return raw.where(~_is_dissolved()).select("page_id", "seq", "tag", _new_tag().alias("new_tag"))
 
 
-def clean_events(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def clean_events(pages: DataFrame) -> DataFrame:
     """Events of the cleaned tree, before its intervals are measured.
 
     Remembered elements stay as points, so that videos and scripts can be looked up
     although their subtrees are dropped.
     """
-    flagged = _flagged(page_events(pages, keep))
-    is_text = F.col("event") == "inside"
-    point = (F.col("event") == "open") & F.col("tag").isin(REMEMBERED_TAGS) & (
+    flagged = _flagged(page_events(pages))
+    is_text = F.col("event") == INSIDE
+    point = (F.col("event") == BEGIN) & F.col("tag").isin(REMEMBERED_TAGS) & (
         (F.col("tag") == "video") | (F.col("dropped") == 1)
     )
     kept = (F.col("dropped") == 0) & (is_text | ~(_is_empty() | _is_dissolved()))
     return (
         flagged.where(kept | point)
         .withColumn("kind", F.when(is_text, "text").when(point, "point").otherwise("node"))
-        .withColumn("event", F.when(point, "inside").otherwise(F.col("event")))
+        .withColumn("event", F.when(point, INSIDE).otherwise(F.col("event")))
         .withColumn("tag", _new_tag())
-        .select("page_id", *(keep or []), "seq", "rank", "event", "kind", "tag", "token")
+        .select("page_id", "seq", "rank", "event", "kind", "tag", "chars", "marks")
     )

@@ -41,7 +41,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
     markup = F.regexp_replace("html", HIDDEN_MARKUP, "")
     pieces = F.split(F.regexp_replace(markup, LINK_EDGE, CUT + "$1"), CUT)
     tags = F.filter(pieces, lambda piece: piece.rlike(r"(?is)^<a(rea)?\s[^>]*\bhref\s*=[^>]*>"))
-    rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(tags).alias("pos", "piece"))
+    rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode_outer(tags).alias("pos", "piece"))
     return (
         rows.withColumn("href", attribute(F.regexp_extract("piece", r"^([^>]*>)", 1), "href"))
         .withColumn("inner", F.regexp_replace(F.regexp_extract("piece", r"(?s)^[^>]*>(.*)$", 1), r"<[^>]*>?", ""))
