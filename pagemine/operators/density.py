@@ -23,7 +23,9 @@ def measured_tree(pages: DataFrame) -> DataFrame:
     )
     opened = F.col("event") == BEGIN
     is_text = F.col("kind") == "text"
+    marked = marked.withColumn("text_at", F.sum(F.when(is_text, 1).otherwise(0)).over(_running()))
     totals = {
+        "text_count": F.when(is_text, 1).otherwise(0),
         "n_texts": F.when(is_text & (F.col("chars") > 0), 1).otherwise(0),
         "n_chars": F.when(is_text, F.col("chars")).otherwise(0),
         "link_chars": F.when(is_text & (F.col("in_link") > 0), F.col("chars")).otherwise(0),
@@ -41,6 +43,7 @@ def measured_tree(pages: DataFrame) -> DataFrame:
         .select(
             "page_id", "kind", "seq", "end_seq", "depth", "parent_seq", "tag",
             "in_body", "ti", "lti", "tgi", "ltgi", "p_count", F.col("n_marks").alias("marks"),
+            "text_at", "text_count",
         )
     )
 
