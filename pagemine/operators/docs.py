@@ -128,13 +128,13 @@ def body_text(separator: str) -> Column:
 
 
 def with_content(docs: DataFrame) -> DataFrame:
-    """Add `content`, the eligible node with the best score; first in the page on ties."""
+    """Add `content_node`, the eligible node with the best score; first in the page on ties."""
     ranked = F.transform(
         F.filter("nodes", lambda n: n["eligible"]),
         lambda n: F.struct(F.coalesce(-n["score"], F.lit(float("inf"))).alias("key"), n["seq"].alias("at")),
     )
     found = once(docs, {"_best": F.array_min(ranked)["at"]})
-    return once(found, {"content": node_at(F.col("_best"))}).drop("_best")
+    return once(found, {"content_node": node_at(F.col("_best"))}).drop("_best")
 
 
 def outer_html(node: Column) -> Column:

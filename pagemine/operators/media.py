@@ -129,17 +129,21 @@ def _containers(near: Column, source: int) -> Column:
     return F.transform(around, lambda n: F.struct(F.lit(source).alias("source"), distance(n).alias("distance"), n["seq"].alias("at")))
 
 
-def with_breadcrumb(docs: DataFrame) -> DataFrame:
+def with_breadcrumb(docs: DataFrame, configured: Column | None = None) -> DataFrame:
     """Add `channel`(xpath, value, regex) from the nearest container with links.
 
-    Looked for near the title node first, then near the content node, one ancestor
+    Looked for in the configured node, then near the title node, then near the content node, one ancestor
     further out each time. Pages without any '>' or '→' are skipped at once.
     """
     promising = F.exists("texts", lambda t: t["text"].rlike("[>→]"))
     none = F.array().cast("array<struct<source:int,distance:int,at:int>>")
+    given = none if configured is None else F.when(
+        configured.isNotNull(), F.array(F.struct(F.lit(0).alias("source"), F.lit(0).alias("distance"), configured["seq"].alias("at")))
+    ).otherwise(none)
     spots = F.when(promising, F.concat(
+        given,
         F.when(F.col("title_node").isNotNull(), _containers(F.col("title_node"), 1)).otherwise(none),
-        F.when(F.col("content").isNotNull(), _containers(F.col("content"), 2)).otherwise(none),
+        F.when(F.col("content_node").isNotNull(), _containers(F.col("content_node"), 2)).otherwise(none),
     )).otherwise(none)
     held = once(docs, {"_spots": F.sort_array(spots)})
     tried = F.transform(

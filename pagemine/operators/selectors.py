@@ -119,6 +119,11 @@ def _select(expr: Column) -> Column:
     return F.transform(F.array(seqs), lambda found: F.filter("nodes", lambda n: F.array_contains(found, n["seq"])))
 
 
+def selected(expr: Column) -> Column:
+    """Nodes a selector selects, in page order."""
+    return F.element_at(_select(expr), 1)
+
+
 def select_values(expr: Column) -> Column:
     """Values of a selector on a document: array<struct(seq, value)>, in page order."""
     nodes = F.element_at(_select(expr), 1)
