@@ -85,3 +85,34 @@ def page_edges(spark: SparkSession, sf: str) -> DataFrame:
     )
     targets = steps.select("src", ((F.col("page_id") * 7 + F.col("k")) % F.col("n")).alias("page_id"))
     return targets.join(rows.select("page_id", F.col("url").alias("dst")), "page_id").select("src", "dst")
+
+
+def rich_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """pages with a breadcrumb, a line of date, source and author, a video, images and heading ids."""
+    places = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    letters = F.translate("n_name", "_0123456789", "xabcdefghij")
+    places = places.select(F.col("n_nationkey").alias("key"), "r_name", letters.alias("place"))
+    day = F.date_add(F.lit("2019-01-01").cast("date"), F.col("page_id").cast("int"))
+    head = F.concat(
+        F.lit('<div class="crumb"><a href="/r">'), "r_name", F.lit('</a> > <a href="/n">'), "place",
+        F.lit('</a></div><article><p class="meta">'), F.date_format(day, "yyyy年M月d日"), F.lit(" 08:30 来源："), "place",
+        F.lit('！作者：张三 ，</p><video src="v'), "page_id", F.lit('.mp4"></video>'),
+    )
+    image = F.concat(F.lit('<img src="/i/'), "page_id", F.lit('.png"></p>'))
+    heading = F.concat(F.lit('<h1 id="t'), "page_id", F.lit('">'))
+    html = F.replace(F.replace(F.replace("html", F.lit("<article>"), head), F.lit("</p>"), image), F.lit("<h1>"), heading)
+    rows = pages(spark, sf).withColumn("key", F.col("page_id") % 25).join(places, "key")
+    return rows.select("page_id", "url", html.alias("html"))
+
+
+def dated_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Order times written in thirteen layouts, and one text without a date."""
+    layouts = [
+        "yyyy-MM-dd HH:mm:ss", "yyyy-M-d HH:mm", "yyyy/M/d HH:mm:ss", "yyyy年M月d日 HH:mm", "yyyy年MM月dd日", "yyyy/MM/dd", "yyyy.MM.dd",
+        "M月d日 HH:mm", "yy-MM-dd HH:mm:ss", "yyyy-MM-ddHH:mm", "yyyy-MM-ddHH:mm:ss", "yyyy-M-d", "yyyy年M月d日HH:mm:ss",
+    ]
+    kind = F.col("o_orderkey") % 14
+    text = F.when(kind == 13, "今天")
+    for at, layout in enumerate(layouts):
+        text = text.when(kind == at, F.date_format(order_clock(), layout))
+    return table(spark, sf, "orders").select("o_orderkey", text.alias("text"))
