@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import inputs as I
 from pagemine.functions import urls as U
 from pagemine.functions.dates import normalize_date as normalize
-from pagemine.functions.skew import once
+from pagemine.functions.bind import once
 from pagemine.operators import docs as C
 from pagemine.operators import fields as X
 from pagemine.operators import media as V

@@ -143,6 +143,13 @@ STAMPS = """
 stamps as (
   select o_orderkey, o_orderkey % 14 as kind, o_orderdate + to_seconds(o_orderkey % 86400) as stamp from orders
 ),
+glued as (
+  -- without a blank, two digits that can be a day are read as one: 302:51 is the 30th, 2:51
+  select *, case when day(stamp) < 10 and cast(day(stamp) || left(strftime(stamp, '%H'), 1) as int) between 10 and 31
+                 then day(stamp) || left(strftime(stamp, '%H'), 1) || ' ' || right(strftime(stamp, '%H'), 1)
+                 else day(stamp) || ' ' || strftime(stamp, '%H') end as day_hour
+  from stamps
+),
 dated as (
   select *, case kind
     when 0 then strftime(stamp, '%Y-%m-%d %H:%M:%S') when 1 then strftime(stamp, '%Y-%-m-%-d %H:%M') when 2 then strftime(stamp, '%Y/%-m/%-d %H:%M:%S')
@@ -150,9 +157,10 @@ dated as (
     when 6 then strftime(stamp, '%Y.%m.%d') when 7 then strftime(stamp, '%-m月%-d日 %H:%M') when 8 then strftime(stamp, '%y-%m-%d %H:%M:%S')
     when 9 then strftime(stamp, '%Y-%m-%d%H:%M') when 10 then strftime(stamp, '%Y-%m-%d%H:%M:%S') when 11 then strftime(stamp, '%Y-%-m-%-d')
     when 12 then strftime(stamp, '%Y年%-m月%-d日%H:%M:%S') else '今天' end as text,
-    case when kind in (0, 2, 10, 12) then strftime(stamp, '%Y-%m-%d %H:%M:%S') when kind in (1, 3, 9) then strftime(stamp, '%Y-%m-%d %H:%M:00')
+    case when kind = 12 then strftime(try_strptime(strftime(stamp, '%Y-%m-') || day_hour || strftime(stamp, ':%M:%S'), '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S')
+      when kind in (0, 2, 10) then strftime(stamp, '%Y-%m-%d %H:%M:%S') when kind in (1, 3, 9) then strftime(stamp, '%Y-%m-%d %H:%M:00')
       when kind in (4, 5, 11) then strftime(stamp, '%Y-%m-%d 00:00:00') end as value
-  from stamps
+  from glued
 )"""
 
 
@@ -249,10 +257,13 @@ ORACLES = {
     "breadcrumb": f"with {NAMES} select page_id, first || ' ' || second as names, '/r /n' as hrefs from crumbs",
     "breadcrumb_path": f"with {NAMES} select page_id, first || '|' || first || '>' || second as navs from crumbs",
     "breadcrumb_search": f"""with {NAMES} select page_id, '//div[@class="crumb"]//a' as xpath from crumbs""",
-    "extract_records": f"""with {R}, {NAMES}, {guess('content')} select c.page_id, c.url, t.title_value as title, md5(m.text) as content, g.xpath as content_xpath,
+    "extract_records": f"""with {R}, {NAMES}, {guess('content')}, videos as (
+          select c.page_id, min(regexp_extract(n.token, 'src="([^"]*)"', 1)) as video
+          from content c join raw_nodes n on n.tag = 'video' and n.page_id = c.page_id and n.seq > c.seq and n.seq < c.end_seq group by c.page_id)
+        select c.page_id, c.url, t.title_value as title, md5(m.text) as content, g.xpath as content_xpath,
           n.published as publish_date, n.second as source, '作者：张三' as author, n.first || '>' || n.second as channel, '' as editor,
-          'v' || c.page_id || '.mp4' as video_url
-        from pages c join title_values t using (page_id) join content m using (page_id) join crumbs n using (page_id) join guessed g using (page_id)""",
+          coalesce(v.video, '') as video_url
+        from pages c join title_values t using (page_id) join content m using (page_id) join crumbs n using (page_id) join guessed g using (page_id) left join videos v using (page_id)""",
     "selectors_only": f"""with {R}, {guess('content')} select page_id, 'string(' || xpath || ')' as xpath, '' as regex, 2 as parts from guessed""",
     "values_only": f"""with {R} select page_id, title_value as title, md5(m.text) as content from title_values join content m using (page_id)""",
     "field_projection": f"""with {R} select page_id, title_value as title, md5(m.text) as content from title_values join content m using (page_id)""",

@@ -56,15 +56,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
-
-
-def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns that are evaluated exactly once per row.
-
-    The optimizer may copy a projected expression into its only reference; inside a
-    lambda that reference runs once per array element. It never copies an expression
-    that depends on the partition id, so the values are guarded by a condition on it
-    that always holds.
-    """
-    always = F.spark_partition_id() >= 0
-    return df.withColumns({name: F.when(always, value) for name, value in columns.items()})

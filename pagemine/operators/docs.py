@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemine.functions.skew import once
+from pagemine.functions.bind import let, once
 from pagemine.functions.text import attribute, collapse_text, decode_entities
 from pagemine.operators.density import measured_tree, node_score, punctuation_density, text_density
 from pagemine.operators.dom import by_page, token_array
@@ -110,7 +110,7 @@ def string_value(node: Column) -> Column:
 
 def node_at(seq: Column) -> Column:
     """The node that opens at a position, null when there is none."""
-    return F.get(F.filter("nodes", lambda n: n["seq"] == seq), F.lit(0))
+    return let(seq, lambda at: F.get(F.filter("nodes", lambda n: n["seq"] == at), F.lit(0)))
 
 
 def nodes_with(tags: list[str]) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemine.functions.dates import normalize_date
-from pagemine.functions.skew import join_per_key, once
+from pagemine.functions.bind import once
+from pagemine.functions.skew import join_per_key
 
 # Every date layout has a digit, a separator and a digit; texts without are skipped.
 DATE_HINT = "[0-9][-|/.年月][0-9]"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemine.functions.skew import once
+from pagemine.functions.bind import let, once
 from pagemine.functions.text import attribute, decode_entities
 from pagemine.operators.docs import inside, node_at, string_value
 from pagemine.operators.selectors import guess_selector
@@ -29,10 +29,13 @@ def content_video(content: Column) -> Column:
 def content_siblings(content: Column) -> Column:
     """Nodes next to the content node, itself included, that have no script child."""
     scripts = F.transform(F.filter("points", lambda p: p["tag"] == "script"), lambda p: p["parent_seq"])
-    return F.transform(
-        F.filter("nodes", lambda n: (n["parent_seq"] == content["parent_seq"]) & ~F.array_contains(scripts, n["seq"])),
-        lambda n: n["seq"],
+    kin = let(
+        scripts,
+        lambda with_script: F.filter(
+            "nodes", lambda n: (n["parent_seq"] == content["parent_seq"]) & ~F.array_contains(with_script, n["seq"])
+        ),
     )
+    return F.transform(kin, lambda n: n["seq"])
 
 
 def _own_name(a: Column) -> Column:
@@ -114,19 +117,21 @@ def _containers(near: Column, source: int) -> Column:
     ancestors = F.filter(
         "nodes", lambda n: (n["seq"] < near["seq"]) & (n["end_seq"] > near["seq"]) & ~n["tag"].isin("html", "head")
     )
-    parents = F.transform(ancestors, lambda n: n["seq"])
 
-    def distance(n: Column) -> Column:
-        return F.size(parents) + 1 - F.array_position(parents, n["parent_seq"]).cast("int")
+    def around(parents: Column) -> Column:
+        def distance(n: Column) -> Column:
+            return F.size(parents) + 1 - F.array_position(parents, n["parent_seq"]).cast("int")
 
-    around = F.filter(
-        "nodes",
-        lambda n: F.array_contains(parents, n["parent_seq"])
-        & ~F.array_contains(parents, n["seq"])
-        & ~n["tag"].isin("html", "head")
-        & F.btrim(string_value(n), F.lit("\n\t")).rlike(BREADCRUMB_PATTERN),
-    )
-    return F.transform(around, lambda n: F.struct(F.lit(source).alias("source"), distance(n).alias("distance"), n["seq"].alias("at")))
+        beside = F.filter(
+            "nodes",
+            lambda n: F.array_contains(parents, n["parent_seq"])
+            & ~F.array_contains(parents, n["seq"])
+            & ~n["tag"].isin("html", "head")
+            & F.btrim(string_value(n), F.lit("\n\t")).rlike(BREADCRUMB_PATTERN),
+        )
+        return F.transform(beside, lambda n: F.struct(F.lit(source).alias("source"), distance(n).alias("distance"), n["seq"].alias("at")))
+
+    return let(F.transform(ancestors, lambda n: n["seq"]), around)
 
 
 def with_breadcrumb(docs: DataFrame, configured: Column | None = None) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemine.functions.skew import join_per_key, once
+from pagemine.functions.bind import once
+from pagemine.functions.skew import join_per_key
 from pagemine.operators.docs import body_text, node_at, node_text, outer_html, page_docs, with_content
 from pagemine.operators.fields import with_first_match, with_publish_date
 from pagemine.operators.media import content_images, content_video, with_breadcrumb

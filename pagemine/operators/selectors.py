@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemine.functions.skew import join_per_key, once
+from pagemine.functions.bind import let, once
+from pagemine.functions.skew import join_per_key
 from pagemine.functions.text import attribute
-from pagemine.operators.docs import string_value
+from pagemine.operators.docs import node_at, string_value
 from pagemine.operators.dom import token_array
 
 # Inline elements that are climbed out of before a selector is built.
@@ -31,14 +32,6 @@ def guess_selector(node: Column) -> Column:
 
     The climb starts outside strong, font and i and ends below body or html.
     """
-    chain = F.filter("nodes", lambda n: (n["seq"] <= node["seq"]) & (n["end_seq"] > node["seq"]))
-    # Elements outside the climbed tags; those are only skipped at the bottom.
-    solid = F.filter(chain, lambda n: ~n["tag"].isin(CLIMBED_TAGS))
-    bottom = F.coalesce(F.element_at(F.transform(solid, lambda n: n["seq"]), -1), node["seq"])
-    kept = F.filter(
-        F.filter("nodes", lambda n: (n["seq"] <= node["seq"]) & (n["end_seq"] > node["seq"])),
-        lambda n: (n["seq"] <= bottom) & (~n["tag"].isin("html", "body") | (n["seq"] == bottom)),
-    )
 
     def step(n: Column) -> Column:
         index = F.size(
@@ -55,20 +48,36 @@ def guess_selector(node: Column) -> Column:
         # Steps from the node upward; the first with a class or id, but at least three.
         seen = F.array_position(F.transform(steps, lambda s: F.contains(s, F.lit("@"))), F.lit(True))
         count = F.when(seen > 0, F.greatest(seen, F.lit(3))).otherwise(F.size(steps).cast("bigint")).cast("int")
-        return F.concat(F.lit("//"), F.array_join(F.reverse(F.slice(steps, 1, count)), "/"))
+        path = F.concat(F.lit("//"), F.array_join(F.reverse(F.slice(steps, 1, count)), "/"))
+        return F.when(F.size(steps) > 0, path)
+
+    def climb(n: Column) -> Column:
+        chain = F.filter("nodes", lambda m: (m["seq"] <= n["seq"]) & (m["end_seq"] > n["seq"]))
+        return let(chain, from_chain)
+
+    def from_chain(chain: Column) -> Column:
+        solid = F.transform(F.filter(chain, lambda m: ~m["tag"].isin(CLIMBED_TAGS)), lambda m: m["seq"])
+        own = F.element_at(F.transform(chain, lambda m: m["seq"]), -1)
+        return let(F.when(F.size(solid) > 0, F.element_at(solid, -1)).otherwise(own), lambda bottom: from_bottom(chain, bottom))
+
+    def from_bottom(chain: Column, bottom: Column) -> Column:
+        kept = F.filter(chain, lambda m: (m["seq"] <= bottom) & (~m["tag"].isin("html", "body") | (m["seq"] == bottom)))
+        return let(F.reverse(F.transform(kept, step)), cut)
 
-    made = F.transform(F.array(F.reverse(F.transform(kept, step))), cut)
-    return F.when(node.isNotNull() & (F.size(kept) > 0), F.element_at(made, 1))
+    return let(node, lambda n: F.when(n.isNotNull(), climb(n)))
 
 
 def value_node(value: Column) -> Column:
     """The first element whose own first text contains a value."""
-    firsts = F.filter(
-        F.filter("texts", lambda t: F.contains(t["text"], value)),
-        lambda t: ~F.exists("texts", lambda o: (o["parent_seq"] == t["parent_seq"]) & (o["seq"] < t["seq"])),
-    )
-    holder = F.array_min(F.transform(firsts, lambda t: t["parent_seq"]))
-    return F.get(F.filter("nodes", lambda n: n["seq"] == holder), F.lit(0))
+
+    def holder(wanted: Column) -> Column:
+        firsts = F.filter(
+            F.filter("texts", lambda t: F.contains(t["text"], wanted)),
+            lambda t: ~F.exists("texts", lambda o: (o["parent_seq"] == t["parent_seq"]) & (o["seq"] < t["seq"])),
+        )
+        return F.array_min(F.transform(firsts, lambda t: t["parent_seq"]))
+
+    return node_at(let(value, lambda wanted: F.when(wanted.isNotNull(), holder(wanted))))
 
 
 def wrapped(selector: Column) -> Column:
@@ -85,29 +94,36 @@ def _select(expr: Column) -> Column:
     root = F.array(F.struct(F.lit(-1).alias("seq"), F.lit(2**31 - 1).alias("end_seq"), F.lit(-2).alias("parent_seq")))
 
     def advance(context: Column, step: Column) -> Column:
-        deep = F.startswith(step, F.lit("//"))
-        name = F.regexp_extract(step, rf"^//?({_NAME}|\.\.)", 1)
-        klass = F.regexp_extract(step, r'\[@class="([^"]*)"\]', 1)
-        ident = F.regexp_extract(step, r'\[@id="([^"]*)"\]', 1)
-        nth = F.regexp_extract(step, r"\[(\d+)\]", 1)
-        parents = F.transform(context, lambda c: c["parent_seq"])
-        owners = F.transform(context, lambda c: c["seq"])
-
+        parts = {
+            "deep": F.startswith(step, F.lit("//")),
+            "name": F.regexp_extract(step, rf"^//?({_NAME}|\.\.)", 1),
+            "by_class": F.contains(step, F.lit("[@class=")),
+            "klass": F.regexp_extract(step, r'\[@class="([^"]*)"\]', 1),
+            "by_id": F.contains(step, F.lit("[@id=")),
+            "ident": F.regexp_extract(step, r'\[@id="([^"]*)"\]', 1),
+            "nth": F.regexp_extract(step, r"\[(\d+)\]", 1),
+            "parents": F.transform(context, lambda c: c["parent_seq"]),
+            "owners": F.transform(context, lambda c: c["seq"]),
+            "context": context,
+        }
+        return let(parts, follow)
+
+    def follow(s: Column) -> Column:
         def named(n: Column) -> Column:
             return (
-                ((name == "*") | (n["tag"] == name))
-                & (~F.contains(step, F.lit("[@class=")) | n["class"].eqNullSafe(klass))
-                & (~F.contains(step, F.lit("[@id=")) | n["id"].eqNullSafe(ident))
+                ((s["name"] == "*") | (n["tag"] == s["name"]))
+                & (~s["by_class"] | n["class"].eqNullSafe(s["klass"]))
+                & (~s["by_id"] | n["id"].eqNullSafe(s["ident"]))
             )
 
         def placed(n: Column) -> Column:
             before = F.filter("nodes", lambda m: (m["parent_seq"] == n["parent_seq"]) & (m["seq"] < n["seq"]) & named(m))
-            return (nth == "") | (F.size(before) + 1 == nth.cast("int"))
+            return (s["nth"] == "") | (F.size(before) + 1 == s["nth"].cast("int"))
 
         def reached(n: Column) -> Column:
-            below = F.exists(context, lambda c: (c["seq"] < n["seq"]) & (n["end_seq"] <= c["end_seq"]))
-            return F.when(name == "..", F.array_contains(parents, n["seq"])).otherwise(
-                F.when(deep, below).otherwise(F.array_contains(owners, n["parent_seq"])) & named(n) & placed(n)
+            below = F.exists(s["context"], lambda c: (c["seq"] < n["seq"]) & (n["end_seq"] <= c["end_seq"]))
+            return F.when(s["name"] == "..", F.array_contains(s["parents"], n["seq"])).otherwise(
+                named(n) & F.when(s["deep"], below).otherwise(F.array_contains(s["owners"], n["parent_seq"])) & placed(n)
             )
 
         return F.transform(
@@ -116,40 +132,40 @@ def _select(expr: Column) -> Column:
         )
 
     seqs = F.transform(F.aggregate(steps, root, advance), lambda c: c["seq"])
-    return F.transform(F.array(seqs), lambda found: F.filter("nodes", lambda n: F.array_contains(found, n["seq"])))
+    return let(seqs, lambda found: F.filter("nodes", lambda n: F.array_contains(found, n["seq"])))
 
 
 def selected(expr: Column) -> Column:
     """Nodes a selector selects, in page order."""
-    return F.element_at(_select(expr), 1)
+    return _select(expr)
 
 
 def select_values(expr: Column) -> Column:
     """Values of a selector on a document: array<struct(seq, value)>, in page order."""
-    nodes = F.element_at(_select(expr), 1)
     inner = _inner(expr)
-    whole = F.transform(nodes, lambda n: F.struct(n["seq"].alias("seq"), string_value(n).alias("value")))
-    attrs = F.filter(
-        F.transform(
-            nodes,
-            lambda n: F.struct(n["seq"].alias("seq"), _attribute_of(n["token"], inner).alias("value")),
-        ),
-        lambda found: found["value"].isNotNull(),
-    )
 
     def as_pair(t: Column) -> Column:
         return F.struct(t["seq"].alias("seq"), t["text"].alias("value"))
 
-    own = F.filter("texts", lambda t: F.exists(nodes, lambda n: n["seq"] == t["parent_seq"]))
-    deep = F.filter("texts", lambda t: F.exists(nodes, lambda n: (n["seq"] < t["seq"]) & (t["seq"] < n["end_seq"])))
-    return (
-        F.when(~inner.rlike(SELECTOR), F.raise_error(F.concat(F.lit("selector outside the grammar: "), expr)))
-        .when(expr.rlike(WRAPPED), F.slice(whole, 1, 1))
-        .when(inner.rlike(r"//text\(\)$"), F.transform(deep, as_pair))
-        .when(inner.rlike(r"/text\(\)$"), F.transform(own, as_pair))
-        .when(inner.rlike(r"/@[\w:-]+$"), attrs)
-        .otherwise(whole)
-    )
+    def values(nodes: Column) -> Column:
+        whole = F.transform(nodes, lambda n: F.struct(n["seq"].alias("seq"), string_value(n).alias("value")))
+        attrs = F.filter(
+            F.transform(nodes, lambda n: F.struct(n["seq"].alias("seq"), _attribute_of(n["token"], inner).alias("value"))),
+            lambda found: found["value"].isNotNull(),
+        )
+        own = F.filter("texts", lambda t: F.exists(nodes, lambda n: n["seq"] == t["parent_seq"]))
+        deep = F.filter("texts", lambda t: F.exists(nodes, lambda n: (n["seq"] < t["seq"]) & (t["seq"] < n["end_seq"])))
+        return (
+            F.when(expr.rlike(WRAPPED), F.slice(whole, 1, 1))
+            .when(inner.rlike(r"//text\(\)$"), F.transform(deep, as_pair))
+            .when(inner.rlike(r"/text\(\)$"), F.transform(own, as_pair))
+            .when(inner.rlike(r"/@[\w:-]+$"), attrs)
+            .otherwise(whole)
+        )
+
+    return F.when(
+        ~inner.rlike(SELECTOR), F.raise_error(F.concat(F.lit("selector outside the grammar: "), expr))
+    ).otherwise(let(_select(expr), values))
 
 
 def _attribute_of(token: Column, selector: Column) -> Column:
@@ -223,7 +239,7 @@ def drop_noise(pages: DataFrame, docs: DataFrame, selectors: list[str]) -> DataF
         return pages
     spans = F.flatten(
         F.array(*[
-            F.transform(F.element_at(_select(F.lit(x)), 1), lambda n: F.struct(n["seq"].alias("seq"), n["end_seq"].alias("end_seq"), n["tag"].alias("tag")))
+            F.transform(_select(F.lit(x)), lambda n: F.struct(n["seq"].alias("seq"), n["end_seq"].alias("end_seq"), n["tag"].alias("tag")))
             for x in selectors
         ])
     )

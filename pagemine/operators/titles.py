@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemine.functions.skew import once
+from pagemine.functions.bind import once
 from pagemine.functions.text import square_sum, strip_blanks, words
 from pagemine.operators.docs import node_at, nodes_with, string_value, texts_of
 
