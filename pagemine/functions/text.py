@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Named entities decoded in text and attributes; "&amp;" comes last.
 ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
+    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
     ("&ldquo;", "“"), ("&rdquo;", "”"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
     ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&middot;", "·"), ("&bull;", "•"),
     ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&laquo;", "«"), ("&raquo;", "»"),
