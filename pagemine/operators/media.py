@@ -46,8 +46,13 @@ def _own_name(a: Column) -> Column:
     return F.when(leads, F.regexp_replace(first["text"], r"[\s\x{a0}\x{3000}]+", "")).otherwise("")
 
 
+def _reads_as_path(text: Column) -> Column:
+    """True when a text holds 'A > B'; the pattern is only tried on texts with an arrow."""
+    return F.when(F.contains(text, F.lit(">")) | F.contains(text, F.lit("→")), text.rlike(BREADCRUMB_PATTERN)).otherwise(F.lit(False))
+
+
 def _holds_pattern(node: Column) -> Column:
-    return node.isNotNull() & ~node["tag"].isin("html", "head") & string_value(node).rlike(BREADCRUMB_PATTERN)
+    return node.isNotNull() & ~node["tag"].isin("html", "head") & let(string_value(node), _reads_as_path)
 
 
 def breadcrumb_links(container: Column) -> Column:
@@ -127,7 +132,7 @@ def _containers(near: Column, source: int) -> Column:
             lambda n: F.array_contains(parents, n["parent_seq"])
             & ~F.array_contains(parents, n["seq"])
             & ~n["tag"].isin("html", "head")
-            & F.btrim(string_value(n), F.lit("\n\t")).rlike(BREADCRUMB_PATTERN),
+            & let(F.btrim(string_value(n), F.lit("\n\t")), _reads_as_path),
         )
         return F.transform(beside, lambda n: F.struct(F.lit(source).alias("source"), distance(n).alias("distance"), n["seq"].alias("at")))
 

@@ -68,56 +68,59 @@ def extract_records(
         docs = once(docs, {"content_node": F.coalesce("given_content", "content_node")})
     docs = with_title(docs, F.col("set_title.value") if has_rules else None)
     docs = with_heading_title(with_title_node(docs))
-    guessed = once(docs, {"content_xpath": guess_selector(F.col("content_node")), "title_xpath": guess_selector(F.col("title_node"))})
+    out, columns = docs, {}
+    if set(fields) & set(PATTERN_FIELDS):
+        out = once(out, {"lines": body_text("\n")})
+    matched = [name for name in PATTERN_FIELDS if name in fields]
+    for name in matched:
+        out = _with_pattern_match(out, name, "lines", exprs(name, "pattern") if has_rules else None)
+    if "publish_date" in fields:
+        out = with_publish_date(once(out, {"body": body_text("")}), "body", DEFAULT_PATTERNS["publish_date"])
+        matched.append("publish")
+
+    # One pass builds the selectors of all the nodes that the fields were found in.
+    found_in = {"content": F.col("content_node"), "title": F.col("title_node")}
+    if "title" in fields:
+        found_in["heading"] = node_at(F.col("heading_seq"))
+    for name in matched:
+        found_in[name] = value_node(F.col(f"{name}_match.found"))
+    out = once(out, {"paths": F.transform(F.array(*found_in.values()), guess_selector)})
+    paths = {name: F.get("paths", F.lit(at)) for at, name in enumerate(found_in)}
+    content_path = paths["content"]
     if has_rules:
         plain = F.regexp_replace(F.col("set_content.xpath"), r"^string\((.*)\)$", "$1")
-        guessed = once(guessed, {"content_xpath": F.when(F.col("given_content").isNotNull(), plain).otherwise(F.col("content_xpath"))})
+        content_path = F.when(F.col("given_content").isNotNull(), plain).otherwise(content_path)
+    out = once(out, {"content_xpath": content_path})
 
-    out, columns = guessed, {}
     if "channel" in fields:
         out = with_breadcrumb(out, F.col("channel_root") if has_rules else None)
         columns["channel"] = F.col("channel")
     if "leadtitle" in fields or "subtitle" in fields:
         out = with_sibling_titles(out)
         for name, axis in (("leadtitle", "preceding-sibling"), ("subtitle", "following-sibling")):
-            xpath = F.concat(F.lit("string("), F.col("title_xpath"), F.lit(f"/{axis}::*)"))
+            xpath = F.concat(F.lit("string("), paths["title"], F.lit(f"/{axis}::*)"))
             columns[name] = _field(xpath, F.coalesce(F.col(f"{name}_value"), F.lit("")))
-    if set(fields) & set(PATTERN_FIELDS):
-        out = once(out, {"lines": body_text("\n")})
+
+    def configured_or(name: str, guess: Column, value: Column | None = None) -> Column:
+        if not has_rules:
+            return guess
+        given = F.col(f"set_{name}")
+        return F.when(given.isNotNull(), _field(given["xpath"], given["value"] if value is None else value)).otherwise(guess)
+
     for name in PATTERN_FIELDS:
         if name in fields:
-            out = _with_pattern_field(out, name, "lines", has_rules, exprs)
-            columns[name] = _field(
-                F.coalesce(F.col(f"set_{name}.xpath"), wrapped(F.col(f"{name}_xpath"))) if has_rules else wrapped(F.col(f"{name}_xpath")),
-                F.coalesce(F.col(f"set_{name}.value"), F.trim(f"{name}_match.found"), F.lit("")) if has_rules
-                else F.coalesce(F.trim(f"{name}_match.found"), F.lit("")),
-                F.when(F.col(f"set_{name}").isNull(), F.col(f"{name}_match.regex")) if has_rules else F.col(f"{name}_match.regex"),
-            )
+            value = F.coalesce(F.trim(f"{name}_match.found"), F.lit(""))
+            columns[name] = configured_or(name, _field(wrapped(paths[name]), value, F.col(f"{name}_match.regex")))
     if "publish_date" in fields:
-        out = once(out, {"body": body_text("")})
-        out = with_publish_date(out, "body", DEFAULT_PATTERNS["publish_date"])
-        out = once(out, {"publish_xpath": guess_selector(value_node(F.col("publish_match.found")))})
-        guess = _field(wrapped(F.col("publish_xpath")), F.coalesce("publish_value", F.lit("")), F.col("publish_match.regex"))
-        columns["publish_date"] = guess if not has_rules else F.when(
-            F.col("set_publish_date").isNotNull(), _field(F.col("set_publish_date.xpath"), F.col("set_publish_date.value"))
-        ).otherwise(guess)
+        value = F.coalesce("publish_value", F.lit(""))
+        columns["publish_date"] = configured_or("publish_date", _field(wrapped(paths["publish"]), value, F.col("publish_match.regex")))
     if "title" in fields:
-        out = once(out, {
-            "title_text": F.when(F.col("title_node").isNotNull(), node_text(F.col("title_node"))),
-            "heading_xpath": guess_selector(node_at(F.col("heading_seq"))),
-        })
+        out = once(out, {"title_text": F.when(F.col("title_node").isNotNull(), node_text(F.col("title_node")))})
+        heading_path = F.when(F.col("heading_seq").isNotNull(), wrapped(paths["heading"])).otherwise("//title/text()")
         guess = F.when(
-            F.coalesce(F.col("title_text"), F.lit("")) != "", _field(wrapped(F.col("title_xpath")), first_line(F.col("title_text")))
-        ).when(
-            F.coalesce(F.col("heading_title"), F.lit("")) != "",
-            _field(
-                F.when(F.col("heading_seq").isNotNull(), wrapped(F.col("heading_xpath"))).otherwise("//title/text()"),
-                first_line(F.col("heading_title")),
-            ),
-        )
-        columns["title"] = guess if not has_rules else F.when(
-            F.col("set_title").isNotNull(), _field(F.col("set_title.xpath"), first_line(F.col("set_title.value")))
-        ).otherwise(guess)
+            F.coalesce(F.col("title_text"), F.lit("")) != "", _field(wrapped(paths["title"]), first_line(F.col("title_text")))
+        ).when(F.coalesce(F.col("heading_title"), F.lit("")) != "", _field(heading_path, first_line(F.col("heading_title"))))
+        columns["title"] = configured_or("title", guess, first_line(F.col("set_title.value")) if has_rules else None)
     found = F.col("content_node").isNotNull()
     if "content" in fields:
         columns["content"] = F.when(found, _field(wrapped(F.col("content_xpath")), node_text(F.col("content_node"))))
@@ -137,21 +140,20 @@ def extract_records(
     return pages.select("page_id", *kept).join(records.hint("merge"), "page_id")
 
 
-def _with_pattern_field(docs: DataFrame, name: str, text: str, has_rules: bool, exprs) -> DataFrame:
-    """Add struct {name}_match and {name}_xpath; patterns of the site come before the defaults."""
+def _with_pattern_match(docs: DataFrame, name: str, text: str, own: Column | None) -> DataFrame:
+    """Add struct {name}_match; the site's own patterns, if any, come before the defaults."""
     out = with_first_match(docs, text, DEFAULT_PATTERNS[name], f"{name}_match")
-    if has_rules:
-        own = F.aggregate(
-            exprs(name, "pattern"),
-            F.lit("").cast("string"),
-            lambda hit, pattern: F.when(hit != "", hit).when(F.regexp_like(F.col(text), pattern), pattern).otherwise(""),
-        )
-        out = once(out, {"_own": own})
-        value = F.get(F.regexp_extract_all(F.col(text), F.col("_own"), F.lit(1)), F.lit(0))
-        out = once(out, {f"{name}_match": F.when(
-            F.col("_own") != "", F.struct(value.alias("found"), F.col("_own").alias("regex"))
-        ).otherwise(F.col(f"{name}_match"))}).drop("_own")
-    return once(out, {f"{name}_xpath": guess_selector(value_node(F.col(f"{name}_match.found")))})
+    if own is None:
+        return out
+    hit = F.aggregate(
+        own,
+        F.lit("").cast("string"),
+        lambda found, pattern: F.when(found != "", found).when(F.regexp_like(F.col(text), pattern), pattern).otherwise(""),
+    )
+    out = once(out, {"_own": hit})
+    value = F.get(F.regexp_extract_all(F.col(text), F.col("_own"), F.lit(1)), F.lit(0))
+    match = F.struct(value.alias("found"), F.col("_own").alias("regex"))
+    return once(out, {f"{name}_match": F.when(F.col("_own") != "", match).otherwise(F.col(f"{name}_match"))}).drop("_own")
 
 
 def has_value(field: str) -> Column:
