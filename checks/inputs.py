@@ -79,11 +79,9 @@ def base_hrefs(spark: SparkSession, sf: str) -> DataFrame:
 def page_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Three computed links per page: page_id -> (7 * page_id + k) mod page count."""
     rows = pages(spark, sf).select("page_id", "url")
-    n = rows.agg(F.count("*").alias("n"))
-    steps = rows.crossJoin(F.broadcast(n)).select(
-        F.col("url").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), "page_id", "n"
-    )
-    targets = steps.select("src", ((F.col("page_id") * 7 + F.col("k")) % F.col("n")).alias("page_id"))
+    n = rows.count()
+    steps = rows.select(F.col("url").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), "page_id")
+    targets = steps.select("src", ((F.col("page_id") * 7 + F.col("k")) % n).alias("page_id"))
     return targets.join(rows.select("page_id", F.col("url").alias("dst")), "page_id").select("src", "dst")
 
 

@@ -210,7 +210,7 @@ def extract_records(spark, sf):
 
 def selectors_only(spark, sf):
     kept = P.selectors_only(P.extract_records(I.rich_pages(spark, sf), fields=["content"]))
-    parts = F.size(F.split(F.schema_of_json(F.lit('{"xpath":"","regex":""}')), ","))
+    parts = F.size(F.from_json(F.to_json("content"), "map<string,string>"))
     return kept.select("page_id", "content.xpath", "content.regex", parts.alias("parts"))
 
 
@@ -271,7 +271,7 @@ def load_site_config(spark, sf):
     own = sites.where("site like 'www.%'").select(
         "site", F.lit("title").alias("field"), F.lit("selector").alias("kind"), F.lit(0).alias("priority"), F.lit("//h1").alias("expr")
     )
-    rules = R.resolve_config(sites, own, R.default_rules(spark))
+    rules = R.resolve_config(sites, own)
     return rules.groupBy("site", "field", "kind").agg(F.count("*").alias("n"))
 
 

@@ -75,3 +75,11 @@ def test_selectors_outside_the_grammar_are_refused(spark, make_pages):
     docs = C.page_docs(make_pages(["<p>x</p>"]))
     with pytest.raises(Exception, match="outside the grammar"):
         S.eval_selectors(docs, [("x", "//p[contains(., 'x')]")]).collect()
+
+
+def test_retraining_falls_back_to_the_defaults(spark):
+    sites = spark.createDataFrame([("a",), ("b",)], "site string")
+    own = spark.createDataFrame([("a", "title", "selector", 0, "//h1")], "site string, field string, kind string, priority int, expr string")
+    counts = lambda df: {r.site: r["count"] for r in df.groupBy("site").count().collect()}
+    assert counts(R.resolve_config(sites, own)) == {"a": 1, "b": len(R.DEFAULT_ROWS)}
+    assert counts(R.resolve_config(sites, own, retraining=True)) == {"a": len(R.DEFAULT_ROWS), "b": len(R.DEFAULT_ROWS)}
