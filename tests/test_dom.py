@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pagemine.functions.text import decode_entities
 from pagemine.operators import density as N
 from pagemine.operators import dom as D
+from pagemine.operators.docs import page_docs
 
 CASES = {
     "article": '<body><nav><a href="/a">n</a></nav><div class="art"><h1>T</h1><p>long, text.</p><p>more, text.</p></div></body>',
@@ -105,3 +106,11 @@ def test_scores_that_are_undefined_come_last(make_pages):
 def test_entities(spark):
     df = spark.createDataFrame([("&amp;lt; &lt;b&gt; &#20013;&#x6587; &#0; &#xZ; &copy;&nbsp;x & y",)], "t string")
     assert df.select(decode_entities(F.col("t"))).first()[0] == "&lt; <b> 中文 &#0; &#xZ; ©\u00a0x & y"
+
+
+def test_pages_are_shuffled_once(make_pages):
+    docs = page_docs(make_pages([CASES["article"]] * 8))
+    docs.collect()
+    final = docs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    exchanges = [line for line in final.splitlines() if "Exchange" in line]
+    assert len(exchanges) == 2 and sum("ReusedExchange" in line for line in exchanges) == 1
