@@ -72,4 +72,93 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
-ORACLES = {"op6_line_dedup": OP6, "op7_ngram_join": OP7, "op9_mixing": OP9}
+LICENSE_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _op2() -> str:
+    """Brute force: every line against every template, all word sets in full."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    notices = ", ".join(f"({at}, {quoted(label)}, {quoted(text)})" for at, (label, text) in enumerate(NOTICES))
+    words = LICENSE_WORDS.format(ASCII_LOWER.format("{}"))
+    places = " || ".join(
+        "list_transform(list_filter(range(1, len(w) + 1), lambda i: "
+        + " AND ".join(f"coalesce(w[i + {at}], '') = {quoted(word)}" for at, word in enumerate(phrase.split()))
+        + f"), lambda i: {{'at': i - 1, 'label': {quoted(label)}}})"
+        for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
+    )
+    return f"""
+WITH templates AS (
+  SELECT id, label, list_distinct({words.format("notice")}) AS ws FROM (VALUES {notices}) AS t(id, label, notice)
+), needed AS (
+  SELECT id, label, len(ws) AS n, unnest(ws) AS word FROM templates
+), docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce({words.format("text")}, []) AS w, row_number() OVER () AS r FROM documents
+), lines AS (
+  SELECT r, i, unnest(list_distinct({words.format("ls[i]")})) AS word
+  FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT r, string_split(text, chr(10)) AS ls FROM docs))
+), blocks AS (
+  SELECT l.r, l.i, t.id, t.label, count(*)::DOUBLE / any_value(t.n) AS containment
+  FROM lines l JOIN needed t ON l.word = t.word GROUP BY l.r, l.i, t.id, t.label HAVING count(*) >= 0.8 * any_value(t.n)
+), found AS (
+  SELECT r, list(DISTINCT label) AS labels, max(containment) AS best FROM blocks GROUP BY r
+), phrases AS (
+  SELECT r, doc_id, len(w) AS n_words, {places} AS p FROM docs
+)
+SELECT doc_id, n_words, len(p)::BIGINT AS n_base,
+  list_min(list_transform(p, lambda x: x['at'])) AS first_word, list_max(list_transform(p, lambda x: x['at'])) AS last_word,
+  array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x['label']))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x['label']) || coalesce(labels, []))), ',') AS labels,
+  CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM phrases LEFT JOIN found USING (r)
+"""
+
+
+#: Fixed values, restated: the notices op2 looks for.
+NOTICES = (
+    ("mit", "Released under the MIT License."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("apache", "Licensed under the Apache License, Version 2.0."),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+)
+
+OP3 = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y ON x.label = y.label AND len(x.v) = len(y.v) AND x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.93
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), smallest AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(s.b, e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(s.b, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN counts c ON e.vec_id = c.a LEFT JOIN smallest s ON e.vec_id = s.a
+"""
+
+OP10 = """
+WITH facts AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), last AS (
+  SELECT payload_digest, max(page_id) AS last FROM facts WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, f.payload_digest,
+  CASE WHEN last IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM facts f LEFT JOIN last l ON f.payload_digest = l.payload_digest
+"""
+
+ORACLES = {"op2_license_scan": _op2(), "op3_embedding_dedup": OP3, "op10_warc_index": OP10, "op6_line_dedup": OP6, "op7_ngram_join": OP7, "op9_mixing": OP9}
