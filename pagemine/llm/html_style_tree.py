@@ -35,7 +35,8 @@ CONTENT_WEIGHT, LEAST = 0.9, 0.25
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math select object audio video canvas".split())
 UNSEEN = RAW | frozenset("head nav footer aside form button dialog menu option datalist label fieldset".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that do not begin a block; what a browser does not show does not part a line either.
+INLINE = frozenset("script style noscript template a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 MAIN = frozenset(("article", "main"))
 ROLES_OUT = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 #: Words of class and id names that declare a part not to be content.
