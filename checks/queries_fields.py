@@ -293,7 +293,7 @@ def site_run_rows(spark, sf):
 
 def train_sites(spark, sf):
     pages = I.rich_pages(spark, sf).withColumn("site", F.regexp_extract(U.url_host(F.col("url")), r"([^.]+\.[^.]+)$", 1))
-    done = train(pages, "job", F.lit("2020-01-02 00:00:00"), max_pages=None)
+    done = train(pages, "job", F.lit("2020-01-02 00:00:00"))
     samples = done.site_configs.select("web_name", "sample")
     return done.site_rules.drop("updated_at").join(samples, "web_name")
 
@@ -321,6 +321,29 @@ def read_link_lines(spark, sf):
     return files.read_link_lines(spark, folder)
 
 
+def mine_link_lines(spark, sf):
+    """Over several files: every URL is under a rule that begins with its own site."""
+    folder = work_folder(spark, "lines")
+    I.pages(spark, sf).repartition(3, "page_id").select("url").write.text(folder)
+    found = files.mine_link_lines(spark, folder)
+    return found.groupBy("site").agg(F.min(F.col("regex").startswith(F.col("site")).cast("int")).alias("rooted"))
+
+
+def default_field_rules(spark, sf):
+    """The built-in rules for every host of pages, counted per kind."""
+    hosts = I.site_pages(spark, sf).select(F.col("host").alias("site"))
+    every = R.resolve_config(hosts, R.default_rules(spark, "another site"))
+    return every.groupBy("field", "kind").agg(F.count("*").alias("n"), F.countDistinct("site").alias("n_sites"))
+
+
+def read_records(spark, sf):
+    folder = work_folder(spark, "records")
+    rows = I.pages(spark, sf).select("page_id", "url", _struct(F.concat(F.lit("t"), "page_id")).alias("title"))
+    for job in ("one", "two"):
+        files.write_records(rows.withColumn("job_id", F.lit(job)), folder)
+    return files.read_records(spark, folder).select("page_id", "job_id", F.col("title.value").alias("title"))
+
+
 def write_records(spark, sf):
     folder = work_folder(spark, "records")
     rows = I.pages(spark, sf).select("page_id", "url", _struct(F.concat(F.lit("t"), "page_id")).alias("title"))
@@ -337,7 +360,7 @@ def write_links(spark, sf):
 
 def stream_records(spark, sf):
     folder = work_folder(spark, "stream")
-    stream = jobs.page_stream(spark, sf, glob="pages.parquet")
+    stream = jobs.page_stream(spark, f"{sf}/pages.parquet*")
     jobs.stream_records(stream, f"{folder}/out", f"{folder}/state", ["title", "content"]).awaitTermination()
     found = spark.read.parquet(f"{folder}/out")
     return found.select("page_id", "url", F.col("title.value").alias("title"), _md5(F.col("content.value")).alias("content"))
@@ -345,7 +368,7 @@ def stream_records(spark, sf):
 
 def stream_dedup_urls(spark, sf):
     folder = work_folder(spark, "dedup")
-    urls = jobs.page_stream(spark, sf, glob="pages.parquet").select(F.regexp_extract("url", r"^([^?]*)", 1).alias("url"))
+    urls = jobs.page_stream(spark, f"{sf}/pages.parquet*").select(F.regexp_extract("url", r"^([^?]*)", 1).alias("url"))
     done = jobs.stream_dedup_urls(urls).writeStream.format("parquet").option("path", f"{folder}/out")
     done.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("url")
@@ -353,7 +376,7 @@ def stream_dedup_urls(spark, sf):
 
 def stream_train(spark, sf):
     folder = work_folder(spark, "train")
-    urls = jobs.page_stream(spark, sf, glob="pages.parquet").select(
+    urls = jobs.page_stream(spark, f"{sf}/pages.parquet*").select(
         F.regexp_extract(U.url_host(F.col("url")), r"([^.]+\.[^.]+)$", 1).alias("site"), "url"
     )
     jobs.stream_train(urls, folder, f"{folder}/state").awaitTermination()
@@ -368,6 +391,6 @@ QUERIES = {
         guess_selector, value_selector, configured_first, drop_noise, content_images, content_video, content_siblings,
         breadcrumb, breadcrumb_path, breadcrumb_search, extract_records, selectors_only, values_only, field_projection,
         quality_gate, common_selectors, site_sample, upsert_site_table, load_site_config, bump_config_version, site_run_rows,
-        train_sites, read_link_csv, read_link_lines, write_records, write_links, stream_records, stream_dedup_urls, stream_train,
+        train_sites, read_link_csv, read_link_lines, mine_link_lines, default_field_rules, read_records, write_records, write_links, stream_records, stream_dedup_urls, stream_train,
     )
 }

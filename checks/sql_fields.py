@@ -297,6 +297,12 @@ ORACLES = {
         from wanted w join ranked r on r.site = w.site and r.rank = 1 join matching m on m.site = w.site join site_pages p on p.page_id = m.page_id""",
     "read_link_csv": "select distinct url as link from pages",
     "read_link_lines": "select url as link from pages",
+    "mine_link_lines": "select distinct regexp_extract(url, '^(https?://[^/?#]+)', 1) as site, 1 as rooted from pages",
+    "read_records": "select page_id, job_id, 't' || page_id as title from pages, (values ('one'), ('two')) as jobs(job_id)",
+    "default_field_rules": f"""with {URLS}, hosts as (select count(distinct host) as h from site_pages),
+        defaults(field, kind, n) as (values ('channel', 'pattern', 1), ('title', 'pattern', 1), ('author', 'pattern', 4), ('editor', 'pattern', 4),
+          ('video_url', 'pattern', 1), ('source', 'pattern', 1), ('publish_date', 'pattern', 30), ('noise_node', 'noise', 1))
+        select field, kind, n * h as n, h as n_sites from defaults, hosts""",
     "write_records": "select page_id, url, 't' || page_id as title from pages",
     "write_links": "select url as value from pages",
     "stream_records": f"with {T}, {HEADINGS} select page_id, url, title_value as title, md5(m.text) as content from pages join title_values using (page_id) join content m using (page_id)",

@@ -10,7 +10,7 @@ _DAY = r"(3[01]|[12]\d|0[1-9]|[1-9])"
 _CLOCK = r"(2[0-3]|[01]\d|\d):([0-5]\d)"
 _DATE = r"(\d{4})-(\d{1,2})-"
 
-# Date forms tried in this order: the first that occurs decides, also when it names no
+# Date forms, tried in this order: the first that occurs decides, also when it names no
 # existing day. Each has the groups year, month, day and, if any, hour, minute, second.
 DATE_FORMS = [
     (r"\d{4}-\d{1,2}-\d{1,2} \d{2}:\d{2}:\d{2}", _DATE + r"(\d{1,2}) (\d{2}):(\d{2}):(\d{2})", 6),

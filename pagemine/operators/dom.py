@@ -64,11 +64,16 @@ def by_page(pages: DataFrame) -> DataFrame:
     """The one shuffle of the extraction: whole pages by page_id, before they are cut.
 
     The number of partitions is stated because a page grows by an order of magnitude
-    when it is cut, which size-based coalescing of the shuffle cannot know. Null ids are
-    filtered here so that all uses plan the same shuffle, which Spark then runs once.
+    when it is cut, which size-based coalescing of the shuffle cannot know. Ids are never
+    null here, so that all uses plan the same shuffle, which Spark then runs once.
     """
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pages.select("page_id", "html").where("page_id is not null").repartition(n, "page_id")
+    return with_page_ids(pages).select("page_id", "html").repartition(n, "page_id")
+
+
+def with_page_ids(pages: DataFrame) -> DataFrame:
+    """Pages without an id take one from what they hold, so that none is lost."""
+    return pages.withColumn("page_id", F.coalesce("page_id", F.xxhash64(*[F.col(c) for c in ("url", "html") if c in pages.columns])))
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemine.functions.dates import normalize_date
 from pagemine.functions.bind import once
 from pagemine.functions.skew import join_per_key
+from pagemine.sources.rules import DATE_PATTERNS
 
-# Every date layout has a digit, a separator and a digit; texts without are skipped.
+# Every built-in date layout has a digit, a separator and a digit; texts without are skipped.
 DATE_HINT = "[0-9][-|/.年月][0-9]"
 
 
+def first_group(text: Column, pattern: Column) -> Column:
+    """Group 1 of the first place where a pattern held in a column occurs."""
+    return F.call_function("regexp_extract", text, pattern, F.lit(1))
+
+
 def with_first_match(df: DataFrame, text: str, patterns: list[str], name: str) -> DataFrame:
     """Add struct `name`(found, regex): group 1 of the first pattern that occurs, null if none.
 
@@ -24,7 +30,7 @@ def with_first_match(df: DataFrame, text: str, patterns: list[str], name: str) -
     every = F.array(*[F.lit(p) for p in patterns])
     held = once(df, {"_which": which})
     held = once(held, {"_regex": F.get(every, F.col("_which"))})
-    found = F.get(F.regexp_extract_all(F.col(text), F.col("_regex"), F.lit(1)), F.lit(0))
+    found = first_group(F.col(text), F.col("_regex"))
     match = F.when(F.col("_regex").isNotNull(), F.struct(found.alias("found"), F.col("_regex").alias("regex")))
     return once(held, {name: match}).drop("_which", "_regex")
 
@@ -43,17 +49,32 @@ def first_match_by_site(df: DataFrame, rules: DataFrame, text: str, field: str)
         lambda found, pattern: F.when(found != "", found).when(F.regexp_like(F.col(text), pattern), pattern).otherwise(""),
     )
     held = once(joined, {"regex": hit})
-    value = F.get(F.regexp_extract_all(F.col(text), F.col("regex"), F.lit(1)), F.lit(0))
+    value = first_group(F.col(text), F.col("regex"))
     return held.withColumn("value", F.when(F.col("regex") != "", F.trim(value))).drop("_rules")
 
 
-def with_publish_date(df: DataFrame, text: str, patterns: list[str]) -> DataFrame:
+def with_own_match(df: DataFrame, text: str, own: Column, name: str) -> DataFrame:
+    """Replace struct `name`(found, regex) where one of the row's own patterns occurs; they are tried in order."""
+    hit = F.aggregate(
+        own,
+        F.lit("").cast("string"),
+        lambda found, pattern: F.when(found != "", found).when(F.regexp_like(F.col(text), pattern), pattern).otherwise(""),
+    )
+    held = once(df, {"_own": hit})
+    match = F.struct(first_group(F.col(text), F.col("_own")).alias("found"), F.col("_own").alias("regex"))
+    return once(held, {name: F.when(F.col("_own") != "", match).otherwise(F.col(name))}).drop("_own")
+
+
+def with_publish_date(df: DataFrame, text: str, patterns: list[str], own: Column | None = None) -> DataFrame:
     """Add struct publish_match(found, regex) and publish_value.
 
     The first layout that occurs decides; its value may be empty when the text names no
-    full date.
+    full date. The row's `own` patterns, if any, come first. Texts without the sign of a date are only skipped for built-in layouts.
     """
-    hinted = once(df, {"_dated": F.when(F.col(text).rlike(DATE_HINT), F.col(text))})
+    worth = F.col(text).rlike(DATE_HINT) if set(patterns) <= set(DATE_PATTERNS) else F.col(text).isNotNull()
+    hinted = once(df, {"_dated": F.when(worth, F.col(text))})
     out = with_first_match(hinted, "_dated", patterns, "publish_match")
+    if own is not None:
+        out = with_own_match(out, text, own, "publish_match")
     value = F.when(F.col("publish_match").isNotNull(), F.coalesce(normalize_date(F.col("publish_match.found")), F.lit("")))
     return out.withColumn("publish_value", value).drop("_dated")

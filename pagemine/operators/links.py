@@ -27,6 +27,9 @@ LINK_SHARE = 0.5
 MAX_HOPS = 3
 DEFAULT_DENY = ".*s?html?.*"
 
+#: The largest suffix table that is sent to every task; the public list has about a tenth of it.
+MAX_SUFFIXES = 100_000
+
 HIDDEN_MARKUP = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 LINK_EDGE = r"(?i)(<a[\s>]|<area[\s>]|</a\s*>)"
 CUT = "\x01"
@@ -36,7 +39,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
     """One row per a/area element with an href, in page order.
 
     The page is cut in front of every link tag, so this is a projection and one
-    explode: no shuffle.
+    explode: no shuffle. An area has no content, so its text is empty.
     """
     markup = F.regexp_replace("html", HIDDEN_MARKUP, "")
     pieces = F.split(F.regexp_replace(markup, LINK_EDGE, CUT + "$1"), CUT)
@@ -44,7 +47,8 @@ def extract_links(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode_outer(tags).alias("pos", "piece"))
     return (
         rows.withColumn("href", attribute(F.regexp_extract("piece", r"^([^>]*>)", 1), "href"))
-        .withColumn("inner", F.regexp_replace(F.regexp_extract("piece", r"(?s)^[^>]*>(.*)$", 1), r"<[^>]*>?", ""))
+        .withColumn("body", F.when(~F.lower("piece").startswith("<area"), F.regexp_extract("piece", r"(?s)^[^>]*>(.*)$", 1)))
+        .withColumn("inner", F.regexp_replace(F.coalesce("body", F.lit("")), r"<[^>]*>?", ""))
         .withColumn("href", decode_entities(F.col("href")))
         .select(
             "page_id",
@@ -126,20 +130,25 @@ def link_frontier(starts: DataFrame, edges: DataFrame, hops: int = MAX_HOPS) ->
     return seen
 
 
-def registered_domain(df: DataFrame, suffixes: DataFrame, url: str = "url", max_labels: int = 4) -> DataFrame:
+def registered_domain(df: DataFrame, suffixes: DataFrame, url: str = "url") -> DataFrame:
     """Split the host into subdomain, domain label and public suffix.
 
-    One look-up per possible suffix length instead of exploding the host, so rows
-    are never regrouped. `suffixes(suffix)` comes from a list of bounded size and is
-    small enough for Spark to broadcast it by itself.
+    One look-up per suffix length that `suffixes(suffix)` has, instead of exploding the
+    host, so rows are never regrouped. The table's size is counted first: up to
+    MAX_SUFFIXES rows it is broadcast, as its join key would gather all hosts of a suffix.
     """
+    suffixes = suffixes.select("suffix").where("suffix is not null").distinct()
+    n_suffixes, longest = suffixes.agg(F.count("*"), F.coalesce(F.max(F.size(F.split("suffix", r"\."))), F.lit(1))).first()
     labels = F.split(F.col("_host"), r"\.")
     out = df.withColumn("_host", U.url_host(F.col(url)))
-    for n in range(1, max_labels + 1):
+    lengths = range(1, longest + 1)
+    for n in lengths:
         tail = F.when(F.size(labels) > n, F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
-        known = suffixes.select(F.col("suffix").alias(f"_tail{n}"), F.lit(n).alias(f"_hit{n}"))
+        known = suffixes.where(F.size(F.split("suffix", r"\.")) == n).select(F.col("suffix").alias(f"_tail{n}"), F.lit(n).alias(f"_hit{n}"))
+        known = F.broadcast(known) if n_suffixes <= MAX_SUFFIXES else known
         out = out.withColumn(f"_tail{n}", tail).join(known, f"_tail{n}", "left").drop(f"_tail{n}")
-    size = F.coalesce(F.greatest(*[F.col(f"_hit{n}") for n in range(1, max_labels + 1)]), F.lit(0))
+    hits = [F.col(f"_hit{n}") for n in lengths]
+    size = F.coalesce(F.greatest(*hits) if longest > 1 else hits[0], F.lit(0))
     total = F.size(labels)
     suffix = F.array_join(F.slice(labels, total - size + 1, size), ".")
     label = F.element_at(labels, total - size)
@@ -149,7 +158,7 @@ def registered_domain(df: DataFrame, suffixes: DataFrame, url: str = "url", max_
         .withColumn("label", label)
         .withColumn("subdomain", F.array_join(F.slice(labels, 1, total - size - 1), "."))
         .withColumn("domain", F.when(size > 0, F.concat_ws(".", label, suffix)).otherwise(F.col("_host")))
-        .drop("_host", *[f"_hit{n}" for n in range(1, max_labels + 1)])
+        .drop("_host", *[f"_hit{n}" for n in lengths])
     )
 
 

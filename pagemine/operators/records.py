@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pagemine.functions.bind import once
 from pagemine.functions.skew import join_per_key
 from pagemine.operators.docs import body_text, node_at, node_text, outer_html, page_docs, with_content
-from pagemine.operators.fields import with_first_match, with_publish_date
+from pagemine.operators.dom import with_page_ids
+from pagemine.operators.fields import with_first_match, with_own_match, with_publish_date
 from pagemine.operators.media import content_images, content_video, with_breadcrumb
 from pagemine.operators.selectors import configured_first, drop_noise, guess_selector, selected, value_node, wrapped
 from pagemine.operators.titles import first_line, with_heading_title, with_sibling_titles, with_title, with_title_node
@@ -36,24 +37,28 @@ def extract_records(
 
     `pages` holds page_id, url, html and any further columns, which are kept. With
     `rules` and a column `site`, the selectors and patterns of the page's site are used
-    before anything is guessed. Fields that were not asked for are not computed.
+    before anything is guessed, and its noise is cut out first. Fields that were not asked for are not computed.
     """
     fields = fields or FIELDS
     unknown = set(fields) - set(FIELDS)
     if unknown:
         raise ValueError(f"unknown fields {sorted(unknown)}")
-    if noise:
-        pages = drop_noise(pages, page_docs(pages), noise)
-    docs = page_docs(pages)
+    pages = with_page_ids(pages)
     if rules is not None:
-        sites = join_per_key(pages.select("page_id", "site"), site_rule_arrays(rules), ["site"], F.col("page_id"), "left")
-        docs = docs.join(sites.select("page_id", "rules"), "page_id", "left")
+        of_site = join_per_key(pages.select("page_id", "site"), site_rule_arrays(rules), ["site"], F.col("page_id"), "left")
+        of_page = of_site.select("page_id", "rules")
 
     def exprs(field: str, kind: str) -> Column:
         own = F.filter(F.col("rules"), lambda r: (r["field"] == field) & (r["kind"] == kind))
         return F.coalesce(F.transform(own, lambda r: r["expr"]), F.array().cast("array<string>"))
 
+    if noise:
+        pages = drop_noise(pages, page_docs(pages), noise)
+    if rules is not None:
+        pages = drop_noise(pages, page_docs(pages).join(of_page, "page_id", "left"), exprs("noise_node", "noise"))
+    docs = page_docs(pages)
     if rules is not None:
+        docs = docs.join(of_page, "page_id", "left")
         configured = [f for f in fields if f in (*PATTERN_FIELDS, "publish_date")] + ["title", "content"]
         docs = once(docs, {f"set_{f}": configured_first(exprs(f, "selector")) for f in configured})
         docs = once(docs, {"channel_at": F.get(F.transform(
@@ -75,7 +80,8 @@ def extract_records(
     for name in matched:
         out = _with_pattern_match(out, name, "lines", exprs(name, "pattern") if has_rules else None)
     if "publish_date" in fields:
-        out = with_publish_date(once(out, {"body": body_text("")}), "body", DEFAULT_PATTERNS["publish_date"])
+        own_dates = exprs("publish_date", "pattern") if has_rules else None
+        out = with_publish_date(once(out, {"body": body_text("")}), "body", DEFAULT_PATTERNS["publish_date"], own_dates)
         matched.append("publish")
 
     # One pass builds the selectors of all the nodes that the fields were found in.
@@ -145,15 +151,7 @@ def _with_pattern_match(docs: DataFrame, name: str, text: str, own: Column | Non
     out = with_first_match(docs, text, DEFAULT_PATTERNS[name], f"{name}_match")
     if own is None:
         return out
-    hit = F.aggregate(
-        own,
-        F.lit("").cast("string"),
-        lambda found, pattern: F.when(found != "", found).when(F.regexp_like(F.col(text), pattern), pattern).otherwise(""),
-    )
-    out = once(out, {"_own": hit})
-    value = F.get(F.regexp_extract_all(F.col(text), F.col("_own"), F.lit(1)), F.lit(0))
-    match = F.struct(value.alias("found"), F.col("_own").alias("regex"))
-    return once(out, {f"{name}_match": F.when(F.col("_own") != "", match).otherwise(F.col(f"{name}_match"))}).drop("_own")
+    return with_own_match(out, text, own, f"{name}_match")
 
 
 def has_value(field: str) -> Column:

@@ -229,26 +229,30 @@ def configured_first(exprs: Column) -> Column:
     return F.get(F.filter(tried, lambda t: F.coalesce(t["value"], F.lit("")) != ""), F.lit(0))
 
 
-def drop_noise(pages: DataFrame, docs: DataFrame, selectors: list[str]) -> DataFrame:
+def drop_noise(pages: DataFrame, docs: DataFrame, selectors: list[str] | Column) -> DataFrame:
     """Pages without the subtrees that the noise selectors select; no selectors, no change.
 
-    The tokens of the noise subtrees are cut out of the page, which is then measured as
-    if they had never been there.
+    `selectors` is a list for all pages, or an array column of `docs`. The tokens of the noise
+    subtrees are cut out of the page, which is then measured as if they had never been there.
     """
-    if not selectors:
-        return pages
-    spans = F.flatten(
-        F.array(*[
-            F.transform(_select(F.lit(x)), lambda n: F.struct(n["seq"].alias("seq"), n["end_seq"].alias("end_seq"), n["tag"].alias("tag")))
-            for x in selectors
-        ])
-    )
+    if isinstance(selectors, list):
+        if not selectors:
+            return pages
+        selectors = F.array(*[F.lit(x) for x in selectors])
+
+    def spans_of(selector: Column) -> Column:
+        return F.transform(_select(selector), lambda n: F.struct(n["seq"].alias("seq"), n["end_seq"].alias("end_seq"), n["tag"].alias("tag")))
+
+    spans = F.flatten(F.transform(selectors, spans_of))
     noisy = once(docs, {"_noise": spans}).select("page_id", "_noise")
     tokens = once(pages.join(noisy, "page_id", "left"), {"_tokens": token_array(F.col("html"))})
+    # an element may have been given another tag; its end tag has the name it began with
+    written = lambda span: F.lower(F.regexp_extract(F.get("_tokens", (span["seq"] / 2).cast("int")), r"^<([A-Za-z][A-Za-z0-9:-]*)", 1))
+    tokens = once(tokens, {"_noise": F.transform("_noise", lambda span: span.withField("tag", written(span)))})
 
     def clean(token: Column, at: Column) -> Column:
         def hit(span: Column) -> Column:
-            own_end = (2 * at == span["end_seq"]) & F.lower(token).startswith(F.concat(F.lit("</"), span["tag"]))
+            own_end = (2 * at == span["end_seq"]) & (F.lower(F.regexp_extract(token, r"^</([A-Za-z][A-Za-z0-9:-]*)", 1)) == span["tag"]) & (span["tag"] != "")
             return ((2 * at >= span["seq"]) & (2 * at < span["end_seq"])) | own_end
 
         return F.when(F.exists(F.coalesce("_noise", F.array()), hit), "").otherwise(token)

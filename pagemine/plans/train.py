@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from pagemine.functions import urls as U
 from pagemine.functions.skew import cut_lineage, join_per_key
-from pagemine.operators.links import MAX_PAGES_PER_SITE, cap_pages_per_site
+from pagemine.operators.links import cap_pages_per_site
 from pagemine.operators.mining import best_site_rule, mine_url_rules
 from pagemine.operators.records import common_selectors, extract_records, quality_gate, site_sample
-from pagemine.sources.tables import publish_config, site_config_rows, site_rule_rows
+from pagemine.sources.tables import SITE_KEYS, config_rules, current_configs, publish_config, site_config_rows, site_rule_rows, upsert
 
 
 class Trained(NamedTuple):
@@ -28,15 +28,24 @@ def train_sites(
     now: Column,
     versions: DataFrame | None = None,
     rules: DataFrame | None = None,
-    max_pages: int | None = MAX_PAGES_PER_SITE,
+    max_pages: int | None = None,
     gate: bool = True,
+    site_rules: DataFrame | None = None,
+    site_configs: DataFrame | None = None,
 ) -> Trained:
     """Pages (page_id, site, url, html) → records, URL rules and the two site tables.
 
-    `max_pages` is the page limit of one site run, None for all pages. The records are
+    With the two tables of earlier runs, their newest configs serve as rules and versions
+    where none are given, fields that are not learned anew keep them, and this run's rows are
+    upserted into what is returned. All pages are taken unless `max_pages` limits those of a site. The records are
     written once and read by the mining, the filter, the selectors and the sample.
     """
     sites = pages.select("site").distinct()
+    current = None
+    if site_configs is not None:
+        current = config_rules(site_configs)
+        rules = current if rules is None else rules
+        versions = current_configs(site_configs).select("site", "version") if versions is None else versions
     if max_pages is not None:
         chosen = cap_pages_per_site(pages.select("site", "page_id"), max_pages)
         pages = pages.join(chosen.select("page_id"), "page_id", "left_semi")
@@ -50,7 +59,7 @@ def train_sites(
         (F.col("article_regex") != "") & F.regexp_like("url", F.col("article_regex"))
     )
     known = sites.withColumn("version", F.lit(0)) if versions is None else sites.join(versions, "site", "left")
-    configs = publish_config(common_selectors(matching), known)
+    configs = publish_config(common_selectors(matching), known, current)
     starts = pages.groupBy("site").agg(F.min_by(U.site_root(F.col("url")), "page_id").alias("root"))
     described = (
         configs.select("site", "version")
@@ -64,9 +73,11 @@ def train_sites(
             F.array("site").alias("allowed_domains"),
         )
     )
+    new_rules = site_rule_rows(described, job_id, now)
+    new_configs = site_config_rows(configs, site_sample(matching), job_id, now)
     return Trained(
         records,
         mined,
-        site_rule_rows(described, job_id, now),
-        site_config_rows(configs, site_sample(matching), job_id, now),
+        new_rules if site_rules is None else upsert(site_rules, new_rules, SITE_KEYS, "version"),
+        new_configs if site_configs is None else upsert(site_configs, new_configs, SITE_KEYS, "version"),
     )

@@ -48,17 +48,17 @@ def read_link_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("link")).where("link <> ''")
 
 
-def mine_link_lines(spark: SparkSession, path: str) -> DataFrame:
-    """URL rules of a link list: prefix = scheme://host of the first line, the top 5."""
-    links = read_link_lines(spark, path)
-    first = links.first()
-    if first is None:
-        root = ""
-    else:
-        scheme = "https" if first.link.startswith("https") else "http"
-        root = f"{scheme}://{first.link.split('/')[2]}"
-    urls = links.select(F.lit(root).alias("site"), F.col("link").alias("url"))
-    return mine_url_rules(urls, prefix=root, nums=5)
+def mine_link_lines(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    """URL rules of a link list, the top 5 per site.
+
+    The rules begin with the site, scheme://host: that of each line, or `root` for all lines
+    where it is given. Files have no order among each other, so no line is the first one;
+    lines without a host have the site ''.
+    """
+    own = F.regexp_extract("link", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1) if root is None else F.lit(root)
+    urls = read_link_lines(spark, path).select(own.alias("site"), F.col("link").alias("url"))
+    rules = mine_url_rules(urls, prefix="", nums=5)
+    return rules.withColumn("regex", F.concat("site", "regex"))
 
 
 def write_records(records: DataFrame, path: str) -> None:

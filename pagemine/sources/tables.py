@@ -16,12 +16,37 @@ def upsert(existing: DataFrame, updates: DataFrame, keys: list[str], order_col:
     return both.withColumn("_rank", F.row_number().over(latest)).where("_rank = 1").drop("_rank", "_new")
 
 
-def publish_config(selectors: DataFrame, versions: DataFrame) -> DataFrame:
+_CONFIG = "map<string, struct<XPATH: array<string>, PATTERN: array<string>>>"
+
+
+def current_configs(configs: DataFrame) -> DataFrame:
+    """(site, version, config): the newest published config of every site."""
+    newest = configs.groupBy("web_name").agg(F.max("version").alias("version"), F.max_by("config", F.struct("version", "job_id")).alias("config"))
+    return newest.withColumnRenamed("web_name", "site")
+
+
+def config_rules(configs: DataFrame) -> DataFrame:
+    """Published configs as field_rules rows (site, field, kind, priority, expr): a config's order is its priority."""
+    parsed = current_configs(configs).select("site", F.explode(F.from_json("config", _CONFIG)).alias("field", "own"))
+    kinds = F.array(
+        F.struct(F.lit("selector").alias("kind"), F.col("own.XPATH").alias("exprs")),
+        F.struct(F.lit("pattern").alias("kind"), F.col("own.PATTERN").alias("exprs")),
+    )
+    rows = parsed.select("site", "field", F.inline(kinds))
+    return rows.select("site", "field", "kind", F.posexplode("exprs").alias("priority", "expr"))
+
+
+def publish_config(selectors: DataFrame, versions: DataFrame, current: DataFrame | None = None) -> DataFrame:
     """(site, version + 1, config): the learned selectors and patterns of a site as JSON.
 
-    One config is one cell by contract. Its rows are distinct per (site, field, expr)
-    already and, after the page cap of a site run, at most that many per field.
+    Fields that this run learned replace those of the `current` rules (site, field, kind, expr);
+    current rules of other fields stay. One config is one cell by contract: it grows with the
+    distinct selectors of a site, which a page cap of the run bounds where one is set.
     """
+    if current is not None:
+        kept = current.where("kind in ('selector', 'pattern')").join(selectors.select("site", "field").distinct(), ["site", "field"], "left_anti")
+        columns = ["site", "field", "kind", "expr"]
+        selectors = selectors.select(*columns).unionByName(kept.select(*columns))
     per_field = selectors.groupBy("site", "field").agg(
         F.sort_array(F.collect_list(F.when(F.col("kind") == "selector", F.col("expr")))).alias("XPATH"),
         F.sort_array(F.collect_list(F.when(F.col("kind") == "pattern", F.col("expr")))).alias("PATTERN"),

@@ -19,14 +19,9 @@ from pagemine.operators.records import extract_records
 from pagemine.sources.files import PAGES
 
 
-def page_stream(spark: SparkSession, folder: str, glob: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
-    """Pages from the parquet files that arrive in a folder."""
-    return (
-        spark.readStream.schema(PAGES)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+def page_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Pages from the parquet files that arrive in a folder; `path` may also be a pattern or one file."""
+    return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
