@@ -79,7 +79,8 @@ def word_frequencies(texts: DataFrame, templates: list[Template]) -> dict[bytes,
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
     rows = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word binary, n long")
-    return {bytes(row.word): row.n for row in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    sums = rows.groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(sums.column("word").to_pylist(), sums.column("n").to_pylist(), strict=True))
 
 
 class Scanner:

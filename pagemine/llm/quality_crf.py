@@ -207,11 +207,12 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most 2 * per_label ids are broadcast
     sample = texts.join(F.broadcast(picked), "doc_id").mapInArrow(features, "doc_id long, label int, features binary")
-    rows = sample.orderBy("doc_id", "features").limit(4 * per_label).collect()
-    if len({row.label for row in rows}) < 2:
+    rows = sample.orderBy("doc_id", "features").limit(4 * per_label).toArrow()
+    labels = rows.column("label").to_pylist()
+    if len(set(labels)) < 2:
         return None
-    chains = [with_neighbours(np.frombuffer(row.features, np.float32).reshape(-1, BASE).astype(float)) for row in rows]
-    return fit(chains, [row.label for row in rows])
+    chains = [with_neighbours(np.frombuffer(f, np.float32).reshape(-1, BASE).astype(float)) for f in rows.column("features").to_pylist()]
+    return fit(chains, labels)
 
 
 def score_documents(docs: DataFrame, model: Crf | None, threshold: float = 0.7) -> DataFrame:

@@ -249,7 +249,8 @@ class Directory:
 
 def read_directory(directory: DataFrame) -> Directory:
     """At most directory_lines rows, by construction."""
-    return Directory([tuple(r) for r in directory.select("first_key", "first_id", "file", "offset", "length").collect()])
+    rows = directory.select("first_key", "first_id", "file", "offset", "length").toArrow()
+    return Directory(list(zip(*(c.to_pylist() for c in rows.columns), strict=True)))
 
 
 def _captures_of_block(packed: bytes) -> list[tuple]:
