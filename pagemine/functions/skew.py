@@ -25,23 +25,13 @@ def join_per_key(big: DataFrame, small: DataFrame, keys: list[str], spread: Colu
     return salted.join(copies, keys + ["_salt"], how).drop("_salt")
 
 
-def first_rows_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, spread: Column) -> DataFrame:
-    """The first n rows of every key, in two steps.
+def first_rows_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of every key.
 
-    The first step ranks inside (key, salt), so a hot key is cut to n rows per salt
-    by many tasks; the second ranks at most n * salts rows of each key.
+    Spark cuts each task's rows of a key to n before the shuffle, so a hot key sends n rows per task.
     """
-    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
-    near = W.partitionBy(*keys, "_salt").orderBy(*order)
-    far = W.partitionBy(*keys).orderBy(*order)
-    return (
-        df.withColumn("_salt", salt)
-        .withColumn("_rank", F.row_number().over(near))
-        .where(F.col("_rank") <= n)
-        .withColumn("_rank", F.row_number().over(far))
-        .where(F.col("_rank") <= n)
-        .drop("_rank", "_salt")
-    )
+    ranked = df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col("_rank") <= n).drop("_rank")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

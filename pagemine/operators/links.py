@@ -113,7 +113,7 @@ def sample_links(links: DataFrame, share: float = LINK_SHARE, seed: str = "0") -
 
 def cap_pages_per_site(pages: DataFrame, n: int = MAX_PAGES_PER_SITE) -> DataFrame:
     """The first n pages of every site, by page_id."""
-    return first_rows_per_key(pages, ["site"], [F.col("page_id")], n, F.col("page_id"))
+    return first_rows_per_key(pages, ["site"], [F.col("page_id")], n)
 
 
 def link_frontier(starts: DataFrame, edges: DataFrame, hops: int = MAX_HOPS) -> DataFrame:

@@ -202,8 +202,8 @@ def common_selectors(records: DataFrame) -> DataFrame:
 
 
 def site_sample(records: DataFrame) -> DataFrame:
-    """First record per site: its URL and full values as JSON; null where there is none."""
+    """First record per site, by page_id: its URL and full values as JSON. Only ids are compared, no records sorted."""
     names = ["url", *record_fields(records)]
-    first = F.min_by(F.struct(*names), "page_id")
-    found = records.groupBy("site").agg(first.alias("_first"))
-    return found.select("site", F.col("_first.url").alias("sample"), F.to_json("_first").alias("sample_values"))
+    first = records.groupBy("site").agg(F.min("page_id").alias("page_id"))
+    found = records.join(first, ["site", "page_id"], "left_semi")
+    return found.select("site", F.col("url").alias("sample"), F.to_json(F.struct(*names)).alias("sample_values"))

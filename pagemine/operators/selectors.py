@@ -222,11 +222,15 @@ def selector_pool(docs: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 def configured_first(exprs: Column) -> Column:
     """struct(xpath, value) of the first selector with a non-empty first value, null if none."""
-    tried = F.transform(
-        exprs,
-        lambda expr: F.struct(expr.alias("xpath"), F.get(F.transform(select_values(expr), lambda v: v["value"]), F.lit(0)).alias("value")),
-    )
-    return F.get(F.filter(tried, lambda t: F.coalesce(t["value"], F.lit("")) != ""), F.lit(0))
+    nothing = F.lit(None).cast("struct<xpath:string,value:string>")
+
+    def tried(expr: Column) -> Column:
+        value = F.get(F.transform(select_values(expr), lambda v: v["value"]), F.lit(0))
+        hit = F.filter(F.array(F.struct(expr.cast("string").alias("xpath"), value.cast("string").alias("value"))), lambda t: F.coalesce(t["value"], F.lit("")) != "")
+        return F.get(hit, F.lit(0))
+
+    # once a selector has hit, the rest is not evaluated
+    return F.aggregate(exprs, nothing, lambda found, expr: F.when(found.isNotNull(), found).otherwise(tried(expr)))
 
 
 def drop_noise(pages: DataFrame, docs: DataFrame, selectors: list[str] | Column) -> DataFrame:

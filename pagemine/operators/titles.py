@@ -31,13 +31,19 @@ def with_title(docs: DataFrame, configured: Column | None = None) -> DataFrame:
 
 
 def word_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Word bag of a text: (keys, word, n).
+    """Word bag of the text of every row: (keys, word, n).
 
-    Every text is counted inside its own row first (sorted words, run lengths), so only
-    distinct words per row are shuffled.
+    The words are sorted inside the row and counted as run lengths: nothing is shuffled.
     """
-    rows = df.select(*keys, F.explode_outer(words(F.col(text))).alias("word")).where("word is not null")
-    return rows.groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    bag = once(df, {"_bag": F.sort_array(words(F.col(text)))})
+    places = F.when(F.size("_bag") > 0, F.sequence(F.lit(0), F.size("_bag") - 1))
+    first = F.filter(places, lambda at: (at == 0) | (F.get("_bag", at) != F.get("_bag", at - 1)))
+    bag = once(bag, {"_first": first})
+    runs = F.transform(
+        "_first",
+        lambda at, nth: F.struct(F.get("_bag", at).alias("word"), (F.coalesce(F.get("_first", nth + 1), F.size("_bag")) - at).cast("bigint").alias("n")),
+    )
+    return bag.select(*keys, F.inline(runs))
 
 
 def cosine(left: Column, right: Column) -> Column:
