@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,10 +18,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    A session on one machine that names none gets a temporary one; a cluster must name it.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="shared-")
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -46,7 +54,7 @@ def sha256_hex(data: bytes) -> str:
 
 # Union-find inside a task, so that only a spanning forest of its edges is shuffled.
 
-FOREST_EDGES = 500_000
+FOREST_EDGES = 200_000
 
 
 def forest(parent: dict[int, int]) -> Iterator[tuple[int, int]]:
@@ -74,7 +82,7 @@ def unite(parent: dict[int, int], a: int, b: int) -> None:
 
 
 def _contract(batches):
-    """Edges of a task to star edges (node, root); the forest is emptied every FOREST_EDGES edges."""
+    """Edges of a task to star edges (node, root); a forest grown over 2 * FOREST_EDGES edges is sent on."""
     parent: dict[int, int] = {}
     seen = 0
 
@@ -88,7 +96,7 @@ def _contract(batches):
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             unite(parent, a, b)
         seen += batch.num_rows
-        if seen >= FOREST_EDGES:
+        if seen >= 2 * FOREST_EDGES:
             yield flush()
             parent, seen = {}, 0
     if parent:
@@ -98,15 +106,17 @@ def _contract(batches):
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) per node with an edge to another.
 
-    component is the smallest node reachable. Alternates large-star and small-star
-    steps, each a min per node (combined before its shuffle) joined back to the edges;
-    a hot node's edges are split by adaptive execution. Every step is staged. Loops
-    and repeated edges change nothing; no edges give no rows.
+    component is the smallest node reachable. Each task first reduces up to FOREST_EDGES
+    edges to a forest. Where that took several tasks, large-star and small-star steps
+    alternate, each a min per node (combined before its shuffle) joined back to the edges;
+    a hot node's edges are split by adaptive execution. Every step is staged. Loops and
+    repeated edges change nothing; no edges give no rows.
     """
-    now = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    now = staged(now.mapInArrow(_contract, "a long, b long"), "edges")
+    now = staged(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), "edges")
+    tasks = -(-now.count() // FOREST_EDGES)
+    now = staged(now.coalesce(max(1, tasks)).mapInArrow(_contract, "a long, b long"), "forest")
     mark = None
-    while True:
+    while tasks > 1:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -166,8 +176,8 @@ def bucket_counts(df: DataFrame, hashes_of, bits: int) -> np.ndarray:
 
     parts = df.mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInArrow(_streamed(total), "piece int, counts binary")
     table = np.zeros(size, np.int64)
-    for row in parts.collect():
-        table[row.piece * width : (row.piece + 1) * width] = np.frombuffer(row.counts, np.int64)
+    for row in parts.toArrow().to_pylist():
+        table[row["piece"] * width : (row["piece"] + 1) * width] = np.frombuffer(row["counts"], np.int64)
     return table
 
 
@@ -194,11 +204,10 @@ def key_filter(keys: DataFrame) -> np.ndarray:
         keys.select(F.pmod("key", F.lit(words)).cast("int").alias("word"), F.pmod(F.shiftright("key", 40), F.lit(64)).cast("int").alias("bit"))
         .groupBy("word")
         .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
-        .collect()
+        .toArrow()
     )
     table = np.zeros(words, np.int64)
-    for row in rows:
-        table[row.word] = row.mask
+    table[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
     return table
 
 

@@ -11,10 +11,12 @@ same bucket add up. That changes which n-grams come first, never the result.
 
 Groups of copies. Texts with equal word sequences are one class. Between classes the
 answer asked for is who reaches whom, so a group that shares a prefix n-gram is not
-expanded into all its pairs: first every member meets two members of its group, and links
-found join their components; later rounds do so for members still in different
-components; at last all pairs across components are verified. A pair inside a component
-is not looked at: it could only confirm what is known. No cap is involved.
+expanded into all its pairs: first every member meets the hubs of its group, and the
+links found join components; then all pairs across components are verified. A pair inside
+a component is not looked at: it could only confirm what is known. Hubs are the members
+that hold the shared n-gram earliest in their prefix, that is those with the fewest rare
+n-grams of their own, which in a family of copies are the ones most others are near to.
+No cap is involved: hubs only decide what is looked at first.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from pagemine.llm.common import bucket_counts, components, in_filter, key_filter
 BUCKET_BITS = 20
 #: Hash ranges of the suffix filter.
 RANGES = 16
-#: Rounds in which members of a group meet two members only.
-ROUNDS = 2
+#: Hubs of a group: one for each residue of the class key.
+HUBS = 8
 WORDS_KEPT = 400_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -110,14 +112,14 @@ def _summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 [
                     batch.column("doc_id"),
                     pa.array(keys, pa.int64()),
-                    pa.array(sizes, pa.int64()),
+                    pa.array(sizes, pa.int32()),
                     pa.array(ranges, pa.list_(pa.int32())),
                     pa.array(prefixes, pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "key", "n", "ranges", "prefix"],
             )
 
-    schema = "doc_id long, key long, n long, ranges array<int>, prefix array<long>"
+    schema = "doc_id long, key long, n int, ranges array<int>, prefix array<long>"
     return staged(docs.mapInArrow(summarise, schema), "shingles")
 
 
@@ -195,27 +197,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     ends = grams.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("token")
     shared = staged(grams.join(ends, "token").distinct(), "shared")
 
-    links = None
-    labelled = shared.withColumn("component", F.col("key"))
-    for _ in range(ROUNDS):
-        ends = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        hubs = (
-            labelled.join(ends, "token")
-            .where("component = low or component = high")
-            .groupBy("token", "component")
-            .agg(F.min("key").alias("key"))
-            .join(labelled.select("token", "key", "n", "pos"), ["token", "key"])
-        )
-        met = hubs.alias("x").join(labelled.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & _fits(percent))
-        found = staged(_verified(docs, _ordered(met), classes, size, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = staged(components(links), "labels")
-        labelled = staged(
-            shared.join(labels.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("component")),
-            "labelled",
-        )
+    slot = F.pmod("key", F.lit(HUBS))
+    hubs = shared.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("pos", "key", "n")).alias("hub")).select("token", "hub.*")
+    met = hubs.alias("x").join(shared.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.key") != F.col("y.key")) & _fits(percent))
+    links = staged(_verified(docs, _ordered(met), classes, size, percent), "links")
+    labels = staged(components(links), "labels").withColumnRenamed("node", "key")
+    labelled = shared.join(labels, "key", "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("component"))
+    labelled = staged(labelled, "labelled")
     ends = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    open_rows = staged(labelled.join(ends, "token"), "open")
+    open_rows = staged(labelled.join(ends, "token"), "open")  # groups that span components
     met = open_rows.alias("x").join(open_rows.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _fits(percent))
     links = links.unionByName(_verified(docs, _ordered(met), classes, size, percent))
     labels = staged(components(links), "labels")
@@ -225,6 +215,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     named = named.join(smallest, "component").select("key", "component_id")
     return rows.join(named, "key", "left").select(
         "doc_id",
-        F.col("n").alias("n_shingles"),
+        F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
