@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The model is fitted on at most so many documents of each label, with at most so many lines each.
-TRAIN_PER_LABEL, TRAIN_LINES = 1000, 200
+#: The model is fitted on so many labelled documents, on so many more of each label so that none
+#: is missing, and only on documents with at most so many lines.
+TRAIN_DOCS, TRAIN_PER_LABEL, TRAIN_LINES = 2500, 100, 200
 EPOCHS, RATE, L2 = 300, 0.2, 1e-4
 SLICE = 256
 
@@ -173,11 +174,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, max_lines: int = TRAIN_LINES) -> Crf | None:
+def train(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS, per_label: int = TRAIN_PER_LABEL, max_lines: int = TRAIN_LINES) -> Crf | None:
     """Fit on a bounded sample of labels(doc_id, quality) outside the held-out part.
 
-    The sample: of each label the per_label ids with the smallest hash, and of their documents
-    those with at most max_lines lines. Ids with contradicting labels and null labels are not
+    The sample: the n_docs ids with the smallest hash, so labels are as frequent as they are, and
+    of each label the per_label ids with the smallest hash; of their documents those with at most
+    max_lines lines. Ids with contradicting labels and null labels are not
     used. None where a label has no document.
     """
     known = (
@@ -187,10 +189,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL,
         .where("label = _max")
         .select("doc_id", "label")
     )
-    picked = None
+    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs)
     for value in (0, 1):
-        part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
-        picked = part if picked is None else picked.unionByName(part)
+        picked = picked.unionByName(known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label))
+    picked = picked.distinct()
 
     def features(batches):
         for batch in batches:
@@ -205,9 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL,
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # at most 2 * per_label ids are broadcast
+    # at most n_docs + 2 * per_label ids are broadcast
     sample = texts.join(F.broadcast(picked), "doc_id").mapInArrow(features, "doc_id long, label int, features binary")
-    rows = sample.orderBy("doc_id", "features").limit(4 * per_label).toArrow()
+    rows = sample.orderBy("doc_id", "features").limit(2 * (n_docs + per_label)).toArrow()
     labels = rows.column("label").to_pylist()
     if len(set(labels)) < 2:
         return None
