@@ -19,6 +19,10 @@ from pagemine.operators.records import extract_records
 from pagemine.sources.files import PAGES
 
 
+#: Parts of the URL store of a training stream.
+STORE_PARTS = 256
+
+
 def page_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Pages from the parquet files that arrive in a folder; `path` may also be a pattern or one file."""
     return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -56,16 +60,21 @@ def stream_dedup_urls(urls: DataFrame, event_time: str | None = None, delay: str
 def stream_train(urls: DataFrame, store: str, checkpoint: str, nums: int = 5) -> StreamingQuery:
     """Re-mine the rules of the sites that a batch touches.
 
-    `urls(site, url)`. The store keeps the URLs and the rules per batch; `latest_rules`
-    reads the newest rules of every site.
+    `urls(site, url)`. The store keeps the URLs by a hash of their site and per batch, so
+    that a batch reads only the parts its sites fall into, and the rules per batch;
+    `latest_rules` reads the newest rules of every site.
     """
+    part = F.pmod(F.xxhash64("site"), F.lit(STORE_PARTS)).cast("int")
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.select("site", "url").dropDuplicates()
-        fresh.write.mode("overwrite").parquet(f"{store}/urls/batch={batch_id}")
-        touched = spark.read.parquet(f"{store}/urls/batch={batch_id}").select("site").distinct()
-        known = spark.read.parquet(f"{store}/urls").where(F.col("batch") <= batch_id)
+        fresh.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{store}/urls/batch={batch_id}")
+        written = spark.read.schema("site string, url string, part int").parquet(f"{store}/urls/batch={batch_id}")
+        touched = written.select("site").distinct()
+        parts = written.agg(F.collect_set("part")).first()[0]  # at most STORE_PARTS numbers
+        stored = spark.read.schema("site string, url string, batch long, part int").parquet(f"{store}/urls")
+        known = stored.where((F.col("batch") <= batch_id) & F.col("part").isin(parts))
         again = known.join(touched, "site", "left_semi").select("site", "url").dropDuplicates()
         mine_url_rules(again, nums=nums).write.mode("overwrite").parquet(f"{store}/rules/batch={batch_id}")
 
