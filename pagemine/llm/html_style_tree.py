@@ -45,6 +45,9 @@ NAMES_OUT = frozenset(
     "breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices comment comments disqus reply replies respond newsletter subscribe "
     "signup login share sharing social related recommended popup modal overlay pagination pager widget toolbar skip".split()
 )
+#: Names that begin so speak of other parts (has-sidebar); elements whose names do not count.
+ABOUT_OTHERS = frozenset("has with no without".split())
+WHOLE = frozenset("html body main".split())
 #: Elements that an opening tag closes when they are open, nearest first.
 P_ENDS = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -70,8 +73,13 @@ def _declared(tag: str, attributes: dict[str, str], inside_main: bool) -> bool:
         return True
     if attributes.get("role", "").lower() in ROLES_OUT:
         return True
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return not NAMES_OUT.isdisjoint(word.lower() for word in _NAME_WORD.findall(names))
+    if tag in WHOLE:
+        return False
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = [word.lower() for word in _NAME_WORD.findall(name)]
+        if words and words[0] not in ABOUT_OTHERS and not NAMES_OUT.isdisjoint(words):
+            return True
+    return False
 
 
 def _hash(text: str) -> int:

@@ -18,6 +18,7 @@ CASES = [
     ("<article><ul><li>a<li>b <i>c</i></ul><p hidden>h</p><p style='display:none'>d</p></article>", "a b c"),
     ("<article><script>never closed <p>x</article>", ""),
     ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>", "deep"),
+    ("<body class='has-sidebar'><div class='with-sidebar'><p>kept</p></div><div class='mainMenu'>m</div></body>", "kept"),
     ("<article><p>gradient shadows addition navigate</p><p class='gradient shadow'>kept</p></article>", "gradient shadows addition navigate kept"),
 ]
 
