@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagemine.operators.mining import mine_url_rules
-from pagemine.operators.records import extract_records
+from pagemine.operators.records import extract_records, quality_gate
 from pagemine.sources.files import PAGES
 
 
@@ -37,11 +37,28 @@ def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint
     )
 
 
-def stream_records(pages: DataFrame, out: str, checkpoint: str, fields: list[str] | None = None) -> StreamingQuery:
-    """Extract the records of every arriving page and append them to `out`."""
+def stream_records(
+    pages: DataFrame,
+    out: str,
+    checkpoint: str,
+    fields: list[str] | None = None,
+    site: Column | None = None,
+    rules: DataFrame | None = None,
+    gate: bool = False,
+    job_id: str | None = None,
+) -> StreamingQuery:
+    """Extract the records of every arriving page and append them to `out`.
+
+    `site` derives a page's site where the pages have no such column; with `rules` a site's own
+    rules come first. `gate` keeps good records only, `job_id` marks the run they belong to.
+    """
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        extract_records(batch, fields=fields).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch = batch if site is None else batch.withColumn("site", site)
+        records = extract_records(batch, rules, fields=fields)
+        records = quality_gate(records) if gate else records
+        records = records if job_id is None else records.withColumn("job_id", F.lit(job_id))
+        records.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return _start(pages, work, checkpoint)
 

@@ -11,6 +11,7 @@ from pagemine.operators.links import extract_links, registered_domain
 from pagemine.operators.selectors import drop_noise
 from pagemine.plans.train import train_sites
 from pagemine.sources import files, tables
+from pagemine.streaming import jobs
 
 RULES = "site string, field string, kind string, priority int, expr string"
 
@@ -87,3 +88,16 @@ def test_a_second_run_uses_and_replaces_the_first(spark):
     configs = {r.job_id: r for r in two.site_configs.collect()}
     assert configs["two"].version == 2 and json.loads(configs["two"].config)["content"] == json.loads(configs["one"].config)["content"]
     assert json.loads(configs["two"].sample_values)["title"]["value"] == "Story 0 today"
+
+
+def test_streamed_records_use_site_rules_gate_and_job(spark, tmp_path):
+    good = '<html><head><title>T</title></head><body><div class="art"><h1>Big headline</h1><p>Posted 2020-01-02 by x, long text, really.</p></div></body></html>'
+    rows = [(1, "http://a/1", good), (2, "http://a/2", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "in"))
+    rules = spark.createDataFrame([("a", "title", "selector", 0, "//h1")], RULES)
+    stream = jobs.page_stream(spark, str(tmp_path / "in"))
+    site = F.regexp_extract("url", "//([^/]+)", 1)
+    fields = ["title", "content", "publish_date", "channel"]
+    jobs.stream_records(stream, str(tmp_path / "out"), str(tmp_path / "state"), fields, site, rules, job_id="j").awaitTermination()
+    first, second = spark.read.parquet(str(tmp_path / "out")).orderBy("page_id").collect()
+    assert (first.title.xpath, first.title.value, first.site, first.job_id) == ("//h1", "Big headline", "a", "j") and second.content is None
