@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from pagemine.llm.common import bucket_counts, components, in_filter, key_filter, staged
 
 BUCKET_BITS = 20
-#: Hash ranges of the suffix filter.
-RANGES = 16
+#: Hash ranges of the suffix filter, and 64-bit words of its parity bits.
+RANGES, PARITY_WORDS = 16, 16
 #: Hubs of a group: one for each residue of the class key.
 HUBS = 8
 WORDS_KEPT = 400_000
@@ -77,6 +77,16 @@ def shingles(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(_mix(rolled))
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """A bit per residue of the hash: whether an odd number of n-grams has it.
+
+    Every n-gram that only one of two sets has flips one bit, so two sets differ by at
+    least as many n-grams as their parities by bits.
+    """
+    bits = np.bincount((grams & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(bits.astype(bool)).view(np.int64)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
@@ -86,7 +96,7 @@ def _texts(batch) -> list[str | None]:
 
 
 def _summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Per row: id, class key, set size, counts per hash range, prefix n-grams rare first."""
+    """Per row: id, class key, set size, counts per hash range, parity bits, prefix n-grams rare first."""
     spark = docs.sparkSession
 
     def hashes_of(batch):
@@ -99,13 +109,14 @@ def _summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def summarise(batches):
         known, often = WordHashes(), counts.value
         for batch in batches:
-            keys, sizes, ranges, prefixes = [], [], [], []
+            keys, sizes, ranges, parities, prefixes = [], [], [], [], []
             for text in _texts(batch):
                 words = words_of(text)
                 grams = shingles(words, size, known)
                 keys.append(class_key(words))
                 sizes.append(len(grams))
                 ranges.append(np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=RANGES).astype(np.int32))
+                parities.append(parity(grams))
                 order = np.argsort(often[(grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], kind="stable")
                 prefixes.append(grams[order[: prefix_length(len(grams), percent)]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -114,12 +125,13 @@ def _summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     pa.array(keys, pa.int64()),
                     pa.array(sizes, pa.int32()),
                     pa.array(ranges, pa.list_(pa.int32())),
+                    pa.array(parities, pa.list_(pa.int64())),
                     pa.array(prefixes, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "key", "n", "ranges", "prefix"],
+                names=["doc_id", "key", "n", "ranges", "parity", "prefix"],
             )
 
-    schema = "doc_id long, key long, n int, ranges array<int>, prefix array<long>"
+    schema = "doc_id long, key long, n int, ranges array<int>, parity array<long>, prefix array<long>"
     return staged(docs.mapInArrow(summarise, schema), "shingles")
 
 
@@ -151,13 +163,15 @@ def _sets(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) of class keys, those with a similarity of at least percent / 100."""
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    side = classes.select("key", "n", "ranges")
-    apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    side = classes.select("key", "n", "ranges", "parity")
+    total = lambda column: F.aggregate(column, F.lit(0), lambda s, x: s + x)
+    moved = total(F.zip_with("ra", "rb", lambda x, y: F.abs(x - y)))
+    flipped = total(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
     narrow = (
-        pairs.join(side.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("ranges").alias("ra")), "a")
-        .join(side.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("ranges").alias("rb")), "b")
-        # suffix filter: what two sets differ by per hash range bounds what they share
-        .where(apart <= F.col("na") + F.col("nb") - 2 * need)
+        pairs.join(side.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("ranges").alias("ra"), F.col("parity").alias("pa")), "a")
+        .join(side.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("ranges").alias("rb"), F.col("parity").alias("pb")), "b")
+        # suffix filter: what two sets are seen to differ by bounds what they share
+        .where(F.greatest(moved, flipped) <= F.col("na") + F.col("nb") - 2 * need)
         .select("a", "b")
     )
     narrow = staged(narrow, "pairs")
@@ -191,7 +205,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = _summaries(docs, size, percent)
-    classes = rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges"), F.min("doc_id").alias("doc_id"))
+    classes = rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges"), F.first("parity").alias("parity"), F.min("doc_id").alias("doc_id"))
     classes = staged(classes, "classes")
     grams = rows.select("key", "n", F.posexplode("prefix").alias("pos", "token"))
     ends = grams.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("token")
@@ -200,14 +214,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     slot = F.pmod("key", F.lit(HUBS))
     hubs = shared.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("pos", "key", "n")).alias("hub")).select("token", "hub.*")
     met = hubs.alias("x").join(shared.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.key") != F.col("y.key")) & _fits(percent))
-    links = staged(_verified(docs, _ordered(met), classes, size, percent), "links")
+    tried = staged(_ordered(met), "tried")
+    links = staged(_verified(docs, tried, classes, size, percent), "links")
     labels = staged(components(links), "labels").withColumnRenamed("node", "key")
     labelled = shared.join(labels, "key", "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("component"))
     labelled = staged(labelled, "labelled")
     ends = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     open_rows = staged(labelled.join(ends, "token"), "open")  # groups that span components
     met = open_rows.alias("x").join(open_rows.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _fits(percent))
-    links = links.unionByName(_verified(docs, _ordered(met), classes, size, percent))
+    untried = _ordered(met).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(_verified(docs, untried, classes, size, percent))
     labels = staged(components(links), "labels")
 
     named = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("component"), "doc_id")
