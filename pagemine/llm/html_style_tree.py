@@ -6,9 +6,10 @@ content importance is one minus the mean entropy, over the pages, of the texts a
 it. Parts that look and read alike on every page have little of both. The composite weighs the
 two, and branches of little importance on enough pages of the host are cut from each page.
 
-What an element declares itself to be decides before statistics: navigation, forms, adverts and
-the like have no importance, an article or main element and what it holds have full importance.
-So the tree's entropies decide over everything that declares nothing.
+What an element declares itself to be weighs in: navigation, forms, adverts and the like have no
+importance; what an article or main element holds has MAIN_PRIOR before entropies are asked. A
+text that stands on many pages because its whole article does is no boilerplate: inside a main
+element, repetition counts only beyond that of the main elements themselves.
 
 Pages are parsed row by row. What is counted are hashes; what a page needs from its host is
 a short array, bounded by the share of pages a cut branch must be found on.
@@ -31,6 +32,8 @@ from pagemine.llm.common import staged
 MIN_PAGES, MIN_SHARE = 5, 0.2
 #: Weight of content against presentation, and the importance below which a branch is cut.
 CONTENT_WEIGHT, LEAST = 0.9, 0.25
+#: Importance a branch inside a main element has at least: it is cut only where next to nothing of it varies.
+MAIN_PRIOR = 0.15
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math select object audio video canvas".split())
@@ -92,18 +95,20 @@ class Node:
     path: int
     branches: tuple[int, ...]
     out: bool = False
-    main: bool = False
+    main: int = 0
+    link: bool = False
     children: list[str] = field(default_factory=list)
 
 
 @dataclass
 class Run:
-    """A piece of text: the block it belongs to, the style paths above it, whether it lies in a main element."""
+    """A piece of text: its block, the style paths above it, the number of its outermost main element or 0, whether it is a link's."""
 
     block: int
     text: str
     branches: tuple[int, ...]
-    main: bool
+    main: int
+    link: bool
 
 
 @dataclass
@@ -113,6 +118,8 @@ class Page:
     presentations: dict[int, int] = field(default_factory=dict)
     #: (style path, hash of a text or link) -> count
     features: dict[tuple[int, int], int] = field(default_factory=dict)
+    #: (style path, hash of the whole text of a main element around it) -> count
+    wholes: dict[tuple[int, int], int] = field(default_factory=dict)
 
 
 def parse(source: str | None, statistics: bool = False) -> Page:
@@ -121,7 +128,7 @@ def parse(source: str | None, statistics: bool = False) -> Page:
     if not source:
         return page
     stack = [Node("", 0, ())]
-    block, at, size = 0, 0, len(source)
+    block, at, size, mains = 0, 0, len(source), 0
     ended: list[Node] = []
 
     def leave(upto: int) -> None:
@@ -136,7 +143,7 @@ def parse(source: str | None, statistics: bool = False) -> Page:
     def text(piece: str) -> None:
         top = stack[-1]
         if not top.out and piece:
-            page.runs.append(Run(block, piece, top.branches, top.main))
+            page.runs.append(Run(block, piece, top.branches, top.main, top.link))
 
     while at < size:
         token = _TOKEN.search(source, at)
@@ -193,46 +200,62 @@ def parse(source: str | None, statistics: bool = False) -> Page:
         if tag in VOID or token[3].endswith("/"):
             continue
         path = xxhash.xxh3_64_intdigest(style, above.path & 0xFFFFFFFF) ^ (above.path >> 1)
-        main = above.main or tag in MAIN or attributes.get("role", "").lower() == "main"
-        out = above.out or _declared(tag, attributes, above.main)
-        node = Node(tag, path, above.branches if out or tag in ("html", "body") else (*above.branches, path - (1 << 63)), out, main)
+        main = above.main
+        if not main and (tag in MAIN or attributes.get("role", "").lower() == "main"):
+            mains += 1
+            main = mains
+        out = above.out or _declared(tag, attributes, above.main > 0)
+        node = Node(tag, path, above.branches if out or tag in ("html", "body") else (*above.branches, path - (1 << 63)), out, main, above.link or tag == "a")
         stack.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = end.end() if end else size
             leave(len(stack) - 1)
             continue
-        if statistics and tag == "a" and not out and not main:
-            _count(page, node.branches, f"href {attributes.get('href', '')}")
+        if statistics and tag == "a" and not out:
+            _count(page.features, node.branches, _hash(f"href {attributes.get('href', '')}"))
     leave(1)
     if statistics:
+        pieces: dict[int, list[str]] = {}
         for run in page.runs:
             words = " ".join(html.unescape(run.text).split())
-            if words and not run.main:
-                _count(page, run.branches, words)
+            if words:
+                _count(page.features, run.branches, _hash(words))
+                pieces.setdefault(run.main, []).append(words)
+        wholes = {main: _hash(" ".join(words)) for main, words in pieces.items()}
+        held: dict[int, set[int]] = {}
         for node in ended:
-            if not node.main and node.branches:
+            if node.main:
+                held.setdefault(node.main, set()).update(node.branches)
+            if node.branches:
                 page.presentations[node.branches[-1]] = _hash("|".join(node.children)) ^ page.presentations.get(node.branches[-1], 0)
+        for main, branches in held.items():
+            _count(page.wholes, branches, wholes.get(main, 0))
     return page
 
 
-def _count(page: Page, branches: tuple[int, ...], feature: str) -> None:
-    value = _hash(feature)
+def _count(counts: dict[tuple[int, int], int], branches, value: int) -> None:
     for branch in set(branches):
-        page.features[branch, value] = page.features.get((branch, value), 0) + 1
+        counts[branch, value] = counts.get((branch, value), 0) + 1
 
 
 def main_text(page: Page, cut: frozenset[int]) -> str:
-    """The page's text without cut branches: what lies in main elements where there are any, else all that is left."""
-    runs = [r for r in page.runs if r.main]
-    if not any(not r.text.isspace() for r in runs):
-        runs = [r for r in page.runs if cut.isdisjoint(r.branches)]
+    """The page's text without cut branches: what is left in main elements, or all that is left where more stands outside them, links aside."""
+    runs = [r for r in page.runs if cut.isdisjoint(r.branches)]
+    inside = [r for r in runs if r.main]
+    held, other = _length(inside), _length(r for r in runs if not r.main and not r.link)
+    if held and held >= other:
+        runs = inside
     blocks: dict[int, list[str]] = {}
     for run in runs:
         blocks.setdefault(run.block, []).append(run.text)
     return " ".join(word for parts in blocks.values() for word in html.unescape("".join(parts)).split())
 
 
+def _length(runs) -> int:
+    return sum(len(word) for run in runs for word in run.text.split())
+
+
 def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
@@ -250,6 +273,7 @@ def unimportant_branches(pages: DataFrame, min_pages: int = MIN_PAGES, min_share
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 page = parse(source, statistics=True)
                 rows = [(b, 0, v, 1) for b, v in page.presentations.items()] + [(b, 1, v, n) for (b, v), n in page.features.items()]
+                rows += [(b, 2, v, n) for (b, v), n in page.wholes.items()]
                 for branch, kind, value, n in rows:
                     hosts.append(host)
                     branches.append(branch)
@@ -270,12 +294,21 @@ def unimportant_branches(pages: DataFrame, min_pages: int = MIN_PAGES, min_share
         F.sum(F.when(F.col("kind") == 0, F.col("total"))).alias("m"),
         F.sum(F.when(F.col("kind") == 0, F.col("total") * F.log("total"))).alias("styles"),
         F.avg(F.when(F.col("kind") == 1, spread)).alias("spread"),
+        F.sum(F.when(F.col("kind") == 2, F.col("total"))).alias("mains"),
+        F.sum(F.when(F.col("kind") == 2, F.col("total") * F.log("total"))).alias("copies"),
     )
     m = F.col("m")
-    presentation = F.when(m > 1, (F.log(m) - F.col("styles") / m) / F.log(m)).otherwise(1.0)
-    content = F.when(m > 1, 1 - F.coalesce("spread", F.lit(0.0)) / F.log(m)).otherwise(1.0)
-    importance = F.lit(1 - content_weight) * presentation + F.lit(content_weight) * content
-    judged = tree.join(sizes, "host").where((m >= min_pages) & (m >= F.lit(min_share) * F.col("host_pages")))
+    # inside main elements, what counts is how many different ones there are, and repetition beyond theirs
+    inside = F.col("mains").isNotNull()
+    repeats = F.when(inside, F.col("copies") / F.col("mains")).otherwise(0.0)
+    most = F.when(inside, F.log("mains") - repeats).otherwise(F.log(m))
+    presentation = F.least(F.lit(1.0), (F.log(m) - F.col("styles") / m) / most)
+    content = 1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("spread", F.lit(0.0)) - repeats) / most)
+    raw = F.when(most > 0, F.lit(1 - content_weight) * presentation + F.lit(content_weight) * content).otherwise(1.0)
+    importance = F.when(inside, F.lit(MAIN_PRIOR) + F.lit(1 - MAIN_PRIOR) * raw).otherwise(raw)
+    # a hair below, as logarithms round
+    different = F.exp(most) > F.lit(min_pages - 1e-6)
+    judged = tree.join(sizes, "host").where(different & (m >= min_pages) & (m >= F.lit(min_share) * F.col("host_pages")))
     return judged.where(importance < least).groupBy("host").agg(F.collect_set("branch").alias("cut"))
 
 
@@ -284,7 +317,8 @@ def extract_main_text(pages: DataFrame, **options) -> DataFrame:
 
     text is the main text of the whole page: blocks in page order, white space inside a block
     made one space, trimmed, joined by one space, character references decoded. Null and empty
-    html, and pages without such text, give an empty text. Null and odd urls share the host ''.
+    html, and pages without such text, give an empty text. Where a page has article or main
+    elements, text outside them counts only where it is more than they hold, links aside. Null and odd urls share the host ''.
     Null ids and repeated rows are kept; other columns are ignored; an empty table gives an
     empty result. A branch found on fewer than min_pages pages is never cut by statistics.
     """

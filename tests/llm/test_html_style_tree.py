@@ -75,3 +75,15 @@ def test_empty_table(spark):
 
 def test_rows_are_kept(spark):
     assert by_row(tree.extract_main_text(spark.createDataFrame([(1, None, "<p>a")] * 3, "page_id long, url string, html string")).select("page_id", "text").collect()) == [(1, "a")] * 3
+
+
+def test_boxes_in_articles_are_cut_and_stories_beside_teasers_stay(spark):
+    box = "<div class='b'><p>Read our magazine.</p></div>"
+    rows = [(i, "http://h.example/", f"<article><h1>Title {i}</h1>{box}<p>Story {i} is {i * 7} long.</p></article>") for i in range(20)]
+    # copies of one article do not make its own text boilerplate
+    rows += [(20 + i, "http://h.example/", f"<article><h1>Same</h1>{box}<p>This one is copied.</p></article>") for i in range(20)]
+    rows += [(50 + i, "http://t.example/", f"<div class=s><p>Story {i} of {i * 9} words told at some length.</p></div><article>Teaser {i}</article>") for i in range(8)]
+    got = {r.page_id: r.text for r in tree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i} Story {i} is {i * 7} long." for i in range(20))
+    assert all(got[20 + i] == "Same This one is copied." for i in range(20))
+    assert all(got[50 + i] == f"Story {i} of {i * 9} words told at some length. Teaser {i}" for i in range(8))
