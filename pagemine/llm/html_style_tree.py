@@ -11,8 +11,8 @@ importance; what an article or main element holds has MAIN_PRIOR before entropie
 text that stands on many pages because its whole article does is no boilerplate: inside a main
 element, repetition counts only beyond that of the main elements themselves.
 
-Pages are parsed row by row. What is counted are hashes; what a page needs from its host is
-a short array, bounded by the share of pages a cut branch must be found on.
+Pages are parsed row by row. What is counted are hashes. Cut branches stay rows: a page takes
+along those of its own branches that are cut, never a list of its host.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemine.llm.common import staged
+from pagemine.llm.common import in_filter, key_filter, staged
 
-#: A branch is judged where at least MIN_PAGES pages and MIN_SHARE of its host's pages have it.
-MIN_PAGES, MIN_SHARE = 5, 0.2
+#: A branch is judged where at least MIN_PAGES pages of its host have it.
+MIN_PAGES = 5
 #: Weight of content against presentation, and the importance below which a branch is cut.
 CONTENT_WEIGHT, LEAST = 0.9, 0.25
 #: Importance a branch inside a main element has at least: it is cut only where next to nothing of it varies.
@@ -260,12 +260,8 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def unimportant_branches(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, content_weight: float = CONTENT_WEIGHT, least: float = LEAST) -> DataFrame:
-    """(host, cut): per host the style branches of pages(host, html) that its style tree finds unimportant.
-
-    A branch is only judged where min_share of the host's pages have it, so a page has at most
-    its own number of branches / min_share of them in `cut`, whatever its host's size.
-    """
+def cut_branches(pages: DataFrame, min_pages: int = MIN_PAGES, content_weight: float = CONTENT_WEIGHT, least: float = LEAST) -> DataFrame:
+    """(host, branch): the style branches of pages(host, html) that their host's style tree finds unimportant."""
 
     def styles(batches):
         for batch in batches:
@@ -288,7 +284,6 @@ def unimportant_branches(pages: DataFrame, min_pages: int = MIN_PAGES, min_share
     values = found.groupBy("host", "branch", "kind", "value").agg(
         F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), F.count("*").alias("pages")
     )
-    sizes = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
     spread = F.log("total") - F.col("n_log_n") / F.col("total")
     tree = values.groupBy("host", "branch").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("total"))).alias("m"),
@@ -308,8 +303,42 @@ def unimportant_branches(pages: DataFrame, min_pages: int = MIN_PAGES, min_share
     importance = F.when(inside, F.lit(MAIN_PRIOR) + F.lit(1 - MAIN_PRIOR) * raw).otherwise(raw)
     # a hair below, as logarithms round
     different = F.exp(most) > F.lit(min_pages - 1e-6)
-    judged = tree.join(sizes, "host").where(different & (m >= min_pages) & (m >= F.lit(min_share) * F.col("host_pages")))
-    return judged.where(importance < least).groupBy("host").agg(F.collect_set("branch").alias("cut"))
+    return tree.where(different & (m >= min_pages) & (importance < least)).select("host", "branch")
+
+
+def unimportant_branches(pages: DataFrame, **options) -> DataFrame:
+    """(host, cut): the cut branches gathered by host, for hosts looked at one by one."""
+    return cut_branches(pages, **options).groupBy("host").agg(F.collect_set("branch").alias("cut"))
+
+
+def _cuts_of_pages(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(host, k1, k2, cut): per distinct page of rows(host, k1, k2, html) with cut branches, those it has.
+
+    The filter only spares rows: what passes it is joined with the cuts.
+    """
+    cuts = cuts.withColumn("key", F.xxhash64("host", "branch"))
+    table = rows.sparkSession.sparkContext.broadcast(key_filter(cuts))
+
+    def branches(batches):
+        for batch in batches:
+            at, found = [], []
+            for row, source in enumerate(batch.column("html").to_pylist()):
+                for branch in {b for run in parse(source).runs for b in run.branches}:
+                    at.append(row)
+                    found.append(branch)
+            taken = pa.array(at, pa.int64())
+            columns = [batch.column(name).take(taken) for name in ("host", "k1", "k2")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.int64())], names=["host", "k1", "k2", "branch"])
+
+    def passing(batches):
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            yield batch.filter(pa.array([in_filter(table.value, key) for key in keys], pa.bool_()))
+
+    schema = "host string, k1 long, k2 long, branch long"
+    own = rows.select("host", "k1", "k2", "html").mapInArrow(branches, schema).withColumn("key", F.xxhash64("host", "branch"))
+    own = own.mapInArrow(passing, f"{schema}, key long").drop("key").distinct()
+    return own.join(cuts.select("host", "branch"), ["host", "branch"], "left_semi").groupBy("host", "k1", "k2").agg(F.collect_set("branch").alias("cut"))
 
 
 def extract_main_text(pages: DataFrame, **options) -> DataFrame:
@@ -324,7 +353,9 @@ def extract_main_text(pages: DataFrame, **options) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url")))
-    cut = staged(unimportant_branches(rows, **options), "styles")
+    # a page's cuts follow from host and html: copies share them
+    rows = rows.withColumn("k1", F.xxhash64("html")).withColumn("k2", F.xxhash64(F.lit("k2"), "html"))
+    cut = staged(_cuts_of_pages(rows, staged(cut_branches(rows, **options), "styles")), "cuts")
 
     def texts(batches):
         for batch in batches:
@@ -333,6 +364,6 @@ def extract_main_text(pages: DataFrame, **options) -> DataFrame:
                 found.append(main_text(parse(source), frozenset(branches or ())))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string())], names=["page_id", "url", "text"])
 
-    joined = rows.join(cut, "host", "left").select("page_id", "url", "html", "cut")
+    joined = rows.join(cut, ["host", "k1", "k2"], "left").select("page_id", "url", "html", "cut")
     out = joined.mapInArrow(texts, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

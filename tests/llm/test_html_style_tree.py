@@ -87,3 +87,9 @@ def test_boxes_in_articles_are_cut_and_stories_beside_teasers_stay(spark):
     assert all(got[i] == f"Title {i} Story {i} is {i * 7} long." for i in range(20))
     assert all(got[20 + i] == "Same This one is copied." for i in range(20))
     assert all(got[50 + i] == f"Story {i} of {i * 9} words told at some length. Teaser {i}" for i in range(8))
+
+
+def test_templates_of_a_small_share_of_a_host_are_cut(spark):
+    rows = [(i, "http://h.example/", f"<body><div class='sec{i % 12}'><a href='/{i % 12}'>Part {i % 12}</a></div><p>Story {i}.</p></body>") for i in range(96)]
+    got = tree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert len(got) == 96 and all(r.text == f"Story {r.page_id}." for r in got)
