@@ -42,7 +42,7 @@ UNSEEN = RAW | frozenset("head nav footer aside form button dialog menu option d
 INLINE = frozenset("script style noscript template a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 MAIN = frozenset(("article", "main"))
 ROLES_OUT = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-#: Words of class and id names that declare a part not to be content.
+#: Words that declare a part not to be content as a whole class or id name, or as its last word where no article or main element is inside.
 NAMES_OUT = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar aside menu nav navbar navigation "
     "breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices comment comments disqus reply replies respond newsletter subscribe "
@@ -51,6 +51,11 @@ NAMES_OUT = frozenset(
 #: Names that begin so speak of other parts (has-sidebar); elements whose names do not count.
 ABOUT_OTHERS = frozenset("has with no without".split())
 WHOLE = frozenset("html body main".split())
+#: Words of place after the last word; a name that joins parts (main-and-sidebar) declares nothing.
+PLACES = frozenset("left right top bottom first second last primary secondary".split())
+JOINS = "and"
+#: What the importance of a branch is multiplied with where such a word only stands elsewhere in its name.
+NAMED = 0.6
 #: Elements that an opening tag closes when they are open, nearest first.
 P_ENDS = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -76,13 +81,22 @@ def _declared(tag: str, attributes: dict[str, str], inside_main: bool) -> bool:
         return True
     if attributes.get("role", "").lower() in ROLES_OUT:
         return True
-    if tag in WHOLE:
-        return False
+    return False
+
+
+def _named(tag: str, attributes: dict[str, str]) -> int:
+    """What class and id names say: 3 noise, 2 noise unless an article or main element is inside, 1 perhaps noise, 0 nothing."""
+    if not attributes or tag in WHOLE or tag in MAIN or attributes.get("role", "").lower() == "main":
+        return 0
+    most = 0
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         words = [word.lower() for word in _NAME_WORD.findall(name)]
-        if words and words[0] not in ABOUT_OTHERS and not NAMES_OUT.isdisjoint(words):
-            return True
-    return False
+        if not words or words[0] in ABOUT_OTHERS or NAMES_OUT.isdisjoint(words):
+            continue
+        while len(words) > 1 and words[-1] in PLACES:
+            words.pop()
+        most = max(most, 1 if JOINS in words or words[-1] not in NAMES_OUT else 2 if len(words) > 1 else 3)
+    return most
 
 
 def _hash(text: str) -> int:
@@ -97,6 +111,8 @@ class Node:
     out: bool = False
     main: int = 0
     link: bool = False
+    doubts: tuple[int, ...] = ()
+    hint: bool = False
     children: list[str] = field(default_factory=list)
 
 
@@ -109,6 +125,7 @@ class Run:
     branches: tuple[int, ...]
     main: int
     link: bool
+    doubts: tuple[int, ...]
 
 
 @dataclass
@@ -120,6 +137,8 @@ class Page:
     features: dict[tuple[int, int], int] = field(default_factory=dict)
     #: (style path, hash of the whole text of a main element around it) -> count
     wholes: dict[tuple[int, int], int] = field(default_factory=dict)
+    #: style paths whose names hold a word of noise that does not declare them
+    hinted: set[int] = field(default_factory=set)
 
 
 def parse(source: str | None, statistics: bool = False) -> Page:
@@ -130,6 +149,10 @@ def parse(source: str | None, statistics: bool = False) -> Page:
     stack = [Node("", 0, ())]
     block, at, size, mains = 0, 0, len(source), 0
     ended: list[Node] = []
+    links: list[tuple[Node, str]] = []
+    # elements that names declare noise are told apart only at the page's end: some hold the main element
+    doubted: list[int] = []
+    freed: set[int] = set()
 
     def leave(upto: int) -> None:
         nonlocal block
@@ -143,7 +166,7 @@ def parse(source: str | None, statistics: bool = False) -> Page:
     def text(piece: str) -> None:
         top = stack[-1]
         if not top.out and piece:
-            page.runs.append(Run(block, piece, top.branches, top.main, top.link))
+            page.runs.append(Run(block, piece, top.branches, top.main, top.link, top.doubts))
 
     while at < size:
         token = _TOKEN.search(source, at)
@@ -201,11 +224,20 @@ def parse(source: str | None, statistics: bool = False) -> Page:
             continue
         path = xxhash.xxh3_64_intdigest(style, above.path & 0xFFFFFFFF) ^ (above.path >> 1)
         main = above.main
-        if not main and (tag in MAIN or attributes.get("role", "").lower() == "main"):
+        role = "main" if attributes.get("role", "").lower() == "main" else tag
+        if not main and role in MAIN:
             mains += 1
             main = mains
         out = above.out or _declared(tag, attributes, above.main > 0)
-        node = Node(tag, path, above.branches if out or tag in ("html", "body") else (*above.branches, path - (1 << 63)), out, main, above.link or tag == "a")
+        named = 0 if out else _named(tag, attributes)
+        doubts = above.doubts
+        if not out and role in MAIN:
+            # a whole name stands against articles inside, as comments are articles too
+            freed.update(d for d in doubts if role == "main" or doubted[d] == 2)
+        if named > 1:
+            doubts = (*doubts, len(doubted))
+            doubted.append(named)
+        node = Node(tag, path, above.branches if out or tag in ("html", "body") else (*above.branches, path - (1 << 63)), out, main, above.link or tag == "a", doubts, named == 1)
         stack.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
@@ -213,9 +245,15 @@ def parse(source: str | None, statistics: bool = False) -> Page:
             leave(len(stack) - 1)
             continue
         if statistics and tag == "a" and not out:
-            _count(page.features, node.branches, _hash(f"href {attributes.get('href', '')}"))
+            links.append((node, attributes.get("href", "")))
     leave(1)
+    if doubted:
+        page.runs = [run for run in page.runs if freed.issuperset(run.doubts)]
+        ended = [node for node in ended if freed.issuperset(node.doubts)]
     if statistics:
+        for node, href in links:
+            if freed.issuperset(node.doubts):
+                _count(page.features, node.branches, _hash(f"href {href}"))
         pieces: dict[int, list[str]] = {}
         for run in page.runs:
             words = " ".join(html.unescape(run.text).split())
@@ -227,6 +265,8 @@ def parse(source: str | None, statistics: bool = False) -> Page:
         for node in ended:
             if node.main:
                 held.setdefault(node.main, set()).update(node.branches)
+            if node.hint and node.branches:
+                page.hinted.add(node.branches[-1])
             if node.branches:
                 page.presentations[node.branches[-1]] = _hash("|".join(node.children)) ^ page.presentations.get(node.branches[-1], 0)
         for main, branches in held.items():
@@ -269,7 +309,7 @@ def cut_branches(pages: DataFrame, min_pages: int = MIN_PAGES, content_weight: f
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 page = parse(source, statistics=True)
                 rows = [(b, 0, v, 1) for b, v in page.presentations.items()] + [(b, 1, v, n) for (b, v), n in page.features.items()]
-                rows += [(b, 2, v, n) for (b, v), n in page.wholes.items()]
+                rows += [(b, 2, v, n) for (b, v), n in page.wholes.items()] + [(b, 3, 0, 1) for b in page.hinted]
                 for branch, kind, value, n in rows:
                     hosts.append(host)
                     branches.append(branch)
@@ -291,6 +331,7 @@ def cut_branches(pages: DataFrame, min_pages: int = MIN_PAGES, content_weight: f
         F.avg(F.when(F.col("kind") == 1, spread)).alias("spread"),
         F.sum(F.when(F.col("kind") == 2, F.col("total"))).alias("mains"),
         F.sum(F.when(F.col("kind") == 2, F.col("total") * F.log("total"))).alias("copies"),
+        F.max(F.col("kind") == 3).alias("hinted"),
     )
     m = F.col("m")
     # inside main elements, what counts is how many different ones there are, and repetition beyond theirs
@@ -300,6 +341,7 @@ def cut_branches(pages: DataFrame, min_pages: int = MIN_PAGES, content_weight: f
     presentation = F.least(F.lit(1.0), (F.log(m) - F.col("styles") / m) / most)
     content = 1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("spread", F.lit(0.0)) - repeats) / most)
     raw = F.when(most > 0, F.lit(1 - content_weight) * presentation + F.lit(content_weight) * content).otherwise(1.0)
+    raw = F.when(F.col("hinted"), F.lit(NAMED)).otherwise(1.0) * raw
     importance = F.when(inside, F.lit(MAIN_PRIOR) + F.lit(1 - MAIN_PRIOR) * raw).otherwise(raw)
     # a hair below, as logarithms round
     different = F.exp(most) > F.lit(min_pages - 1e-6)

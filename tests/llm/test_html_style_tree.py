@@ -93,3 +93,28 @@ def test_templates_of_a_small_share_of_a_host_are_cut(spark):
     rows = [(i, "http://h.example/", f"<body><div class='sec{i % 12}'><a href='/{i % 12}'>Part {i % 12}</a></div><p>Story {i}.</p></body>") for i in range(96)]
     got = tree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
     assert len(got) == 96 and all(r.text == f"Story {r.page_id}." for r in got)
+
+
+NAMED_CASES = [
+    ("<div class='content-sidebar-wrap'><main><p>a</p></main><aside>s</aside></div>", "a"),
+    ("<div id='main-and-sidebar'><p>a</p></div>", "a"),
+    ("<article class='post comments-open'>a</article>", "a"),
+    ("<article class='promo'>a</article>", "a"),
+    ("<section class='social-sciences'><p class='related-work'>a</p></section>", "a"),
+    ("<div class='site-overlay'><div><main>a</main></div></div><div class='site-overlay'>o</div>", "a"),
+    ("<div class='overlay'><main>a<div class='post-comments'>c</div></main></div>", "a"),
+    ("<div class='page-toolbar'><article>a</article></div>", "a"),
+    ("<div class='comments'><article>c</article></div><p>a</p>", "a"),
+]
+
+
+@pytest.mark.parametrize(("source", "text"), NAMED_CASES)
+def test_names_take_no_content_along(source, text):
+    assert tree.main_text(tree.parse(source), frozenset()) == text
+
+
+def test_a_name_elsewhere_weighs_a_branch_down(spark):
+    rows = [("h", f"<body><div class='{c}'>Part {i % 4}</div></body>") for i in range(28) for c in ("social-sciences", "sciences")]
+    cut = {r.branch for r in tree.cut_branches(spark.createDataFrame(rows, "host string, html string")).collect()}
+    named, other = ({*tree.parse(html).runs[0].branches} for _, html in rows[:2])
+    assert named <= cut and not other & cut
