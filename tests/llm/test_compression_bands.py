@@ -1,3 +1,4 @@
+import base64
 import random
 import re
 from collections import Counter
@@ -56,3 +57,27 @@ def test_accepted_rows_are_those_marked(odd_table):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bands.quality_rules(empty).collect() == [] and bands.accepted(empty, ["text"]).collect() == []
+
+
+def encoded_texts(rng):
+    """Texts of about 24 kB that a string column can hold and no one wrote."""
+    raw = rng.randbytes(18_000)
+    hexed = raw[:12_000].hex()
+    code = base64.b64encode(raw).decode()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return {
+        "base64 lines": base64.encodebytes(raw).decode(),
+        "base64 words": " ".join(code[i : i + 12] for i in range(0, len(code), 12)),
+        "hex lines": "\n".join(hexed[i : i + 76] for i in range(0, len(hexed), 76)),
+        "random words": " ".join("".join(rng.choices(letters, k=7)) for _ in range(3000)),
+        "random Latin-1": " ".join("".join(chr(rng.randrange(0xA1, 0x100)) for _ in range(7)) for _ in range(1600)),
+    }
+
+
+def test_encoded_text_is_rejected():
+    judge = bands.Bands()
+    for name, text in encoded_texts(random.Random(9)).items():
+        *_, failed, kept, _, _, reason = bands.measures(text, judge)
+        assert (name, failed, kept, reason) == (name, False, False, "incompressible")
+    short = base64.encodebytes(random.Random(9).randbytes(1200)).decode()
+    assert judge.judge(short.encode())[2] == "incompressible"
