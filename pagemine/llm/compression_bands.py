@@ -3,7 +3,8 @@
 Natural prose compresses to a fairly narrow band of ratios (compressed / raw bytes), which
 narrows and sinks as texts grow. Repetitive text lies below its band, random or encoded
 matter above. The whole text is held against the limits for its length, and its chunks of
-fixed size against the chunk limits, so that a repetitive half cannot hide in a long text.
+fixed size, the text's last bytes included, against the chunk limits, so that a repetitive or
+encoded third cannot hide in a long text.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ CHUNK_BYTES = 2048
 BANDS = ((256, 0.40, 1.10), (1024, 0.35, 0.85), (2048, 0.28, 0.70), (8192, 0.28, 0.60), (float("inf"), 0.22, 0.50))
 #: Added to the highest ratios where less than PLAIN of the bytes are ASCII: letters of several bytes carry more each.
 WIDER, PLAIN = 0.05, 0.9
-#: Limits of a full chunk, and the share of chunks outside that rejects a text.
-CHUNK_BAND, CHUNKS_OUT = (0.20, 0.60), 0.5
+#: Limits of a chunk, and the share of chunks outside above which a text is rejected. No chunk of sf0.1's prose is outside.
+CHUNK_BAND, CHUNKS_OUT = (0.20, 0.60), 0.2
 
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
@@ -61,14 +62,17 @@ class Bands:
         self.bands, self.chunk_bytes, self.chunk_band, self.chunks_out = bands, chunk_bytes, chunk_band, chunks_out
 
     def judge(self, data: bytes) -> tuple[float | None, float, str | None]:
-        """(ratio, share of full chunks outside their limits, reason to reject or None)."""
+        """(ratio, share of chunks outside their limits, reason to reject or None)."""
         if not data:
             return None, 0.0, "empty"
         ratio = len(self.compress(data)) / len(data)
         low, high = next((low, high) for below, low, high in self.bands if len(data) < below)
         wider = 0.0 if data.isascii() or len(data.translate(None, ASCII)) <= (1 - PLAIN) * len(data) else WIDER
         size = self.chunk_bytes
-        chunks = [len(self.compress(data[at : at + size])) / size for at in range(0, len(data) - size + 1, size)]
+        starts = list(range(0, len(data) - size + 1, size))
+        if starts and len(data) % size:
+            starts.append(len(data) - size)
+        chunks = [len(self.compress(data[at : at + size])) / size for at in starts]
         out = sum(not self.chunk_band[0] <= r <= self.chunk_band[1] + wider for r in chunks) / len(chunks) if chunks else 0.0
         if ratio < low:
             return ratio, out, "repetitive"

@@ -81,3 +81,19 @@ def test_encoded_text_is_rejected():
         assert (name, failed, kept, reason) == (name, False, False, "incompressible")
     short = base64.encodebytes(random.Random(9).randbytes(1200)).decode()
     assert judge.judge(short.encode())[2] == "incompressible"
+
+
+def test_junk_in_a_part_of_a_text_is_found():
+    rng = random.Random(11)
+    judge = bands.Bands().judge
+    good = prose(rng, 3200)
+    noise = "".join(chr(rng.randrange(32, 127)) for _ in range(20_000))
+    for share in (0.3, 0.4, 0.48):
+        size = int(len(good) * share / (1 - share))
+        for junk in (("the same sentence stands here again. " * 600)[:size], noise[:size], base64.b64encode(rng.randbytes(size)).decode()[:size]):
+            for text in (good + " " + junk, junk + " " + good, good[:7000] + junk + good[7000:]):
+                assert judge(text.encode())[2] is not None
+    # the last, partial chunk counts
+    assert judge((good[:6144] + noise[:1500]).encode())[2] == "chunks"
+    for n in (400, 700, 3200):
+        assert judge(prose(rng, n).encode())[1:] == (0.0, None)
