@@ -1,4 +1,4 @@
-"""The ten operators with production parameters on their whole tables, as opN queries."""
+"""The numbered operators with production parameters on their whole tables, as opN queries."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pagemine.llm import (
     line_dedup,
     mixing,
     ngram_join,
+    piece_bpe,
     quality_crf,
     warc_index,
 )
@@ -69,6 +70,11 @@ def op10_warc_index(spark, sf_dir):
     return warc_index.archive_pages(_table(spark, sf_dir, "pages")).drop("url")
 
 
+def op11_sentencepiece(spark, sf_dir):
+    found = piece_bpe.encode_documents(_table(spark, sf_dir, "documents"), with_ids=False)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES = {
     "op1_line_crf": op1_line_crf,
     "op2_license_scan": op2_license_scan,
@@ -80,4 +86,5 @@ QUERIES = {
     "op8_compression_bands": op8_compression_bands,
     "op9_mixing": op9_mixing,
     "op10_warc_index": op10_warc_index,
+    "op11_sentencepiece": op11_sentencepiece,
 }
