@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemine.llm import (
     byte_bpe,
+    centroid_clusters,
     compression_bands,
     embedding_dedup,
     html_style_tree,
@@ -75,6 +76,10 @@ def op11_sentencepiece(spark, sf_dir):
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op12_centroid_clusters(spark, sf_dir):
+    return centroid_clusters.clusters(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_line_crf": op1_line_crf,
     "op2_license_scan": op2_license_scan,
@@ -87,4 +92,5 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_warc_index": op10_warc_index,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_centroid_clusters": op12_centroid_clusters,
 }

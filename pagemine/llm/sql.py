@@ -161,4 +161,38 @@ SELECT page_id, payload_bytes, f.payload_digest,
 FROM facts f LEFT JOIN last l ON f.payload_digest = l.payload_digest
 """
 
-ORACLES = {"op2_license_scan": _op2(), "op3_embedding_dedup": OP3, "op10_warc_index": OP10, "op6_line_dedup": OP6, "op7_ngram_join": OP7, "op9_mixing": OP9}
+
+
+def _op12(k: int = 40, width: int = 64, rounds: int = 5) -> str:
+    """All vectors against all centroids in every round."""
+    steps = []
+    for at in range(rounds + 1):
+        steps.append(f"""near{at} AS (
+  SELECT r, min({{'d': list_sum(list_transform(range(1, {width + 1}), lambda i: (x.v[i] - y.v[i]) * (x.v[i] - y.v[i])))::BIGINT, 'c': y.c}}) AS best
+  FROM vectors x CROSS JOIN centroids{at} y GROUP BY r
+)""")
+        if at < rounds:
+            steps.append(f"""sums{at} AS (
+  SELECT best['c'] AS c, i, sum(v[i]) AS s, count(*) AS n
+  FROM (SELECT best, v, unnest(range(1, {width + 1})) AS i FROM near{at} JOIN vectors USING (r)) GROUP BY best['c'], i
+), centroids{at + 1} AS MATERIALIZED (
+  SELECT c, coalesce(m.v, o.v) AS v FROM centroids{at} o LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM sums{at} GROUP BY c
+  ) m USING (c)
+)""")
+    return f"""
+WITH vectors AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), centroids0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM vectors ORDER BY c LIMIT {k}
+), {", ".join(steps)}, found AS (
+  SELECT vec_id, best['c']::INTEGER AS cluster, best['d'] AS distance FROM near{rounds} JOIN vectors USING (r)
+)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(v, ',')) AS centroid_sha256
+FROM found JOIN centroids{rounds} ON c = cluster
+"""
+
+
+ORACLES = {"op12_centroid_clusters": _op12(), "op2_license_scan": _op2(), "op3_embedding_dedup": OP3, "op10_warc_index": OP10, "op6_line_dedup": OP6, "op7_ngram_join": OP7, "op9_mixing": OP9}
