@@ -17,6 +17,7 @@ from pagemine.llm import (
     ngram_join,
     piece_bpe,
     quality_crf,
+    source_divergence,
     warc_index,
 )
 
@@ -80,6 +81,10 @@ def op12_centroid_clusters(spark, sf_dir):
     return centroid_clusters.clusters(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_source_divergence(spark, sf_dir):
+    return source_divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_crf": op1_line_crf,
     "op2_license_scan": op2_license_scan,
@@ -93,4 +98,5 @@ QUERIES = {
     "op10_warc_index": op10_warc_index,
     "op11_sentencepiece": op11_sentencepiece,
     "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_source_divergence": op13_source_divergence,
 }
