@@ -25,7 +25,7 @@ from pagemine.llm.common import staged
 
 MIN_DOCS, TOP, UNIT = 10, 10, 1_000_000_000
 #: Documents cut at once; term occurrences and bytes of long terms that a task holds before it counts them.
-SLICE, HELD, HELD_BYTES = 256, 1 << 22, 1 << 25
+SLICE, HELD, HELD_BYTES = 256, 1 << 21, 1 << 24
 TILE, TERMS = 128, 8192
 
 _IN_TERM = np.array([b >= 0x80 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
