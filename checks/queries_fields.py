@@ -163,7 +163,7 @@ def configured_first(spark, sf):
 
 def drop_noise(spark, sf):
     pages = I.pages(spark, sf)
-    clean = S.drop_noise(pages, C.page_docs(pages), ['//*[@class="ad"]', "//nav"])
+    clean = S.drop_noise(pages, ['//*[@class="ad"]', "//nav"])
     return measured_tree(clean).where("kind = 'node'").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 

@@ -3,49 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemine.operators.dom import BEGIN, END, _nest, _running, _signed, clean_events
+from pagemine.functions.bind import let, once
+from pagemine.operators.dom import with_page_ids, with_trees
+
+MEASURED = [
+    "seq", "end_seq", "depth", "parent_seq", "tag", "in_body", "ti", "lti", "tgi", "ltgi", "p_count", "marks", "text_at", "text_count",
+]
+_KINDS = {"seq": "int", "end_seq": "int", "parent_seq": "int", "tag": "string", "in_body": "boolean"}
+
+
+def _piece(kind: str, item: Column) -> Column:
+    """A text or point as a row of the measured tree: it has a place, but no extent and no measures."""
+    has = {"seq": item["seq"], "depth": item["depth"], "parent_seq": item["parent_seq"], "in_body": item["in_body"], "text_at": item["text_at"]}
+    has["tag"] = item["tag"] if kind == "point" else F.lit("")
+    cells = [has.get(c, F.lit(None)).cast(_KINDS.get(c, "bigint")).alias(c) for c in MEASURED]
+    return F.struct(F.lit(kind).alias("kind"), *cells)
 
 
 def measured_tree(pages: DataFrame) -> DataFrame:
-    """The cleaned tree: nodes with their measures, texts and points.
-
-    Every measure is the difference of a running sum between the end and the open of a
-    node, so all nodes of a page cost one sorted pass however deep the page is nested.
-    """
-    marked = clean_events(pages).withColumns(
-        {
-            "in_link": F.sum(_signed(F.col("tag") == "a")).over(_running()),
-            "in_body": F.sum(_signed(F.col("tag") == "body")).over(_running()),
-        }
-    )
-    opened = F.col("event") == BEGIN
-    is_text = F.col("kind") == "text"
-    marked = marked.withColumn("text_at", F.sum(F.when(is_text, 1).otherwise(0)).over(_running()))
-    totals = {
-        "text_count": F.when(is_text, 1).otherwise(0),
-        "n_texts": F.when(is_text & (F.col("chars") > 0), 1).otherwise(0),
-        "n_chars": F.when(is_text, F.col("chars")).otherwise(0),
-        "link_chars": F.when(is_text & (F.col("in_link") > 0), F.col("chars")).otherwise(0),
-        "n_marks": F.when(is_text, F.col("marks")).otherwise(0),
-        "tgi": F.when(opened, 1).otherwise(0),
-        "ltgi": F.when(opened & (F.col("tag") == "a"), 1).otherwise(0),
-        "p_count": F.when(opened & (F.col("tag") == "p"), 1).otherwise(0),
-    }
-    return (
-        _nest(marked, totals, [])
-        .where(F.col("event") != END)
-        .withColumn("ti", F.col("n_chars") + F.greatest(F.col("n_texts") - 1, F.lit(0)))
-        .withColumn("lti", F.when(F.col("in_link") > 0, 0).otherwise(F.col("link_chars")))
-        .withColumn("in_body", F.col("in_body") > 0)
-        .select(
-            "page_id", "kind", "seq", "end_seq", "depth", "parent_seq", "tag",
-            "in_body", "ti", "lti", "tgi", "ltgi", "p_count", F.col("n_marks").alias("marks"),
-            "text_at", "text_count",
-        )
+    """The cleaned tree as rows: nodes with their measures, texts and points."""
+    trees = with_trees(with_page_ids(pages).select("page_id", "html"))
+    rows = F.concat(
+        F.transform("tree.nodes", lambda n: F.struct(F.lit("node").alias("kind"), *[n[c].alias(c) for c in MEASURED])),
+        F.transform("tree.texts", lambda t: _piece("text", t)),
+        F.transform("tree.points", lambda p: _piece("point", p)),
     )
+    return trees.select("page_id", F.inline(rows))
 
 
 def text_density(ti: Column, lti: Column, tgi: Column, ltgi: Column) -> Column:
@@ -65,35 +50,46 @@ def node_score(deviation: Column, density: Column, p_count: Column, sbdi: Column
 
 def node_measures(pages: DataFrame) -> DataFrame:
     """Measures of every node under body; of all nodes where a page has no body."""
-    nodes = measured_tree(pages).where("kind = 'node'")
-    page = W.partitionBy("page_id")
-    return (
-        nodes.withColumn("has_body", F.max("in_body").over(page))
-        .where("in_body or not has_body")
-        .withColumn("density", text_density(F.col("ti"), F.col("lti"), F.col("tgi"), F.col("ltgi")))
-        .withColumn("sbdi", punctuation_density(F.col("ti"), F.col("lti"), F.col("marks")))
-        .select(
-            "page_id", "seq", "end_seq", "depth", "parent_seq", "tag", "ti", "lti", "tgi", "ltgi", "p_count", "marks", "density", "sbdi",
-        )
-    )
+    return node_scores(pages).drop("deviation", "score")
 
 
 def node_scores(pages: DataFrame) -> DataFrame:
-    """node_measures with the score of every node."""
-    page = W.partitionBy("page_id")
-    return (
-        node_measures(pages)
-        .withColumn("deviation", F.stddev_samp("density").over(page))
-        .withColumn("score", node_score(F.col("deviation"), F.col("density"), F.col("p_count"), F.col("sbdi")))
-        .withColumn("score", F.when(~F.isnan("score"), F.col("score")))
-    )
+    """The measures with the page's deviation of densities and the score of every node."""
+    return _scored(pages, None).drop("rank")
 
 
 def score_top_k(pages: DataFrame, k: int | None = None) -> DataFrame:
     """Nodes ranked by score per page, first in the document on ties; all without k."""
-    order = W.partitionBy("page_id").orderBy(F.desc_nulls_last("score"), "seq")
-    ranked = node_scores(pages).withColumn("rank", F.row_number().over(order))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    return _scored(pages, k)
+
+
+def _scored(pages: DataFrame, k: int | None) -> DataFrame:
+    """Ranked inside the page's row, as its nodes are one array there."""
+    trees = with_trees(with_page_ids(pages).select("page_id", "html"))
+    eligible = F.filter("tree.nodes", lambda n: n["in_body"] | ~F.col("tree.has_body"))
+
+    def measured(n: Column) -> Column:
+        density = text_density(n["ti"], n["lti"], n["tgi"], n["ltgi"])
+        return F.struct(n.alias("node"), density.alias("density"), punctuation_density(n["ti"], n["lti"], n["marks"]).alias("sbdi"))
+
+    def scored(m: Column) -> Column:
+        return let(
+            node_score(F.col("tree.deviation"), m["density"], m["node"]["p_count"], m["sbdi"]),
+            lambda s: F.struct(
+                F.coalesce(F.when(~F.isnan(s), -s), F.lit(float("inf"))).alias("key"),
+                *[m["node"][c].alias(c) for c in MEASURED if c not in ("in_body", "text_at", "text_count")],
+                m["density"].alias("density"),
+                m["sbdi"].alias("sbdi"),
+                F.col("tree.deviation").alias("deviation"),
+                F.when(~F.isnan(s), s).alias("score"),
+            ),
+        )
+
+    held = once(trees, {"_measured": F.transform(eligible, measured)})
+    ranked = F.sort_array(F.transform("_measured", scored))
+    held = once(held, {"_ranked": ranked if k is None else F.slice(ranked, 1, k)})
+    rows = held.select("page_id", F.posexplode("_ranked").alias("at", "n"))
+    return rows.select("page_id", "n.*", (F.col("at") + 1).alias("rank")).drop("key")
 
 
 def content_node(pages: DataFrame) -> DataFrame:

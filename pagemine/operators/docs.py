@@ -5,8 +5,8 @@ projections over these arrays: no join, no shuffle, and a page costs the same wh
 it lies. A document is never larger than a small multiple of its page.
 
 nodes:  seq, end_seq, depth, parent_seq, tag, in_body, ti … marks, text_at, text_count,
-        token, class, id, score
-texts:  seq, parent_seq, text
+        nth (among the siblings of its tag), token, class, id, score
+texts:  seq, parent_seq, text, first (whether it is the first own text of its parent)
 points: seq, parent_seq, tag, token
 """
 
@@ -17,75 +17,57 @@ from pyspark.sql import functions as F
 
 from pagemine.functions.bind import let, once
 from pagemine.functions.text import attribute, collapse_text, decode_entities
-from pagemine.operators.density import measured_tree, node_score, punctuation_density, text_density
-from pagemine.operators.dom import by_page, token_array
+from pagemine.operators.density import MEASURED, node_score, punctuation_density, text_density
+from pagemine.operators.dom import with_page_ids, with_trees
 
-NODE = ["seq", "end_seq", "depth", "parent_seq", "tag", "in_body", "ti", "lti", "tgi", "ltgi", "p_count", "marks", "text_at", "text_count"]
+NODE = [*MEASURED, "nth"]
 
 
-def _list_of(kind: str, names: list[str]) -> Column:
-    return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct(*names))))
+def page_docs(pages: DataFrame) -> DataFrame:
+    """Pages with nodes, texts and points in place of html: other columns are kept, row for row."""
+    return documented(with_trees(with_page_ids(pages)))
 
 
-def page_docs(pages: DataFrame) -> DataFrame:
-    """(page_id, nodes, texts, points, deviation) of every page.
-
-    Both sides of the join are the same shuffle of whole pages, one measured, one cut
-    again for its token texts; the merge hint keeps that partitioning.
-    """
-    density = text_density(F.col("ti"), F.col("lti"), F.col("tgi"), F.col("ltgi"))
-    is_node = F.col("kind") == "node"
-    trees = (
-        measured_tree(pages)
-        .groupBy("page_id")
-        .agg(
-            _list_of("node", NODE).alias("nodes"),
-            _list_of("text", ["seq", "parent_seq"]).alias("texts"),
-            _list_of("point", ["seq", "parent_seq", "tag"]).alias("points"),
-            F.max(F.when(is_node, F.col("in_body"))).alias("has_body"),
-            F.stddev_samp(F.when(is_node & F.col("in_body"), density)).alias("body_deviation"),
-            F.stddev_samp(F.when(is_node, density)).alias("page_deviation"),
-        )
-    )
-    tokens = by_page(pages).select("page_id", token_array(F.col("html")).alias("tokens"))
-    joined = tokens.join(trees.hint("merge"), "page_id", "left")
-    deviation = F.when(F.col("has_body"), F.col("body_deviation")).otherwise(F.col("page_deviation"))
+def documented(trees: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with `tokens` and `tree` as documents; columns to `keep` may be these two."""
 
     def token(item: Column) -> Column:
         return F.element_at("tokens", (item["seq"] / 2 + 1).cast("int"))
 
-    def attr(item: Column, name: str) -> Column:
-        return F.when(F.contains(token(item), F.lit("=")), attribute(token(item), name))
+    def attr(token: Column, name: str) -> Column:
+        return F.when(F.contains(token, F.lit("=")), attribute(token, name))
 
     def full_node(node: Column) -> Column:
         sbdi = punctuation_density(node["ti"], node["lti"], node["marks"])
         score = node_score(
-            F.col("deviation"), text_density(node["ti"], node["lti"], node["tgi"], node["ltgi"]), node["p_count"], sbdi
+            F.col("tree.deviation"), text_density(node["ti"], node["lti"], node["tgi"], node["ltgi"]), node["p_count"], sbdi
         )
-        eligible = node["in_body"] | ~F.col("has_body")
-        return F.struct(
+        eligible = node["in_body"] | ~F.col("tree.has_body")
+        return let({"token": token(node), "score": score}, lambda own: F.struct(
             *[node[name].alias(name) for name in NODE],
-            token(node).alias("token"),
-            attr(node, "class").alias("class"),
-            attr(node, "id").alias("id"),
-            F.when(eligible & ~F.isnan(score), score).alias("score"),
+            own["token"].alias("token"),
+            attr(own["token"], "class").alias("class"),
+            attr(own["token"], "id").alias("id"),
+            F.when(eligible & ~F.isnan(own["score"]), own["score"]).alias("score"),
             eligible.alias("eligible"),
-        )
+        ))
 
     full = {
-        "nodes": F.transform(F.coalesce("nodes", F.array()), full_node),
+        "nodes": F.transform(F.coalesce("tree.nodes", F.array()), full_node),
         "texts": F.transform(
-            F.coalesce("texts", F.array()),
-            lambda t: F.struct(t["seq"].alias("seq"), t["parent_seq"].alias("parent_seq"), decode_entities(token(t)).alias("text")),
+            F.coalesce("tree.texts", F.array()),
+            lambda t: F.struct(t["seq"].alias("seq"), t["parent_seq"].alias("parent_seq"), decode_entities(token(t)).alias("text"), t["first"].alias("first")),
         ),
         "points": F.transform(
-            F.coalesce("points", F.array()),
+            F.coalesce("tree.points", F.array()),
             lambda p: F.struct(
                 p["seq"].alias("seq"), p["parent_seq"].alias("parent_seq"), p["tag"].alias("tag"), token(p).alias("token")
             ),
         ),
     }
-    return once(joined.withColumn("deviation", deviation), full).select("page_id", "nodes", "texts", "points")
+    kept = [name for name in trees.columns if name in keep or name not in ("html", "tokens", "tree", *full)]
+    held = trees.drop(*[name for name in full if name in trees.columns])
+    return once(held, full).select(*kept, *full)
 
 
 def inside(item: Column, node: Column) -> Column:

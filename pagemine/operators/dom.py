@@ -1,53 +1,31 @@
 """HTML tokens, the node table and its clean-up.
 
-A page is cut into tokens, and the tree over them is recovered with running sums
-and neighbours in sorted rows instead of a stack:
-
-1. an end tag closes the open element of the same name and nesting level;
-2. an element without end tag ends with the element around it, or earlier where
-   HTML implies its end (a paragraph at the next block, a list item at the next);
-3. opens and ends are then paired by depth, so that intervals always nest, also
-   for crossing tags.
-
-Pages are shuffled once, by page_id and before they are cut. All windows start with
-page_id and all later steps are per page, so nothing is exchanged again; one page is
-the unit of work.
+A page is cut into tokens in its own row, and a stack over short facts about them builds the
+tree there too (`tree`). Nothing is shuffled and no page is split or joined again, so pages
+with equal ids stay apart; one page is the unit of work.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagemine.functions.bind import let, once
 from pagemine.functions.text import attribute, collapse_text, count_punctuation, decode_entities
+from pagemine.operators import tree
+from pagemine.operators.tree import BLOCK_TAGS, CLOSE, DROPPED_WHEN_EMPTY, IMPLIED_ENDS, LEAF, OPEN, REMEMBERED_TAGS, TEXT
+
+__all__ = ["BLOCK_TAGS", "DROPPED_WHEN_EMPTY", "IMPLIED_ENDS", "REMEMBERED_TAGS"]
 
 # Elements that never have content.
 VOID_TAGS = ["br", "img", "meta", "link", "input", "hr", "area", "source", "base", "col", "embed", "param", "track", "wbr"]
-# Elements that end an open paragraph or an open inline element.
-BLOCK_TAGS = [
-    "address", "article", "aside", "blockquote", "body", "dd", "div", "dl", "dt", "fieldset", "figure", "footer", "form",
-    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section",
-    "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
-]
-# Which start tags end an element that has no end tag of its own.
-IMPLIED_ENDS = {
-    "li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "option": ["option"], "head": ["body"],
-    "td": ["td", "th", "tr", "tbody", "tfoot"], "th": ["td", "th", "tr", "tbody", "tfoot"],
-    "tr": ["tr", "tbody", "tfoot"], "thead": ["tbody", "tfoot"], "tbody": ["tbody", "tfoot"],
-}
 # Elements and class words whose subtrees hold no article text.
 USELESS_TAGS = ["style", "script", "link", "video", "iframe", "source", "picture", "header"]
 USELESS_CLASS_WORDS = [
     "share", "contribution", "copyright", "disclaimer", "recommend", "related", "footer", "comment", "social", "submeta",
 ]
-# Elements dropped when they have neither children nor text.
-DROPPED_WHEN_EMPTY = ["section", "h1", "h2", "h3", "h4", "h5", "h6", "span"]
-# Elements that are dropped but still looked up by other operators.
-REMEMBERED_TAGS = ["video", "script"]
-
 TOKEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<[^>]*\z|</?[a-z][^>]*>|<![^>]*>|<\?[^>]*>|[^<]+|<"
-OPEN, LEAF, TEXT, CLOSE = 1, 2, 3, 4
 
 
 def preclean_html(html: Column) -> Column:
@@ -60,246 +38,97 @@ def token_array(html: Column) -> Column:
     return F.regexp_extract_all(preclean_html(html), F.lit(TOKEN), F.lit(0))
 
 
-def by_page(pages: DataFrame) -> DataFrame:
-    """The one shuffle of the extraction: whole pages by page_id, before they are cut.
-
-    The number of partitions is stated because a page grows by an order of magnitude
-    when it is cut, which size-based coalescing of the shuffle cannot know. Ids are never
-    null here, so that all uses plan the same shuffle, which Spark then runs once.
-    """
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return with_page_ids(pages).select("page_id", "html").repartition(n, "page_id")
-
-
 def with_page_ids(pages: DataFrame) -> DataFrame:
     """Pages without an id take one from what they hold, so that none is lost."""
     return pages.withColumn("page_id", F.coalesce("page_id", F.xxhash64(*[F.col(c) for c in ("url", "html") if c in pages.columns])))
 
 
-def page_tokens(pages: DataFrame) -> DataFrame:
-    """One slim row per token: its kind, tag and text counts, but not its text.
-
-    Texts are looked up again by position where they are needed (`page_docs`), so that
-    the sorts below move some bytes per token only. The outer explode keeps the
-    optimizer from deriving a filter on the token array, which would cut every page a
-    second time below the shuffle.
-    """
-    rows = by_page(pages).select("page_id", token_array(F.col("html")).alias("tokens"))
-    rows = rows.select("page_id", F.size("tokens").alias("n_tokens"), F.posexplode_outer("tokens").alias("at", "token"))
-    name = F.lower(F.regexp_extract("token", r"^</?([A-Za-z][A-Za-z0-9:-]*)[^>]*>", 1))
-    is_tag = F.startswith("token", F.lit("<")) & (F.col("token") != "<")
-    closing = F.startswith("token", F.lit("</"))
-    whole = F.lower(F.substring("token", -9, 9)).eqNullSafe("</script>") | F.lower(F.substring("token", -8, 8)).eqNullSafe("</style>")
-    void = F.col("tag").isin(VOID_TAGS)
-    is_text = F.col("kind") == TEXT
-    return (
-        rows.withColumn("tag", F.when(is_tag, name).otherwise(""))
-        .withColumn(
-            "kind",
-            F.when(F.col("tag") == "", F.when(~is_tag, TEXT))
+def token_facts(tokens: Column) -> Column:
+    """Per token its kind, tag, whether it starts a useless subtree, and the counts of its text."""
+
+    def named(token: Column) -> Column:
+        is_tag = F.startswith(token, F.lit("<")) & (token != "<")
+        name = F.when(is_tag, F.lower(F.regexp_extract(token, r"^</?([A-Za-z][A-Za-z0-9:-]*)[^>]*>", 1))).otherwise("")
+        return let(F.struct(is_tag.alias("is_tag"), name.alias("tag")), lambda t: kinds(token, t["is_tag"], t["tag"]))
+
+    def kinds(token: Column, is_tag: Column, tag: Column) -> Column:
+        closing = F.startswith(token, F.lit("</"))
+        whole = F.lower(F.substring(token, -9, 9)).eqNullSafe("</script>") | F.lower(F.substring(token, -8, 8)).eqNullSafe("</style>")
+        void = tag.isin(VOID_TAGS)
+        kind = (
+            F.when(tag == "", F.when(~is_tag, TEXT))
             .when(void & closing, F.lit(None))
-            .when(void | (F.col("tag").isin("script", "style") & whole & ~closing), LEAF)
+            .when(void | (tag.isin("script", "style") & whole & ~closing), LEAF)
             .when(closing, CLOSE)
-            .otherwise(OPEN),
-        )
-        .withColumn("flat", F.when(is_text, collapse_text(decode_entities(F.col("token")))).otherwise(""))
-        .withColumn("class", F.when(F.col("kind").isin(OPEN, LEAF), attribute(F.col("token"), "class")).otherwise(""))
-        .select(
-            "page_id",
-            "n_tokens",
-            (2 * F.col("at")).alias("seq"),
-            "kind",
-            "tag",
-            (F.col("tag").isin(USELESS_TAGS) | F.coalesce(F.col("class").rlike("|".join(USELESS_CLASS_WORDS)), F.lit(False))).alias("useless"),
-            F.length("flat").alias("chars"),
-            count_punctuation(F.col("flat")).alias("marks"),
+            .otherwise(OPEN)
         )
-    )
-
-
-def _ends(tokens: DataFrame) -> DataFrame:
-    """Add to every element the position where it ends; stray end tags are dropped."""
-    step = F.when(F.col("kind") == OPEN, 1).when(F.col("kind") == CLOSE, -1).otherwise(0)
-    by_tag = W.partitionBy("page_id", "tag").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    level = F.sum(step).over(by_tag) + F.when(F.col("kind") == CLOSE, 1).otherwise(0)
-    by_level = W.partitionBy("page_id", "tag", "level").orderBy("seq")
-    paired = (
-        tokens.withColumn("level", level)
-        .withColumn("after", F.lead("kind").over(by_level))
-        .withColumn("own_end", F.lead("seq").over(by_level))
-        .withColumn("before", F.lag("kind").over(by_level))
-        .withColumn("own_end", F.when((F.col("kind") == OPEN) & (F.col("after") == CLOSE), F.col("own_end")))
-        .where((F.col("kind") != CLOSE) | (F.col("before") == OPEN))
-        .drop("level", "after", "before")
-    )
-    # Depth counted over elements that have an end tag: an element without one ends
-    # no later than the first end tag seen at its own depth.
-    closes = F.when(F.col("own_end").isNotNull(), 1).when(F.col("kind") == CLOSE, -1).otherwise(0)
-    in_page = W.partitionBy("page_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    later = W.partitionBy("page_id", "around").orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, -1)
-    start = F.col("kind").isin(OPEN, LEAF)
-
-    def next_of(found: Column) -> Column:
-        return F.last(F.when(found, F.col("seq")), ignorenulls=True).over(later)
-
-    limits = F.coalesce(next_of(F.col("kind") == CLOSE), 2 * F.col("n_tokens"))
-    implied = F
-    for enders in sorted({tuple(v) for v in IMPLIED_ENDS.values()}):
-        tags = [tag for tag, by in IMPLIED_ENDS.items() if tuple(by) == enders]
-        at = next_of(start & F.col("tag").isin(list(enders)))
-        implied = implied.when(F.col("tag").isin(tags), at)
-    inline = (F.col("tag") == "p") | ~F.col("tag").isin(BLOCK_TAGS + ["html", "head", "title"])
-    implied = implied.when(inline, next_of(start & F.col("tag").isin(BLOCK_TAGS)))
-    return (
-        paired.withColumn("depth", F.sum(closes).over(in_page))
-        .withColumn("around", F.col("depth") - F.when(F.col("own_end").isNotNull(), 1).when(F.col("kind") == CLOSE, -1).otherwise(0))
-        .withColumn("limit", limits)
-        .withColumn("implied", implied)
-        .withColumn(
-            "end",
-            F.when(F.col("kind") == OPEN, F.coalesce("own_end", F.least("limit", "implied")))
-            .when(F.col("kind") == LEAF, F.col("seq") + 1),
-        )
-        .where(F.col("kind") != CLOSE)
-        .drop("depth", "around", "limit", "implied", "own_end", "n_tokens")
-    )
-
+        return let(kind, lambda kind: facts(token, tag, kind))
 
-EVENT_ORDER = ["seq", "rank"]
-BEGIN, END, INSIDE = 1, 2, 3
+    def facts(token: Column, tag: Column, kind: Column) -> Column:
+        flat = F.when(kind == TEXT, collapse_text(decode_entities(token))).otherwise("")
+        starts = kind.isin(OPEN, LEAF)
+        class_name = F.when(starts & F.contains(token, F.lit("=")), attribute(token, "class"))
+        useless = tag.isin(USELESS_TAGS) | F.coalesce(class_name.rlike("|".join(USELESS_CLASS_WORDS)), F.lit(False))
+        return let(flat, lambda text: F.struct(
+            kind.alias("kind"),
+            tag.alias("tag"),
+            (starts & useless).alias("useless"),
+            F.length(text).alias("chars"),
+            count_punctuation(text).alias("marks"),
+        ))
 
+    return F.transform(tokens, named)
 
-def _running():
-    return W.partitionBy("page_id").orderBy(*EVENT_ORDER).rowsBetween(W.unboundedPreceding, 0)
 
+def with_tokens(pages: DataFrame) -> DataFrame:
+    """Pages with their tokens, cut once, and a fact about each; only the facts go to the stack."""
+    cut = once(pages, {"tokens": token_array(F.col("html"))})
+    return once(cut, {"facts": token_facts(F.col("tokens"))})
 
-def _signed(flag: Column) -> Column:
-    """+1 where a flagged element opens, -1 where it ends."""
-    return F.when(flag & (F.col("event") == BEGIN), 1).when(flag & (F.col("event") == END), -1).otherwise(0)
 
+# The names of types in these two must be types, not strings: they tell the kind of function.
+def _raw_trees(facts: pa.Array) -> pa.Array:
+    return tree.raw_trees(facts)
 
-def _nest(events: DataFrame, totals: dict[str, Column], carried: list[str]) -> DataFrame:
-    """Pair opens and ends by depth; add node, end_seq, depth, parent_seq and totals.
 
-    `events` has (page_id, seq, rank, event): BEGIN and END of elements, INSIDE for
-    everything without extent. At one position ends (rank 0) come before opens (rank 1).
-    A total is a number per row; open rows get its sum over the rows strictly inside
-    their element. End rows get the `carried` columns of their open row.
-    """
-    in_order = W.partitionBy("page_id").orderBy(*EVENT_ORDER)
-    at_depth = W.partitionBy("page_id", "depth").orderBy(*EVENT_ORDER)
-    is_open, is_end = F.col("event") == BEGIN, F.col("event") == END
-    outside = {name: F.when(is_open, F.lead(f"_{name}").over(at_depth) - F.col(f"_{name}")) for name in totals}
-    passed = {name: F.when(is_end, F.lag(name).over(at_depth)).otherwise(F.col(name)) for name in carried}
-    return (
-        events.withColumns(
-            {
-                "depth": F.sum(_signed(F.lit(True))).over(_running()) + F.when(is_open, 0).otherwise(1),
-                # Set on first children only; siblings get it from the row before them at their depth.
-                "opener": F.when(~is_end & (F.lag("event").over(in_order) == BEGIN), F.lag("seq").over(in_order)),
-                **{f"_{name}": F.sum(value).over(_running()) for name, value in totals.items()},
-            }
-        )
-        .withColumns(
-            {
-                "node": F.when(is_end, F.lag("seq").over(at_depth)).otherwise(F.col("seq")),
-                "end_seq": F.when(is_open, F.lead("seq").over(at_depth)),
-                "parent_seq": F.coalesce(
-                    F.last("opener", ignorenulls=True).over(at_depth.rowsBetween(W.unboundedPreceding, 0)), F.lit(-1)
-                ),
-                **outside,
-                **passed,
-            }
-        )
-        .drop("opener", *[f"_{name}" for name in totals])
-    )
-
-
-def page_events(pages: DataFrame) -> DataFrame:
-    """The raw tree as events in page order, before any clean-up."""
-    is_text = F.col("kind") == TEXT
-    is_end = F.col("side") == 1
-    opened = (
-        _ends(page_tokens(pages))
-        .withColumn("places", F.when(is_text, F.array("seq")).otherwise(F.array("seq", "end")))
-        .select("page_id", "kind", "tag", "useless", "chars", "marks", F.posexplode_outer("places").alias("side", "seq"))
-        .withColumn("rank", F.when(is_end, 0).otherwise(1))
-        .withColumn("event", F.when(is_end, END).when(is_text, INSIDE).otherwise(BEGIN))
-        .drop("side", "kind")
-    )
-    counted = {
-        "elements": F.when(F.col("event") == BEGIN, 1).otherwise(0),
-        "contents": F.when(F.col("event") == END, 0).otherwise(1),
-    }
-    nested = _nest(opened, counted, ["tag", "useless"])
-    at_depth = W.partitionBy("page_id", "depth").orderBy(*EVENT_ORDER)
-    own = {
-        name: F.when(F.col("event") == END, F.lag(name).over(at_depth)).otherwise(F.col(name))
-        for name in ("elements", "contents")
-    }
-    return nested.withColumns(own)
+def _clean_trees(facts: pa.Array) -> pa.Array:
+    return tree.clean_trees(facts)
 
 
-def html_nodes(pages: DataFrame) -> DataFrame:
-    """The raw node table: one row per element, subtree = [seq, end_seq)."""
-    raw = page_events(pages).where(F.col("event") == BEGIN)
-    return raw.select("page_id", "seq", "end_seq", "tag", "depth", "parent_seq")
+for _function in (_raw_trees, _clean_trees):
+    _function.__annotations__ = {"facts": pa.Array, "return": pa.Array}
 
 
-def _flagged(events: DataFrame) -> DataFrame:
-    """Mark events inside dropped subtrees and inside paragraphs."""
-    is_end = F.col("event") == END
-    shut = F.sum(_signed(F.col("useless"))).over(_running())
-    return events.withColumn("dropped", shut + F.when(is_end & F.col("useless"), 1).otherwise(0)).withColumn(
-        "in_p", F.sum(_signed(F.col("tag") == "p")).over(_running())
-    )
+def tree_of(facts: Column) -> Column:
+    """The cleaned tree over token facts: struct (nodes, texts, points, has_body, deviation)."""
+    return F.arrow_udf(_clean_trees, tree.CLEAN_TREE)(facts)
 
 
-def _is_empty() -> Column:
-    return F.col("tag").isin(DROPPED_WHEN_EMPTY) & (F.col("contents") == 0)
+def with_trees(pages: DataFrame) -> DataFrame:
+    """Pages with `tokens` and `tree`, the struct (nodes, texts, points, has_body, deviation) of the cleaned tree."""
+    return with_tokens(pages).withColumn("tree", tree_of(F.col("facts"))).drop("facts")
 
 
-def _is_dissolved() -> Column:
-    return F.col("tag").isin("span", "strong") & (F.col("in_p") > 0)
+def _raw_nodes(pages: DataFrame) -> DataFrame:
+    rows = with_tokens(with_page_ids(pages).select("page_id", "html"))
+    return rows.select("page_id", F.inline(F.arrow_udf(_raw_trees, tree.RAW_TREE)(F.col("facts"))))
 
 
-def _new_tag() -> Column:
-    return F.when(F.col("tag").isin("div", "span") & (F.col("elements") == 0), "p").otherwise(F.col("tag"))
+def html_nodes(pages: DataFrame) -> DataFrame:
+    """The raw node table: one row per element, subtree = [seq, end_seq)."""
+    return _raw_nodes(pages).select("page_id", "seq", "end_seq", "tag", "depth", "parent_seq")
 
 
 def drop_useless_nodes(pages: DataFrame) -> DataFrame:
     """Elements outside the subtrees of useless tags and useless classes."""
-    return _flagged(page_events(pages)).where((F.col("event") == BEGIN) & (F.col("dropped") == 0)).select("page_id", "seq", "end_seq", "tag")
+    return _raw_nodes(pages).where("not useless").select("page_id", "seq", "end_seq", "tag")
 
 
 def drop_empty_nodes(pages: DataFrame) -> DataFrame:
     """Elements without the headings, sections and spans that hold nothing."""
-    raw = page_events(pages).where(F.col("event") == BEGIN)
-    return raw.where(~_is_empty()).select("page_id", "seq", "end_seq", "tag")
+    return _raw_nodes(pages).where("not empty").select("page_id", "seq", "end_seq", "tag")
 
 
 def retag_nodes(pages: DataFrame) -> DataFrame:
     """Childless div and span become p; span and strong inside p are dissolved."""
-    raw = _flagged(page_events(pages)).where(F.col("event") == BEGIN)
-    return raw.where(~_is_dissolved()).select("page_id", "seq", "tag", _new_tag().alias("new_tag"))
-
-
-def clean_events(pages: DataFrame) -> DataFrame:
-    """Events of the cleaned tree, before its intervals are measured.
-
-    Remembered elements stay as points, so that videos and scripts can be looked up
-    although their subtrees are dropped.
-    """
-    flagged = _flagged(page_events(pages))
-    is_text = F.col("event") == INSIDE
-    point = (F.col("event") == BEGIN) & F.col("tag").isin(REMEMBERED_TAGS) & (
-        (F.col("tag") == "video") | (F.col("dropped") == 1)
-    )
-    kept = (F.col("dropped") == 0) & (is_text | ~(_is_empty() | _is_dissolved()))
-    return (
-        flagged.where(kept | point)
-        .withColumn("kind", F.when(is_text, "text").when(point, "point").otherwise("node"))
-        .withColumn("event", F.when(point, INSIDE).otherwise(F.col("event")))
-        .withColumn("tag", _new_tag())
-        .select("page_id", "seq", "rank", "event", "kind", "tag", "chars", "marks")
-    )
+    return _raw_nodes(pages).where("not dissolved").select("page_id", "seq", "tag", "new_tag")

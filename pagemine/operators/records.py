@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from pagemine.functions.bind import once
 from pagemine.functions.skew import join_per_key
-from pagemine.operators.docs import body_text, node_at, node_text, outer_html, page_docs, with_content
-from pagemine.operators.dom import with_page_ids
+from pagemine.operators.docs import body_text, documented, node_at, node_text, outer_html, with_content
+from pagemine.operators.dom import with_page_ids, with_trees
 from pagemine.operators.fields import with_first_match, with_own_match, with_publish_date
 from pagemine.operators.media import content_images, content_video, with_breadcrumb
-from pagemine.operators.selectors import configured_first, drop_noise, guess_selector, selected, value_node, wrapped
+from pagemine.operators.selectors import configured_first, cut_noise, guess_selector, selected, value_node, wrapped
 from pagemine.operators.titles import first_line, with_heading_title, with_sibling_titles, with_title, with_title_node
 from pagemine.sources.rules import DEFAULT_PATTERNS, site_rule_arrays
 from pagemine.sources.schemas import FIELD_TYPES, FIELDS
@@ -38,27 +38,30 @@ def extract_records(
     `pages` holds page_id, url, html and any further columns, which are kept. With
     `rules` and a column `site`, the selectors and patterns of the page's site are used
     before anything is guessed, and its noise is cut out first. Fields that were not asked for are not computed.
+    Everything happens in the page's own row: pages with equal ids give a record each, and without
+    rules nothing is shuffled.
     """
     fields = fields or FIELDS
     unknown = set(fields) - set(FIELDS)
     if unknown:
         raise ValueError(f"unknown fields {sorted(unknown)}")
     pages = with_page_ids(pages)
+    # what is kept travels under names of its own, as extraction adds columns
+    kept = [name for name in pages.columns if name not in ("page_id", "html", *fields)]
+    docs = pages.select("page_id", "html", F.struct(*[F.col(name) for name in kept]).alias("_kept"), *(["site"] if rules is not None else []))
     if rules is not None:
-        of_site = join_per_key(pages.select("page_id", "site"), site_rule_arrays(rules), ["site"], F.col("page_id"), "left")
-        of_page = of_site.select("page_id", "rules")
+        docs = with_site_rules(docs, rules)
+    trees = with_trees(docs)
 
     def exprs(field: str, kind: str) -> Column:
         own = F.filter(F.col("rules"), lambda r: (r["field"] == field) & (r["kind"] == kind))
         return F.coalesce(F.transform(own, lambda r: r["expr"]), F.array().cast("array<string>"))
 
-    if noise:
-        pages = drop_noise(pages, page_docs(pages), noise)
-    if rules is not None:
-        pages = drop_noise(pages, page_docs(pages).join(of_page, "page_id", "left"), exprs("noise_node", "noise"))
-    docs = page_docs(pages)
+    if noise or rules is not None:
+        cut = F.concat(F.array(*[F.lit(x) for x in noise or ()]).cast("array<string>"), *([exprs("noise_node", "noise")] if rules is not None else []))
+        trees = cut_noise(documented(trees, keep=("tokens", "tree")), cut)
+    docs = documented(trees)
     if rules is not None:
-        docs = docs.join(of_page, "page_id", "left")
         configured = [f for f in fields if f in (*PATTERN_FIELDS, "publish_date")] + ["title", "content"]
         docs = once(docs, {f"set_{f}": configured_first(exprs(f, "selector")) for f in configured})
         docs = once(docs, {"channel_at": F.get(F.transform(
@@ -141,9 +144,21 @@ def extract_records(
             found,
             _field(F.concat(F.col("content_xpath"), F.lit("//video/@src")), F.coalesce(content_video(F.col("content_node")), F.lit(""))),
         )
-    records = out.select("page_id", *[columns[name].cast(FIELD_TYPES[name]).alias(name) for name in fields])
-    kept = [name for name in pages.columns if name not in ("page_id", "html", *fields)]
-    return pages.select("page_id", *kept).join(records.hint("merge"), "page_id")
+    found = {name: columns[name].cast(FIELD_TYPES[name]) for name in fields}
+    return out.select("page_id", *[F.col("_kept")[name].alias(name) for name in kept], *[value.alias(name) for name, value in found.items()])
+
+
+#: Site rules up to this many bytes are sent to all tasks; more are joined in a shuffle of the pages.
+BROADCAST_BYTES = 32 << 20
+
+
+def with_site_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Add `rules`, the rule array of the page's site; the size of all rules decides how."""
+    size = rules.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("site", "field", "kind", "expr")), F.lit(64)))).first()[0] or 0
+    arrays = site_rule_arrays(rules)
+    if size <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(arrays), "site", "left")
+    return join_per_key(pages, arrays, ["site"], F.xxhash64("page_id", "html"), "left")
 
 
 def _with_pattern_match(docs: DataFrame, name: str, text: str, own: Column | None) -> DataFrame:

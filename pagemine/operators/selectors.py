@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pagemine.functions.bind import let, once
 from pagemine.functions.skew import join_per_key
 from pagemine.functions.text import attribute
-from pagemine.operators.docs import node_at, string_value
-from pagemine.operators.dom import token_array
+from pagemine.operators.docs import documented, node_at, string_value
+from pagemine.operators.dom import token_facts, tree_of, with_trees
 
 # Inline elements that are climbed out of before a selector is built.
 CLIMBED_TAGS = ["strong", "font", "i"]
@@ -34,9 +34,7 @@ def guess_selector(node: Column) -> Column:
     """
 
     def step(n: Column) -> Column:
-        index = F.size(
-            F.filter("nodes", lambda m: (m["parent_seq"] == n["parent_seq"]) & (m["tag"] == n["tag"]) & (m["seq"] < n["seq"]))
-        )
+        index = n["nth"] - 1
         return (
             F.when(n["class"].isNotNull(), F.concat(n["tag"], F.lit('[@class="'), n["class"], F.lit('"]')))
             .when(n["id"].isNotNull(), F.concat(n["tag"], F.lit('[@id="'), n["id"], F.lit('"]')))
@@ -71,10 +69,7 @@ def value_node(value: Column) -> Column:
     """The first element whose own first text contains a value."""
 
     def holder(wanted: Column) -> Column:
-        firsts = F.filter(
-            F.filter("texts", lambda t: F.contains(t["text"], wanted)),
-            lambda t: ~F.exists("texts", lambda o: (o["parent_seq"] == t["parent_seq"]) & (o["seq"] < t["seq"])),
-        )
+        firsts = F.filter("texts", lambda t: t["first"] & F.contains(t["text"], wanted))
         return F.array_min(F.transform(firsts, lambda t: t["parent_seq"]))
 
     return node_at(let(value, lambda wanted: F.when(wanted.isNotNull(), holder(wanted))))
@@ -117,8 +112,11 @@ def _select(expr: Column) -> Column:
             )
 
         def placed(n: Column) -> Column:
+            # the tree numbers siblings of one tag; only other tests need a count of their own
+            plain = (s["name"] != "*") & ~s["by_class"] & ~s["by_id"]
             before = F.filter("nodes", lambda m: (m["parent_seq"] == n["parent_seq"]) & (m["seq"] < n["seq"]) & named(m))
-            return (s["nth"] == "") | (F.size(before) + 1 == s["nth"].cast("int"))
+            place = F.when(plain, n["nth"]).otherwise(F.size(before) + 1)
+            return F.when(s["nth"] == "", True).otherwise(place == s["nth"].cast("int"))
 
         def reached(n: Column) -> Column:
             below = F.exists(s["context"], lambda c: (c["seq"] < n["seq"]) & (n["end_seq"] <= c["end_seq"]))
@@ -233,33 +231,59 @@ def configured_first(exprs: Column) -> Column:
     return F.aggregate(exprs, nothing, lambda found, expr: F.when(found.isNotNull(), found).otherwise(tried(expr)))
 
 
-def drop_noise(pages: DataFrame, docs: DataFrame, selectors: list[str] | Column) -> DataFrame:
-    """Pages without the subtrees that the noise selectors select; no selectors, no change.
+def noise_spans(selectors: Column) -> Column:
+    """Where the subtrees lie that the selectors select: array<struct(seq, end_seq)>."""
+
+    def spans_of(selector: Column) -> Column:
+        return F.transform(_select(selector), lambda n: F.struct(n["seq"].alias("seq"), n["end_seq"].alias("end_seq")))
+
+    return F.flatten(F.transform(selectors, spans_of))
+
+
+def without_spans(tokens: Column, spans: Column) -> Column:
+    """Tokens outside the spans. A span's own end tag goes with it, by the name that the element was written with."""
+    opened, closed = r"^<([A-Za-z][A-Za-z0-9:-]*)", r"^</([A-Za-z][A-Za-z0-9:-]*)"
+
+    def named(span: Column) -> Column:
+        written = F.lower(F.regexp_extract(F.get(tokens, (span["seq"] / 2).cast("int")), opened, 1))
+        return F.struct(span["seq"].alias("seq"), span["end_seq"].alias("end_seq"), written.alias("tag"))
+
+    def outside(held: Column) -> Column:
+        def hit(token: Column, at: Column, span: Column) -> Column:
+            own_end = (2 * at == span["end_seq"]) & (F.lower(F.regexp_extract(token, closed, 1)) == span["tag"]) & (span["tag"] != "")
+            return ((2 * at >= span["seq"]) & (2 * at < span["end_seq"])) | own_end
+
+        return F.filter(tokens, lambda token, at: ~F.exists(held, lambda span: hit(token, at, span)))
+
+    return let(F.transform(spans, named), outside)
 
-    `selectors` is a list for all pages, or an array column of `docs`. The tokens of the noise
-    subtrees are cut out of the page, which is then measured as if they had never been there.
+
+def cut_noise(docs: DataFrame, selectors: Column) -> DataFrame:
+    """Documents with `tokens` and `tree` as if the subtrees that the noise selectors select had never been there.
+
+    Only documents with noise are measured anew; the facts of the others are null, which costs nothing.
+    """
+    noisy = once(docs, {"_noise": F.coalesce(noise_spans(selectors), F.array())})
+    cut = F.when(F.size("_noise") > 0, without_spans(F.col("tokens"), F.col("_noise")))
+    held = once(noisy, {"_cut": cut})
+    held = once(held, {"_facts": F.when(F.col("_cut").isNotNull(), token_facts(F.col("_cut")))})
+    again = held.withColumn("_tree", tree_of(F.col("_facts")))
+    anew = F.col("_cut").isNotNull()
+    return again.withColumns(
+        {"tokens": F.when(anew, F.col("_cut")).otherwise(F.col("tokens")), "tree": F.when(anew, F.col("_tree")).otherwise(F.col("tree"))}
+    ).drop("_noise", "_cut", "_facts", "_tree")
+
+
+def drop_noise(pages: DataFrame, selectors: list[str] | Column) -> DataFrame:
+    """Pages whose html lacks the subtrees that the noise selectors select; no selectors, no change.
+
+    `selectors` is a list for all pages, or an array column of `pages`. Rows and other columns stay as they are.
     """
     if isinstance(selectors, list):
         if not selectors:
             return pages
         selectors = F.array(*[F.lit(x) for x in selectors])
-
-    def spans_of(selector: Column) -> Column:
-        return F.transform(_select(selector), lambda n: F.struct(n["seq"].alias("seq"), n["end_seq"].alias("end_seq"), n["tag"].alias("tag")))
-
-    spans = F.flatten(F.transform(selectors, spans_of))
-    noisy = once(docs, {"_noise": spans}).select("page_id", "_noise")
-    tokens = once(pages.join(noisy, "page_id", "left"), {"_tokens": token_array(F.col("html"))})
-    # an element may have been given another tag; its end tag has the name it began with
-    written = lambda span: F.lower(F.regexp_extract(F.get("_tokens", (span["seq"] / 2).cast("int")), r"^<([A-Za-z][A-Za-z0-9:-]*)", 1))
-    tokens = once(tokens, {"_noise": F.transform("_noise", lambda span: span.withField("tag", written(span)))})
-
-    def clean(token: Column, at: Column) -> Column:
-        def hit(span: Column) -> Column:
-            own_end = (2 * at == span["end_seq"]) & (F.lower(F.regexp_extract(token, r"^</([A-Za-z][A-Za-z0-9:-]*)", 1)) == span["tag"]) & (span["tag"] != "")
-            return ((2 * at >= span["seq"]) & (2 * at < span["end_seq"])) | own_end
-
-        return F.when(F.exists(F.coalesce("_noise", F.array()), hit), "").otherwise(token)
-
-    kept = F.array_join(F.transform("_tokens", clean), "")
-    return tokens.withColumn("html", F.when(F.size("_noise") > 0, kept).otherwise(F.col("html"))).drop("_noise", "_tokens")
+    held = documented(with_trees(pages.withColumn("_html", F.col("html"))), keep=("tokens",))
+    noisy = once(held, {"_noise": F.coalesce(noise_spans(selectors), F.array())})
+    kept = F.array_join(without_spans(F.col("tokens"), F.col("_noise")), "")
+    return noisy.withColumn("html", F.when(F.size("_noise") > 0, kept).otherwise(F.col("_html"))).select(*pages.columns)

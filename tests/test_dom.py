@@ -1,4 +1,6 @@
 import math
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +8,9 @@ from pyspark.sql import functions as F
 from pagemine.functions.text import decode_entities
 from pagemine.operators import density as N
 from pagemine.operators import dom as D
+from pagemine.operators import tree
 from pagemine.operators.docs import page_docs
+from pagemine.operators.records import extract_records
 
 CASES = {
     "article": '<body><nav><a href="/a">n</a></nav><div class="art"><h1>T</h1><p>long, text.</p><p>more, text.</p></div></body>',
@@ -108,9 +112,32 @@ def test_entities(spark):
     assert df.select(decode_entities(F.col("t"))).first()[0] == "&lt; <b> 中文 &#0; &#xZ; ©\u00a0x & y"
 
 
-def test_pages_are_shuffled_once(make_pages):
-    docs = page_docs(make_pages([CASES["article"]] * 8))
-    docs.collect()
-    final = docs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    exchanges = [line for line in final.splitlines() if "Exchange" in line]
-    assert len(exchanges) == 2 and sum("ReusedExchange" in line for line in exchanges) == 1
+def test_nothing_is_shuffled(make_pages):
+    pages = make_pages([CASES["article"]] * 8)
+    for df in (page_docs(pages), extract_records(pages), N.score_top_k(pages), D.html_nodes(pages)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_crossing_and_dropped_elements_keep_whole_intervals(make_pages):
+    rng = random.Random(11)
+    names = ["div", "p", "span", "strong", "li", "td", "a", "script", "h1", "section", "b", "video", "body", "option", "header"]
+
+    def html():
+        parts = []
+        for _ in range(rng.randint(1, 40)):
+            tag, draw = rng.choice(names), rng.random()
+            parts.append(f"<{tag}>" if draw < 0.4 else f"</{tag}>" if draw < 0.7 else rng.choice(["text, here", " ", "<", "<!-- c -->", '<div class="share">']))
+        return "".join(parts)
+
+    for row in N.measured_tree(make_pages([html() for _ in range(200)])).where("kind = 'node'").collect():
+        assert row.depth >= 1 and row.end_seq > row.seq and row.ti >= row.lti >= 0 and row.tgi >= row.ltgi
+
+
+def test_a_page_of_many_nodes_takes_linear_time():
+    kinds, tags = [], []
+    for _ in range(20_000):
+        kinds += [tree.OPEN, tree.TEXT, tree.CLOSE]
+        tags += ["p", "", "p"]
+    began = time.process_time()
+    nodes, texts, _, _ = tree.clean_tree(kinds, tags, [False] * len(kinds), [3] * len(kinds), [0] * len(kinds))
+    assert len(nodes) == len(texts) == 20_000 and nodes[-1][-1] == 20_000 and time.process_time() - began < 5

@@ -52,8 +52,8 @@ def test_site_rules_come_first(spark, make_pages):
 
 def test_noise_is_cut(make_pages):
     pages = make_pages([NEWS])
-    assert drop_noise(pages, None, []) is pages
-    clean = drop_noise(pages, page_docs(pages), ['//div[@class="nav"]', "//h1"])
+    assert drop_noise(pages, []) is pages
+    clean = drop_noise(pages, ['//div[@class="nav"]', "//h1"])
     tags = [r.tag for r in measured_tree(clean).where("kind = 'node'").collect()]
     assert "h1" not in tags and "a" not in tags and tags.count("p") == 3
 

@@ -32,7 +32,7 @@ def test_suffixes_of_any_length(spark):
 
 def test_noise_without_children_loses_its_own_end_tag(make_pages):
     pages = make_pages(['<body><div id="m"><div class="ad">x</div><p>y</p></div></body>', '<body><div id="n"><p class="ad">open</div><p>z</p></body>'])
-    clean = drop_noise(pages, page_docs(pages), ['//*[@class="ad"]'])
+    clean = drop_noise(pages, ['//*[@class="ad"]'])
     html = {r.page_id: r.html for r in clean.collect()}
     assert html[0] == '<body><div id="m"><p>y</p></div></body>' and html[1] == '<body><div id="n"></div><p>z</p></body>'
     nodes = {(r.page_id, r.tag): r for r in measured_tree(clean).where("kind = 'node'").collect()}
