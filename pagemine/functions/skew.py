@@ -25,6 +25,22 @@ def join_per_key(big: DataFrame, small: DataFrame, keys: list[str], spread: Colu
     return salted.join(copies, keys + ["_salt"], how).drop("_salt")
 
 
+#: Row-per-key tables up to this many bytes are sent to all tasks.
+BROADCAST_BYTES = 32 << 20
+
+
+def attach(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """join_per_key for a table of large rows: `small` is measured first, and sent to all tasks where it is small.
+
+    The rows of `big` are then not shuffled at all. A larger `small` is joined with salts.
+    """
+    size = F.sum(F.octet_length(F.to_json(F.struct(*small.columns)))).alias("size")
+    bytes_held = small.agg(size).first()[0] or 0
+    if bytes_held <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), keys, how)
+    return join_per_key(big, small, keys, spread, how)
+
+
 def first_rows_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of every key.
 

@@ -46,16 +46,18 @@ def _own_name(a: Column) -> Column:
     return F.when(leads, F.regexp_replace(first["text"], r"[\s\x{a0}\x{3000}]+", "")).otherwise("")
 
 
-def _reads_as_path(text: Column) -> Column:
-    """True when a text holds 'A > B'; the pattern is only tried on texts with an arrow."""
+def _reads_as_path(text: Column, pattern: Column | None = None) -> Column:
+    """True when a text holds 'A > B', or the site's own pattern; the usual one is only tried on texts with an arrow."""
+    if pattern is not None:
+        return F.when(pattern.isNotNull(), F.regexp_like(text, pattern)).otherwise(_reads_as_path(text))
     return F.when(F.contains(text, F.lit(">")) | F.contains(text, F.lit("→")), text.rlike(BREADCRUMB_PATTERN)).otherwise(F.lit(False))
 
 
-def _holds_pattern(node: Column) -> Column:
-    return node.isNotNull() & ~node["tag"].isin("html", "head") & let(string_value(node), _reads_as_path)
+def _holds_pattern(node: Column, pattern: Column | None) -> Column:
+    return node.isNotNull() & ~node["tag"].isin("html", "head") & let(string_value(node), lambda text: _reads_as_path(text, pattern))
 
 
-def breadcrumb_links(container: Column) -> Column:
+def breadcrumb_links(container: Column, pattern: Column | None = None) -> Column:
     """Links with a name inside a container whose parent or grandparent reads 'A > B'.
 
     array<struct(seq, parent_seq, grand_seq, href, name)>
@@ -73,7 +75,7 @@ def breadcrumb_links(container: Column) -> Column:
         )
 
     def near_pattern(a: Column) -> Column:
-        return _holds_pattern(node_at(a["parent_seq"])) | _holds_pattern(node_at(a["grand_seq"]))
+        return _holds_pattern(node_at(a["parent_seq"]), pattern) | _holds_pattern(node_at(a["grand_seq"]), pattern)
 
     named = F.filter(F.transform(links, described), lambda a: (F.coalesce(a["href"], F.lit("")) != "") & (F.coalesce(a["name"], F.lit("")) != ""))
     return F.filter(named, near_pattern)
@@ -113,7 +115,7 @@ def breadcrumb_path(links: Column) -> Column:
     )
 
 
-def _containers(near: Column, source: int) -> Column:
+def _containers(near: Column, source: int, pattern: Column | None = None) -> Column:
     """Children of the ancestors of a node whose text reads 'A > B', with their distance.
 
     Distance 1 are the children of the node's parent; what was already looked at from
@@ -132,33 +134,38 @@ def _containers(near: Column, source: int) -> Column:
             lambda n: F.array_contains(parents, n["parent_seq"])
             & ~F.array_contains(parents, n["seq"])
             & ~n["tag"].isin("html", "head")
-            & let(F.btrim(string_value(n), F.lit("\n\t")), _reads_as_path),
+            & let(F.btrim(string_value(n), F.lit("\n\t")), lambda text: _reads_as_path(text, pattern)),
         )
         return F.transform(beside, lambda n: F.struct(F.lit(source).alias("source"), distance(n).alias("distance"), n["seq"].alias("at")))
 
     return let(F.transform(ancestors, lambda n: n["seq"]), around)
 
 
-def with_breadcrumb(docs: DataFrame, configured: Column | None = None) -> DataFrame:
+def with_breadcrumb(docs: DataFrame, configured: Column | None = None, pattern: Column | None = None) -> DataFrame:
     """Add `channel`(xpath, value, regex) from the nearest container with links.
 
     Looked for in the configured node, then near the title node, then near the content node, one ancestor
-    further out each time. Pages without any '>' or '→' are skipped at once.
+    further out each time. A site's `pattern` replaces the usual one; without it pages that hold
+    no '>' or '→' are skipped at once.
     """
     promising = F.exists("texts", lambda t: t["text"].rlike("[>→]"))
+    if pattern is not None:
+        docs = once(docs, {"_path": pattern})
+        pattern = F.col("_path")
+        promising = pattern.isNotNull() | promising
     none = F.array().cast("array<struct<source:int,distance:int,at:int>>")
     given = none if configured is None else F.when(
         configured.isNotNull(), F.array(F.struct(F.lit(0).alias("source"), F.lit(0).alias("distance"), configured["seq"].alias("at")))
     ).otherwise(none)
     spots = F.when(promising, F.concat(
         given,
-        F.when(F.col("title_node").isNotNull(), _containers(F.col("title_node"), 1)).otherwise(none),
-        F.when(F.col("content_node").isNotNull(), _containers(F.col("content_node"), 2)).otherwise(none),
+        F.when(F.col("title_node").isNotNull(), _containers(F.col("title_node"), 1, pattern)).otherwise(none),
+        F.when(F.col("content_node").isNotNull(), _containers(F.col("content_node"), 2, pattern)).otherwise(none),
     )).otherwise(none)
     held = once(docs, {"_spots": F.sort_array(spots)})
     tried = F.transform(
         "_spots",
-        lambda spot: F.transform(F.array(node_at(spot["at"])), breadcrumb_links),
+        lambda spot: F.transform(F.array(node_at(spot["at"])), lambda node: breadcrumb_links(node, pattern)),
     )
     held = once(held, {"_links": F.get(F.filter(F.flatten(tried), lambda links: F.size(links) > 0), F.lit(0))})
     held = once(held, {"_related": related_links(F.col("_links"))})
@@ -171,4 +178,4 @@ def with_breadcrumb(docs: DataFrame, configured: Column | None = None) -> DataFr
             F.lit("").alias("regex"),
         ),
     )
-    return once(held, {"channel": channel}).drop("_spots", "_links", "_related", "_common")
+    return once(held, {"channel": channel}).drop("_spots", "_links", "_related", "_common", "_path")

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemine.functions.bind import once
-from pagemine.functions.skew import join_per_key
+from pagemine.functions.skew import attach
 from pagemine.operators.docs import body_text, documented, node_at, node_text, outer_html, with_content
 from pagemine.operators.dom import with_page_ids, with_trees
 from pagemine.operators.fields import with_first_match, with_own_match, with_publish_date
 from pagemine.operators.media import content_images, content_video, with_breadcrumb
-from pagemine.operators.selectors import configured_first, cut_noise, guess_selector, selected, value_node, wrapped
+from pagemine.operators.selectors import configured_first, configured_values, cut_noise, guess_selector, selected, value_node, wrapped
 from pagemine.operators.titles import first_line, with_heading_title, with_sibling_titles, with_title, with_title_node
 from pagemine.sources.rules import DEFAULT_PATTERNS, site_rule_arrays
 from pagemine.sources.schemas import FIELD_TYPES, FIELDS
@@ -74,7 +74,8 @@ def extract_records(
         given = F.get(selected(F.col("set_content.xpath")), F.lit(0))
         docs = once(docs, {"given_content": F.when(F.col("set_content").isNotNull(), given)})
         docs = once(docs, {"content_node": F.coalesce("given_content", "content_node")})
-    docs = with_title(docs, F.col("set_title.value") if has_rules else None)
+    split = F.get(exprs("title", "pattern"), F.lit(0)) if has_rules else None
+    docs = with_title(docs, F.col("set_title.value") if has_rules else None, split)
     docs = with_heading_title(with_title_node(docs))
     out, columns = docs, {}
     if set(fields) & set(PATTERN_FIELDS):
@@ -102,7 +103,8 @@ def extract_records(
     out = once(out, {"content_xpath": content_path})
 
     if "channel" in fields:
-        out = with_breadcrumb(out, F.col("channel_root") if has_rules else None)
+        pattern = F.get(exprs("channel", "pattern"), F.lit(0)) if has_rules else None
+        out = with_breadcrumb(out, F.col("channel_root") if has_rules else None, pattern)
         columns["channel"] = F.col("channel")
     if "leadtitle" in fields or "subtitle" in fields:
         out = with_sibling_titles(out)
@@ -136,9 +138,12 @@ def extract_records(
     if "htmlcontent" in fields:
         columns["htmlcontent"] = F.when(found, _field(F.col("content_xpath"), outer_html(F.col("content_node"))))
     if "origin_image_list" in fields:
-        columns["origin_image_list"] = F.when(
-            found, _field(F.concat(F.col("content_xpath"), F.lit("//img/@src")), content_images(F.col("content_node")))
-        )
+        images = F.when(found, _field(F.concat(F.col("content_xpath"), F.lit("//img/@src")), content_images(F.col("content_node"))))
+        if has_rules:
+            out = once(out, {"set_images": configured_values(exprs("origin_image_list", "selector"))})
+            given_images = _field(F.col("set_images.xpath"), F.col("set_images.values"))
+            images = F.when(F.col("set_images").isNotNull(), given_images).otherwise(images)
+        columns["origin_image_list"] = images
     if "video_url" in fields:
         columns["video_url"] = F.when(
             found,
@@ -148,17 +153,9 @@ def extract_records(
     return out.select("page_id", *[F.col("_kept")[name].alias(name) for name in kept], *[value.alias(name) for name, value in found.items()])
 
 
-#: Site rules up to this many bytes are sent to all tasks; more are joined in a shuffle of the pages.
-BROADCAST_BYTES = 32 << 20
-
-
 def with_site_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Add `rules`, the rule array of the page's site; the size of all rules decides how."""
-    size = rules.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("site", "field", "kind", "expr")), F.lit(64)))).first()[0] or 0
-    arrays = site_rule_arrays(rules)
-    if size <= BROADCAST_BYTES:
-        return pages.join(F.broadcast(arrays), "site", "left")
-    return join_per_key(pages, arrays, ["site"], F.xxhash64("page_id", "html"), "left")
+    """Add `rules`, the rule array of the page's site."""
+    return attach(pages, site_rule_arrays(rules), ["site"], F.xxhash64("page_id", "html"), "left")
 
 
 def _with_pattern_match(docs: DataFrame, name: str, text: str, own: Column | None) -> DataFrame:

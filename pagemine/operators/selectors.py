@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemine.functions.bind import let, once
-from pagemine.functions.skew import join_per_key
+from pagemine.functions.skew import attach
 from pagemine.functions.text import attribute
 from pagemine.operators.docs import documented, node_at, string_value
 from pagemine.operators.dom import token_facts, tree_of, with_trees
@@ -186,7 +186,7 @@ def eval_selectors(docs: DataFrame, rules: DataFrame | list[tuple[str, str]]) ->
     else:
         selectors = rules.where("kind = 'selector'")
         per_site = selectors.groupBy("site").agg(F.sort_array(F.collect_set(F.struct("field", "expr"))).alias("_rules"))
-        held = join_per_key(docs, per_site, ["site"], F.col("page_id"))
+        held = attach(docs, per_site, ["site"], F.col("page_id"))
     found = F.transform(
         "_rules",
         lambda rule: F.struct(rule["field"].alias("field"), rule["expr"].alias("xpath"), select_values(rule["expr"]).alias("found")),
@@ -231,6 +231,18 @@ def configured_first(exprs: Column) -> Column:
     return F.aggregate(exprs, nothing, lambda found, expr: F.when(found.isNotNull(), found).otherwise(tried(expr)))
 
 
+def configured_values(exprs: Column) -> Column:
+    """struct(xpath, values) of the first selector that finds anything, with all it finds; null if none."""
+    nothing = F.lit(None).cast("struct<xpath:string,values:array<string>>")
+
+    def tried(expr: Column) -> Column:
+        values = F.transform(select_values(expr), lambda v: v["value"].cast("string"))
+        hit = F.filter(F.array(F.struct(expr.cast("string").alias("xpath"), values.alias("values"))), lambda t: F.size(t["values"]) > 0)
+        return F.get(hit, F.lit(0))
+
+    return F.aggregate(exprs, nothing, lambda found, expr: F.when(found.isNotNull(), found).otherwise(tried(expr)))
+
+
 def noise_spans(selectors: Column) -> Column:
     """Where the subtrees lie that the selectors select: array<struct(seq, end_seq)>."""
 

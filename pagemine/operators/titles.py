@@ -15,19 +15,20 @@ TITLE_THRESHOLD = 0.8
 HEADINGS = ["h1", "h2", "h3", "h4", "h5"]
 
 
-def split_title(title: Column) -> Column:
-    return F.element_at(F.split(title, TITLE_SPLIT, 2), 1)
+def split_title(title: Column, pattern: Column | None = None) -> Column:
+    """The part of a title before the first match of a pattern, the usual separators where it is null."""
+    return F.element_at(F.split(title, F.lit(TITLE_SPLIT) if pattern is None else F.coalesce(pattern, F.lit(TITLE_SPLIT)), 2), 1)
 
 
-def with_title(docs: DataFrame, configured: Column | None = None) -> DataFrame:
-    """Add page_title, the text of a configured selector or of <title>, and its first part."""
+def with_title(docs: DataFrame, configured: Column | None = None, pattern: Column | None = None) -> DataFrame:
+    """Add page_title, the text of a configured selector or of <title>, and its first part by the site's pattern."""
     holders = F.transform(nodes_with(["title"]), lambda n: n["seq"])
     own = F.filter("texts", lambda t: F.array_contains(F.col("title_seqs"), t["parent_seq"]))
     found = strip_blanks(F.array_join(F.transform(own, lambda t: t["text"]), ""))
     if configured is not None:
         found = F.coalesce(F.nullif(configured, F.lit("")), found)
     titled = once(once(docs, {"title_seqs": holders}), {"page_title": found})
-    return once(titled, {"title_head": split_title(F.col("page_title"))}).drop("title_seqs")
+    return once(titled, {"title_head": split_title(F.col("page_title"), pattern)}).drop("title_seqs")
 
 
 def word_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:

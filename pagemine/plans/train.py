@@ -8,11 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemine.functions import urls as U
-from pagemine.functions.skew import cut_lineage, join_per_key
-from pagemine.operators.links import cap_pages_per_site
+from pagemine.functions.skew import attach, cut_lineage, first_rows_per_key
+from pagemine.operators.dom import with_page_ids
 from pagemine.operators.mining import best_site_rule, mine_url_rules
 from pagemine.operators.records import common_selectors, extract_records, quality_gate, site_sample
-from pagemine.sources.tables import SITE_KEYS, config_rules, current_configs, publish_config, site_config_rows, site_rule_rows, upsert
+from pagemine.sources.rules import DEFAULT_ROWS, resolve_config
+from pagemine.sources.schemas import FIELD_RULES
+from pagemine.sources.tables import (
+    SITE_KEYS,
+    config_rules,
+    current_configs,
+    merge_rules,
+    publish_config,
+    site_config_rows,
+    site_rule_rows,
+    upsert,
+)
 
 
 class Trained(NamedTuple):
@@ -20,6 +31,7 @@ class Trained(NamedTuple):
     rules: DataFrame
     site_rules: DataFrame
     site_configs: DataFrame
+    field_rules: DataFrame
 
 
 def train_sites(
@@ -33,33 +45,40 @@ def train_sites(
     site_rules: DataFrame | None = None,
     site_configs: DataFrame | None = None,
 ) -> Trained:
-    """Pages (page_id, site, url, html) → records, URL rules and the two site tables.
+    """Pages (page_id, site, url, html) → records, URL rules, the two site tables and the rule rows.
 
     With the two tables of earlier runs, their newest configs serve as rules and versions
-    where none are given, fields that are not learned anew keep them, and this run's rows are
-    upserted into what is returned. All pages are taken unless `max_pages` limits those of a site. The records are
+    where none are given, rules of a kind that is not learned anew stay, and this run's rows are
+    upserted into what is returned; `field_rules` are the same rules as rows. Sites without rules
+    of their own take the built-in ones. All pages are taken unless `max_pages` limits those of a
+    site, pages without an id as well; rows repeated in full count once there. The records are
     written once and read by the mining, the filter, the selectors and the sample.
     """
+    pages = with_page_ids(pages)
     sites = pages.select("site").distinct()
-    current = None
     if site_configs is not None:
-        current = config_rules(site_configs)
-        rules = current if rules is None else rules
+        rules = config_rules(site_configs) if rules is None else rules
         versions = current_configs(site_configs).select("site", "version") if versions is None else versions
+    current = rules
+    # the built-in patterns are always tried last; of the built-in rules only noise has to be handed over
+    noise = [row for row in DEFAULT_ROWS if row[1] == "noise"]
+    nothing = pages.sparkSession.createDataFrame([], FIELD_RULES)
+    rules = resolve_config(sites, nothing if rules is None else rules.select(*FIELD_RULES.fieldNames()), noise)
     if max_pages is not None:
-        chosen = cap_pages_per_site(pages.select("site", "page_id"), max_pages)
-        pages = pages.join(chosen.select("page_id"), "page_id", "left_semi")
+        pages = _capped(pages, max_pages)
     records = extract_records(pages, rules)
     if gate:
         records = quality_gate(records)
     records = cut_lineage(records.withColumn("job_id", F.lit(job_id)))
     mined = cut_lineage(mine_url_rules(records.select("site", "url")))
     best = best_site_rule(sites, mined)
-    matching = join_per_key(records, best, ["site"], F.col("url")).where(
+    matching = attach(records, best, ["site"], F.col("url")).where(
         (F.col("article_regex") != "") & F.regexp_like("url", F.col("article_regex"))
     )
     known = sites.withColumn("version", F.lit(0)) if versions is None else sites.join(versions, "site", "left")
-    configs = publish_config(common_selectors(matching), known, current)
+    learned = cut_lineage(common_selectors(matching))
+    field_rules = merge_rules(learned, current)
+    configs = publish_config(learned, known, current)
     starts = pages.groupBy("site").agg(F.min_by(U.site_root(F.col("url")), "page_id").alias("root"))
     described = (
         configs.select("site", "version")
@@ -80,4 +99,18 @@ def train_sites(
         mined,
         new_rules if site_rules is None else upsert(site_rules, new_rules, SITE_KEYS, "version"),
         new_configs if site_configs is None else upsert(site_configs, new_configs, SITE_KEYS, "version"),
+        field_rules,
     )
+
+
+def _capped(pages: DataFrame, n: int) -> DataFrame:
+    """The first n pages of every site, by page_id and content.
+
+    Only ids and digests are ranked; pages are held against the last one of their site, so none
+    is lost and no HTML is shuffled.
+    """
+    place = F.struct(F.col("page_id"), F.md5(F.concat_ws("\n", "url", "html")).alias("digest"))
+    places = pages.select("site", place.alias("place")).distinct()
+    last = first_rows_per_key(places, ["site"], [F.col("place")], n).groupBy("site").agg(F.max("place").alias("_last"))
+    held = attach(pages, cut_lineage(last), ["site"], F.col("page_id"))
+    return held.where(place <= F.col("_last")).drop("_last")

@@ -26,31 +26,50 @@ def current_configs(configs: DataFrame) -> DataFrame:
 
 
 def config_rules(configs: DataFrame) -> DataFrame:
-    """Published configs as field_rules rows (site, field, kind, priority, expr): a config's order is its priority."""
+    """Published configs as field_rules rows (site, field, kind, priority, expr): a config's order is its priority.
+
+    The selectors of `noise_node` are noise rules.
+    """
     parsed = current_configs(configs).select("site", F.explode(F.from_json("config", _CONFIG)).alias("field", "own"))
     kinds = F.array(
-        F.struct(F.lit("selector").alias("kind"), F.col("own.XPATH").alias("exprs")),
+        F.struct(F.when(F.col("field") == "noise_node", "noise").otherwise("selector").alias("kind"), F.col("own.XPATH").alias("exprs")),
         F.struct(F.lit("pattern").alias("kind"), F.col("own.PATTERN").alias("exprs")),
     )
     rows = parsed.select("site", "field", F.inline(kinds))
     return rows.select("site", "field", "kind", F.posexplode("exprs").alias("priority", "expr"))
 
 
+RULE = ["site", "field", "kind", "priority", "expr"]
+
+
+def merge_rules(learned: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """Rule rows (site, field, kind, priority, expr) after a run.
+
+    What a run learned for a (site, field, kind) replaces the current rules there; rules of every
+    other kind stay, noise and patterns too. Learned rules are tried by `support`, where given, the
+    best supported first, then by expression.
+    """
+    support = F.col("support") if "support" in learned.columns else F.lit(0)
+    order = W.partitionBy("site", "field", "kind").orderBy(support.desc(), "expr")
+    ranked = learned.withColumn("priority", F.row_number().over(order) - 1).select(*RULE)
+    if current is None:
+        return ranked
+    kept = current.select(*RULE).join(learned.select("site", "field", "kind").distinct(), ["site", "field", "kind"], "left_anti")
+    return ranked.unionByName(kept)
+
+
 def publish_config(selectors: DataFrame, versions: DataFrame, current: DataFrame | None = None) -> DataFrame:
-    """(site, version + 1, config): the learned selectors and patterns of a site as JSON.
+    """(site, version + 1, config): the rules of a site after a run (`merge_rules`) as JSON.
 
-    Fields that this run learned replace those of the `current` rules (site, field, kind, expr);
-    current rules of other fields stay. One config is one cell by contract: it grows with the
-    distinct selectors of a site, which a page cap of the run bounds where one is set.
+    Rule rows are the store; a config is a rendering of them, one cell by contract.
     """
-    if current is not None:
-        kept = current.where("kind in ('selector', 'pattern')").join(selectors.select("site", "field").distinct(), ["site", "field"], "left_anti")
-        columns = ["site", "field", "kind", "expr"]
-        selectors = selectors.select(*columns).unionByName(kept.select(*columns))
-    per_field = selectors.groupBy("site", "field").agg(
-        F.sort_array(F.collect_list(F.when(F.col("kind") == "selector", F.col("expr")))).alias("XPATH"),
-        F.sort_array(F.collect_list(F.when(F.col("kind") == "pattern", F.col("expr")))).alias("PATTERN"),
-    )
+    rules = merge_rules(selectors, current)
+
+    def listed(*kinds: str) -> Column:
+        found = F.collect_list(F.when(F.col("kind").isin(*kinds), F.struct("priority", "expr")))
+        return F.transform(F.sort_array(found), lambda rule: rule["expr"])
+
+    per_field = rules.groupBy("site", "field").agg(listed("selector", "noise").alias("XPATH"), listed("pattern").alias("PATTERN"))
     per_site = per_field.groupBy("site").agg(
         F.sort_array(F.collect_list(F.struct("field", F.struct("XPATH", "PATTERN").alias("rules")))).alias("entries")
     )

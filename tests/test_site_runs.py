@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from pagemine.operators import records as P
 from pagemine.operators.density import measured_tree
-from pagemine.operators.docs import page_docs
+from pagemine.operators.dom import with_page_ids
 from pagemine.operators.links import extract_links, registered_domain
 from pagemine.operators.selectors import drop_noise
+from pagemine.plans import train as train_module
 from pagemine.plans.train import train_sites
 from pagemine.sources import files, tables
 from pagemine.streaming import jobs
@@ -76,6 +77,49 @@ def test_configs_are_read_back_and_keep_what_was_not_learned(spark):
     assert json.loads(second.config) == {"title": {"XPATH": ["//h2"], "PATTERN": []}, "author": {"XPATH": [], "PATTERN": ["(by .)"]}}
 
 
+def test_rules_of_kinds_that_were_not_learned_stay(spark):
+    current = spark.createDataFrame([("s", "publish_date", "pattern", 0, "(a)"), ("s", "publish_date", "selector", 0, "//i"), ("s", "noise_node", "noise", 0, "//h1")], RULES)
+    learned = spark.createDataFrame([("s", "publish_date", "selector", "//p", 1), ("s", "publish_date", "selector", "//q", 5)], "site string, field string, kind string, expr string, support long")
+    made = tables.publish_config(learned, spark.createDataFrame([("s", 3)], "site string, version int"), current).first()
+    assert made.version == 4 and json.loads(made.config) == {
+        "publish_date": {"XPATH": ["//q", "//p"], "PATTERN": ["(a)"]}, "noise_node": {"XPATH": ["//h1"], "PATTERN": []},
+    }
+    samples = spark.createDataFrame([("s", "u", "{}")], "site string, sample string, sample_values string")
+    again = tables.config_rules(tables.site_config_rows(spark.createDataFrame([made]), samples, "j", F.lit("2020-01-01 00:00:00")))
+    assert ("s", "noise_node", "noise", 0, "//h1") in {tuple(r) for r in again.collect()}
+
+
+def test_pages_with_equal_ids_give_a_record_each(spark):
+    rows = [(1, "u1", "<body><p>first, text.</p><p>more, of it.</p></body>"), (1, "u2", "<body><p>second, text.</p><p>more, too.</p></body>"), (None, "u3", None)]
+    got = P.extract_records(spark.createDataFrame(rows, "page_id long, url string, html string"), fields=["content"]).collect()
+    assert {(r.url, r.content and r.content.value) for r in got} == {("u1", "first, text.\nmore, of it."), ("u2", "second, text.\nmore, too."), ("u3", None)}
+
+
+def test_capped_pages_lose_none_without_id(spark):
+    rows = [(None, "a", "u1", "x"), (None, "a", "u2", "y"), (3, "a", "u3", "z"), (3, "a", "u3b", "z"), (4, "b", "u4", "z"), (4, "b", "u4", "z")]
+    pages = with_page_ids(spark.createDataFrame(rows, "page_id long, site string, url string, html string"))
+    assert train_module._capped(pages, 10).count() == 6
+    two = train_module._capped(pages, 2).collect()
+    assert sum(r.site == "a" for r in two) == 2 and sum(r.site == "b" for r in two) == 2
+
+
+def test_title_split_breadcrumb_and_image_rules_by_site(spark):
+    def html(mark):
+        crumb = f'<div class="nav"><a href="/n">News</a> {mark} <a href="/w">World</a></div>'
+        story = "<h1>Big headline</h1><p>Posted by x, long text, really.</p><p>And more, of it.</p>"
+        return f'<html><head><title>Big headline :: Site name</title></head><body>{crumb}<div class="art">{story}<img src="/i.png"></div><img class="top" src="/t.png"></body></html>'
+
+    rows = [(1, "a", "http://a/1", html("/")), (2, "b", "http://b/1", html("/")), (3, "b", "http://b/2", html(">"))]
+    pages = spark.createDataFrame(rows, "page_id long, site string, url string, html string")
+    rules = spark.createDataFrame([
+        ("a", "title", "pattern", 0, "::"), ("a", "channel", "pattern", 0, "[A-Za-z]+ ?/ ?[A-Za-z]+"), ("a", "origin_image_list", "selector", 0, '//img[@class="top"]/@src'),
+    ], RULES)
+    a, b, c = P.extract_records(pages, rules, fields=["title", "channel", "origin_image_list"]).orderBy("page_id").collect()
+    assert a.title.value == "Big headline" and [x.channel_name for x in a.channel.value] == ["News", "World"]
+    assert a.origin_image_list.value == ["/t.png"] and b.origin_image_list.value == ["/i.png"]
+    assert not b.channel and [x.channel_name for x in c.channel.value] == ["News", "World"]
+
+
 def test_a_second_run_uses_and_replaces_the_first(spark):
     def page(at):
         text = f'<div class="art"><h1>Story {at} today</h1><p>2020-01-0{at + 1} 10:00</p><p>Some, long text {at}; with marks. And more, more.</p></div>'
