@@ -1,9 +1,11 @@
 """Mine the regular expressions that describe a site's URLs.
 
-Everything is built from mergeable aggregates (min, max, count, bit_or), so a
-site that holds a third of all URLs is reduced map-side before any shuffle.
-Two passes are needed because the character class of the varying middle of a
-path node depends on the final common prefix and suffix of its bucket.
+One scan turns URLs into a state of whole numbers: per site, bucket, node length and
+character place the count, the smallest and the largest character and the classes of
+characters seen there. Such rows merge by sum, min, max and bitwise or, so a site that
+holds a third of all URLs is reduced map-side, batches merge without reading old URLs,
+and what a site has does not grow with its URLs. Common prefixes and suffixes, and the
+classes of what varies between them, are read off the state, all of a site in one place.
 """
 
 from __future__ import annotations
@@ -117,63 +119,122 @@ def url_buckets(urls: DataFrame) -> DataFrame:
     return url_shapes(urls).groupBy(*BUCKET).agg(F.count("*").alias("support"))
 
 
-def _position_extremes(shapes: DataFrame) -> DataFrame:
-    """Min, max, their reversed twins and the shortest node per bucket position,
-    still split by URL length so that outliers can be cut from the aggregate."""
-    rows = shapes.select(*BUCKET, "short_len", F.posexplode("nodes").alias("pos", "node"))
-    return rows.groupBy(*BUCKET, "short_len", "pos").agg(
-        F.min("node").alias("low"),
-        F.max("node").alias("high"),
-        F.min(F.reverse("node")).alias("low_rev"),
-        F.max(F.reverse("node")).alias("high_rev"),
-        F.min(F.length("node")).alias("min_len"),
-        F.count("*").alias("support"),
+#: What tells the rows of a state apart; `at` is a place in the node, the node's length standing for its end.
+STATE_KEY = [*BUCKET, "short_len", "pos", "node_len", "at"]
+STATE = "site string, n_nodes int, n_kinds int, short_len int, pos int, node_len int, at int, n long, low int, high int, mask long"
+_MARKS = "".join(CLASS_MARKS)
+
+
+def _character(c: Column) -> Column:
+    """Code point and class bit of one character: one bit per mark, one for non-ASCII characters, one for letters."""
+    code = F.ascii(c)
+    mark = F.instr(F.lit(_MARKS), c)
+    bit = (
+        F.when(mark > 0, mark - 1)
+        .when(code >= 128, WIDE_BIT)
+        .when(code.between(65, 90) | code.between(97, 122), LETTER_BIT)
     )
+    return F.struct(code.alias("code"), F.coalesce(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit), F.lit(0)).cast("bigint").alias("bit"))
+
+
+def _places(node: Column, pos: Column) -> Column:
+    """The characters of a node with their places, and its end."""
+    size = F.length(node).cast("int")
+
+    def place(c: Column, at: Column) -> Column:
+        found = _character(c)
+        return F.struct(pos.alias("pos"), size.alias("node_len"), at.alias("at"), found["code"].alias("code"), found["bit"].alias("bit"))
+
+    end = F.struct(pos.alias("pos"), size.alias("node_len"), size.alias("at"), F.lit(0).alias("code"), F.lit(0).cast("bigint").alias("bit"))
+    return F.concat(F.when(size > 0, F.transform(F.split(node, ""), place)).otherwise(F.array().cast(_PLACES)), F.array(end))
+
+
+_PLACES = "array<struct<pos:int,node_len:int,at:int,code:int,bit:bigint>>"
 
 
-def bucket_frames(shapes: DataFrame, drop_outliers: bool = True) -> DataFrame:
-    """Per bucket: support, length bounds and per position the fixed prefix and suffix."""
-    extremes = _position_extremes(shapes)
-    if drop_outliers:
-        lengths = extremes.where("pos = 0").groupBy("site", "short_len").agg(F.sum("support").alias("n"))
-        extremes = join_per_key(extremes, length_bounds(lengths), ["site"], F.col("short_len")).where(_within_bounds())
-    else:
-        extremes = extremes.withColumn("len_above", F.lit(-1.0)).withColumn("len_below", F.lit(float("inf")))
-    merged = extremes.groupBy(*BUCKET, "pos").agg(
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-        F.min("low_rev").alias("low_rev"),
-        F.max("high_rev").alias("high_rev"),
-        F.min("min_len").alias("min_len"),
-        F.sum("support").alias("support"),
-        F.first("len_above").alias("len_above"),
-        F.first("len_below").alias("len_below"),
+def mining_state(urls: DataFrame) -> DataFrame:
+    """(site, url) → the state of their sites (STATE), from one scan."""
+    shapes = url_shapes(urls).select(*BUCKET, "short_len", "nodes")
+    rows = shapes.select(*BUCKET, "short_len", F.inline(F.flatten(F.transform("nodes", _places))))
+    return rows.groupBy(*STATE_KEY).agg(
+        F.count("*").alias("n"), F.min("code").alias("low"), F.max("code").alias("high"), F.bit_or("bit").alias("mask")
     )
-    head = shared_prefix_length(F.col("low"), F.col("high"))
-    tail = shared_prefix_length(F.col("low_rev"), F.col("high_rev"))
-    return (
-        merged.withColumn("head_len", head)
-        .withColumn("tail_len", tail)
-        .withColumn(
-            "tail_len",
-            F.when((F.col("low") == F.col("high")) | (F.col("head_len") + F.col("tail_len") > F.col("min_len")), 0)
-            .otherwise(F.col("tail_len")),
-        )
-        .withColumn("prefix", F.substring("low", F.lit(1), F.col("head_len")))
-        .withColumn("suffix", F.reverse(F.substring("low_rev", F.lit(1), F.col("tail_len"))))
-        .withColumn("shortest_middle", F.col("min_len") - F.col("head_len") - F.col("tail_len"))
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """States of disjoint sets of URLs as the state of all of them."""
+    return reduce(DataFrame.unionByName, states).groupBy(*STATE_KEY).agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("mask").alias("mask")
     )
 
 
-def _middle_mask(middle: Column) -> Column:
-    """One bit per class mark, one for non-ASCII characters, one for letters."""
-    bits = [(F.contains(middle, F.lit(mark)), bit) for bit, mark in enumerate(CLASS_MARKS)]
-    bits.append((middle.rlike(f"[{NON_ASCII}]"), WIDE_BIT))
-    bits.append((middle.rlike("[A-Za-z]"), LETTER_BIT))
-    return reduce(
-        lambda mask, item: mask.bitwiseOR(F.when(item[0], F.lit(1 << item[1]).cast("bigint")).otherwise(F.lit(0).cast("bigint"))),
-        bits,
-        F.lit(0).cast("bigint"),
+def _kept_lengths(state: DataFrame) -> DataFrame:
+    """The rows of URLs whose length is no outlier at their site (`length_bounds`)."""
+    site = W.partitionBy("site")
+    url = (F.col("pos") == 0) & (F.col("at") == F.col("node_len"))
+    n, length = F.when(url, F.col("n")), F.col("short_len").cast("bigint")
+    held = state.withColumns({
+        "_n": F.sum(n).over(site), "_s1": F.sum(n * length).over(site), "_s2": F.sum(n * length * length).over(site),
+        "_lo": F.min("short_len").over(site), "_hi": F.max("short_len").over(site),
+    })
+    mean = F.col("_s1") / F.col("_n")
+    reach = 2 * F.sqrt(F.greatest(F.col("_s2") / F.col("_n") - mean * mean, F.lit(0.0)))
+    inside = (F.col("short_len") > mean - reach) & (F.col("short_len") < mean + reach)
+    return held.where((F.col("_lo") == F.col("_hi")) | inside).drop("_n", "_s1", "_s2", "_lo", "_hi")
+
+
+def _spelt(place: str, code: str, wanted: Column, descending: bool) -> Column:
+    """The characters of the wanted rows as a string, in the order of their places."""
+    codes = F.sort_array(F.collect_set(F.when(wanted, F.struct(F.col(place).alias("place"), F.col(code).alias("code")))), not descending)
+    one = lambda c: F.decode(F.unhex(F.lpad(F.hex(c["code"]), 8, "0")), "UTF-32")
+    return F.array_join(F.transform(codes, one), "")
+
+
+def bucket_frames(state: DataFrame, drop_outliers: bool = True) -> DataFrame:
+    """Per bucket position: support, what is fixed before and after, and the classes of what varies between.
+
+    All windows are inside a site, whose state is small however many URLs it has.
+    """
+    state = state.repartition("site")
+    kept = _kept_lengths(state) if drop_outliers else state
+    node = [*BUCKET, "pos"]
+    places = kept.groupBy(*node, "node_len", "at").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("mask").alias("mask")
+    )
+    is_end = F.col("at") == F.col("node_len")
+    whole = W.partitionBy(*node)
+    places = places.withColumn("back", F.col("node_len") - 1 - F.col("at")).withColumns({
+        "support": F.sum(F.when(is_end, F.col("n"))).over(whole),
+        "min_len": F.min("node_len").over(whole),
+        "max_len": F.max("node_len").over(whole),
+    })
+
+    def common(place: str) -> dict[str, Column]:
+        """Whether all nodes have the same character at a place, and which."""
+        here = W.partitionBy(*node, place)
+        inner = F.when(~is_end, F.col("n"))
+        low, high = (f(F.when(~is_end, F.col(c))).over(here) for f, c in ((F.min, "low"), (F.max, "high")))
+        return {f"{place}_code": low, f"{place}_same": ~is_end & (low == high) & (F.sum(inner).over(here) == F.col("support"))}
+
+    places = places.withColumns({**common("at"), **common("back")})
+    places = places.withColumns({
+        "head_len": F.min(F.when(~F.col("at_same"), F.col("at"))).over(whole),
+        "tail_len": F.coalesce(F.min(F.when(~is_end & ~F.col("back_same"), F.col("back"))).over(whole), F.col("min_len")),
+    })
+    # a tail longer than the shortest node allows: places beyond it lack nodes and are never common
+    fixed = (F.col("head_len") == F.col("max_len")) & (F.col("min_len") == F.col("max_len"))
+    places = places.withColumn("fixed", fixed).withColumn(
+        "tail_len",
+        F.when(F.col("fixed") | (F.col("head_len") + F.col("tail_len") > F.col("min_len")), 0).otherwise(F.col("tail_len")),
+    )
+    varies = ~is_end & (F.col("at") >= F.col("head_len")) & (F.col("back") >= F.col("tail_len"))
+    return places.groupBy(*node).agg(
+        F.max("support").alias("support"),
+        F.max("fixed").alias("fixed"),
+        F.max(F.col("min_len") - F.col("head_len") - F.col("tail_len")).alias("shortest_middle"),
+        F.coalesce(F.bit_or(F.when(varies, F.col("mask"))), F.lit(0)).cast("bigint").alias("mask"),
+        _spelt("at", "at_code", ~is_end & (F.col("at") < F.col("head_len")), False).alias("prefix"),
+        _spelt("back", "back_code", ~is_end & (F.col("back") < F.col("tail_len")), True).alias("suffix"),
     )
 
 
@@ -197,47 +258,31 @@ def _assemble_regex(mask: Column, last: Column) -> Column:
     trimmed = F.when(last, F.regexp_replace(trimmed, r"\w+$", "")).otherwise(trimmed)
     suffix = F.when(wordy, trimmed).otherwise(F.col("suffix"))
     varied = F.concat(escape_regex(F.col("prefix")), body, escape_regex(suffix))
-    fixed = F.col("low") == F.col("high")
-    return F.when(fixed & (F.col("low") == ""), F.lit(".*")).when(fixed, escape_regex(F.col("low"))).otherwise(varied)
+    fixed, prefix = F.col("fixed"), F.col("prefix")
+    return F.when(fixed & (prefix == ""), F.lit(".*")).when(fixed, escape_regex(prefix)).otherwise(varied)
 
 
 def node_regexes(urls: DataFrame, drop_outliers: bool = True) -> DataFrame:
     """One regular expression per bucket position."""
-    shapes = url_shapes(urls)
-    frames = bucket_frames(shapes, drop_outliers)
-    spans = frames.groupBy(*BUCKET).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "head_len", "tail_len"))).alias("spans"),
-        F.first("len_above").alias("len_above"),
-        F.first("len_below").alias("len_below"),
-    )
-    middles = (
-        join_per_key(shapes.drop("url"), spans, BUCKET, F.col("short_url"))
-        .where(_within_bounds())
-        .select(*BUCKET, F.explode(F.arrays_zip("spans", "nodes")).alias("at"))
-        .select(
-            *BUCKET,
-            F.col("at.spans.pos").alias("pos"),
-            F.substring(
-                F.col("at.nodes"),
-                F.col("at.spans.head_len") + 1,
-                F.length("at.nodes") - F.col("at.spans.head_len") - F.col("at.spans.tail_len"),
-            ).alias("middle"),
-        )
-    )
-    masks = middles.groupBy(*BUCKET, "pos").agg(F.bit_or(_middle_mask(F.col("middle"))).alias("mask"))
+    return state_regexes(mining_state(urls), drop_outliers)
+
+
+def state_regexes(state: DataFrame, drop_outliers: bool = True) -> DataFrame:
     last = F.col("pos") == F.col("n_nodes") - 1
-    return (
-        frames.join(masks, BUCKET + ["pos"])
-        .withColumn("regex", _assemble_regex(F.col("mask"), last))
-        .select(*BUCKET, "pos", "regex", "prefix", "suffix", "support")
-    )
+    frames = bucket_frames(state, drop_outliers)
+    return frames.withColumn("regex", _assemble_regex(F.col("mask"), last)).select(*BUCKET, "pos", "regex", "prefix", "suffix", "support")
 
 
 def mine_url_rules(urls: DataFrame, prefix: str | Column = ".*", nums: int = 5, drop_outliers: bool = True) -> DataFrame:
     """(site, url) → the best `nums` URL rules of every site, ranked by support."""
+    return state_rules(mining_state(urls), prefix, nums, drop_outliers)
+
+
+def state_rules(state: DataFrame, prefix: str | Column = ".*", nums: int = 5, drop_outliers: bool = True) -> DataFrame:
+    """The best `nums` URL rules of every site of a state."""
     start = F.lit(prefix) if isinstance(prefix, str) else prefix
     rules = (
-        node_regexes(urls, drop_outliers)
+        state_regexes(state, drop_outliers)
         .groupBy(*BUCKET)
         .agg(
             F.array_sort(F.collect_list(F.struct("pos", "regex"))).alias("parts"),

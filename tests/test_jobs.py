@@ -20,10 +20,25 @@ def test_streamed_rules_equal_batch_rules(spark, tmp_path):
         urls = stream.select(F.regexp_extract("url", "//([^/]+)", 1).alias("site"), "url")
         jobs.stream_train(urls, store, str(tmp_path / "state")).awaitTermination()
     batch = mine_url_rules(frame.select(F.regexp_extract("url", "//([^/]+)", 1).alias("site"), "url"))
+    # the store holds states, whose rows do not grow with URLs that look alike, and no URL
+    assert not (tmp_path / "store" / "urls").exists()
     key = ["site", "regex", "support", "rank"]
     assert sorted(map(tuple, jobs.latest_rules(spark, store).select(key).collect())) == sorted(map(tuple, batch.select(key).collect()))
 
 
+def test_repeated_urls_count_once_and_rules_are_upserted(spark, tmp_path):
+    source, store, table = (str(tmp_path / name) for name in ("in", "store", "table"))
+    for at, urls in enumerate((["http://a/n/1", "http://a/n/2"], ["http://a/n/2", "http://a/n/3", "http://b/x"], ["http://a/n/1"])):
+        rows = [(i, u, "") for i, u in enumerate(urls)]
+        spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.page_stream(spark, source, files_per_batch=1).select(F.regexp_extract("url", "//([^/]+)", 1).alias("site"), "url")
+        jobs.stream_train(stream, store, str(tmp_path / "state"), site_rules=table, now=F.lit("2020-01-01 00:00:00")).awaitTermination()
+    assert {(r.site, r.regex, r.support) for r in jobs.latest_rules(spark, store).collect()} == {("a", r".*/n/\d+", 3), ("b", r".*/x", 1)}
+    rows = spark.read.parquet(table)
+    last = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    assert {(r.web_name, r.article_regex, r.version) for r in last.collect()} == {("a", r".*/n/\d+", 2), ("b", r".*/x", 2)}
+
+
 def test_urls_are_processed_once_across_batches(spark, tmp_path):
     source = str(tmp_path / "in")
     for _ in range(2):
@@ -52,6 +67,12 @@ def test_train_sites_end_to_end(spark):
     assert r"//div[@class=\"art\"]" in configs["b.example"].config
 
 
+def test_mining_reads_urls_once_and_aggregates_numbers(spark):
+    urls = spark.createDataFrame([("s", "http://s/a/1")], "site string, url string")
+    plan = mine_url_rules(urls)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("Scan") == 1
+
+
 def test_core_stays_on_the_executors():
     banned = re.compile(r"\.collect\(\)|toPandas|localCheckpoint|\bF\.udf|pandas_udf|applyInPandas|mapInPandas|\.rdd\b|F\.rand\(|current_timestamp")
     for path in (ROOT / "pagemine").rglob("*.py"):
