@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from checks import inputs as I
@@ -164,7 +165,10 @@ def configured_first(spark, sf):
 def drop_noise(spark, sf):
     pages = I.pages(spark, sf)
     clean = S.drop_noise(pages, ['//*[@class="ad"]', "//nav"])
-    return measured_tree(clean).where("kind = 'node'").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    nodes = measured_tree(clean).where("kind = 'node'")
+    nodes = nodes.withColumn("at", F.row_number().over(W.partitionBy("page_id").orderBy("seq")).cast("bigint"))
+    parents = nodes.select("page_id", F.col("seq").alias("parent_seq"), F.col("at").alias("parent_at"))
+    return nodes.join(parents, ["page_id", "parent_seq"], "left").select("page_id", "at", "tag", "depth", F.coalesce("parent_at", F.lit(0)).cast("bigint").alias("parent_at"))
 
 
 def content_images(spark, sf):
@@ -204,7 +208,33 @@ def extract_records(spark, sf):
         F.col("htmlcontent.xpath").alias("content_xpath"), F.col("publish_date.value").alias("publish_date"),
         F.col("source.value").alias("source"), F.col("author.value").alias("author"),
         F.element_at(F.col("channel.value.channel_nav"), -1).alias("channel"), F.col("editor.value").alias("editor"),
-        F.col("video_url.value").alias("video_url"),
+        F.col("video_url.value").alias("video_url"), _md5(F.col("htmlcontent.value")).alias("htmlcontent"),
+        F.array_join("origin_image_list.value", " ").alias("images"), _md5(F.col("leadtitle.value")).alias("leadtitle"), _md5(F.col("subtitle.value")).alias("subtitle"),
+    )
+
+
+def extract_records_repeated_ids(spark, sf):
+    """Many pages of one id each keep their own record."""
+    pages = I.rich_pages(spark, sf).withColumn("page_id", F.col("page_id") % 50)
+    found = P.extract_records(pages, fields=["title", "content"])
+    return found.select("page_id", "url", F.col("title.value").alias("title"), _md5(F.col("content.value")).alias("content"))
+
+
+def extract_records_by_site(spark, sf):
+    """Three sites: one with a title split and a breadcrumb pattern, one with noise, one with image selectors of its own."""
+    pages = I.rich_pages(spark, sf).withColumn("site", F.concat(F.lit("s"), F.col("page_id") % 3))
+    rules = spark.createDataFrame(
+        [
+            ("s0", "title", "pattern", 0, "e"), ("s0", "channel", "pattern", 0, "never in a page"), ("s1", "noise_node", "noise", 0, '//p[@class="meta"]'),
+            ("s2", "origin_image_list", "selector", 0, "//nothing//img/@src"), ("s2", "origin_image_list", "selector", 1, "//article//img/@src"),
+        ],
+        R.FIELD_RULES,
+    )
+    found = P.extract_records(pages, rules, fields=["title", "source", "channel", "origin_image_list"])
+    images = F.when(F.col("site") == "s2", F.array_join("origin_image_list.value", " "))
+    return found.select(
+        "page_id", F.col("title.value").alias("title"), F.col("source.value").alias("source"),
+        F.element_at(F.col("channel.value.channel_nav"), -1).alias("channel"), images.alias("images"),
     )
 
 
@@ -271,8 +301,7 @@ def load_site_config(spark, sf):
     own = sites.where("site like 'www.%'").select(
         "site", F.lit("title").alias("field"), F.lit("selector").alias("kind"), F.lit(0).alias("priority"), F.lit("//h1").alias("expr")
     )
-    rules = R.resolve_config(sites, own)
-    return rules.groupBy("site", "field", "kind").agg(F.count("*").alias("n"))
+    return R.resolve_config(sites, own)
 
 
 def bump_config_version(spark, sf):
@@ -294,7 +323,11 @@ def site_run_rows(spark, sf):
 def train_sites(spark, sf):
     pages = I.rich_pages(spark, sf).withColumn("site", F.regexp_extract(U.url_host(F.col("url")), r"([^.]+\.[^.]+)$", 1))
     done = train(pages, "job", F.lit("2020-01-02 00:00:00"))
-    samples = done.site_configs.select("web_name", "sample")
+    learned = F.array_join(F.from_json(F.get_json_object("config", "$.content.XPATH"), "array<string>"), " ")
+    samples = done.site_configs.select(
+        "web_name", "sample", learned.alias("content_xpaths"), F.get_json_object("sample_values", "$.title.value").alias("sample_title"),
+        _md5(F.get_json_object("sample_values", "$.content.value")).alias("sample_content"),
+    )
     return done.site_rules.drop("updated_at").join(samples, "web_name")
 
 
@@ -322,18 +355,22 @@ def read_link_lines(spark, sf):
 
 
 def mine_link_lines(spark, sf):
-    """Over several files: every URL is under a rule that begins with its own site."""
+    """Over several files: a site's rules begin with the site."""
     folder = work_folder(spark, "lines")
     I.pages(spark, sf).repartition(3, "page_id").select("url").write.text(folder)
-    found = files.mine_link_lines(spark, folder)
-    return found.groupBy("site").agg(F.min(F.col("regex").startswith(F.col("site")).cast("int")).alias("rooted"))
+    return files.mine_link_lines(spark, folder)
+
+
+def mine_link_csv(spark, sf):
+    folder = work_folder(spark, "csv")
+    I.pages(spark, sf).select(F.col("url").alias("link"), F.lit("x").alias("other")).write.csv(folder, header=True)
+    return files.mine_link_csv(spark, folder).drop("site")
 
 
 def default_field_rules(spark, sf):
-    """The built-in rules for every host of pages, counted per kind."""
+    """The built-in rules for every host of pages."""
     hosts = I.site_pages(spark, sf).select(F.col("host").alias("site"))
-    every = R.resolve_config(hosts, R.default_rules(spark, "another site"))
-    return every.groupBy("field", "kind").agg(F.count("*").alias("n"), F.countDistinct("site").alias("n_sites"))
+    return R.resolve_config(hosts, R.default_rules(spark, "another site"))
 
 
 def read_records(spark, sf):
@@ -389,8 +426,8 @@ QUERIES = {
         node_text, body_text, outer_html, page_title, word_counts, cosine_scores, title_node, heading_title, title_value,
         sibling_titles, first_match_field, first_match_by_site, publish_date, normalize_date, eval_selectors, selector_pool,
         guess_selector, value_selector, configured_first, drop_noise, content_images, content_video, content_siblings,
-        breadcrumb, breadcrumb_path, breadcrumb_search, extract_records, selectors_only, values_only, field_projection,
+        breadcrumb, breadcrumb_path, breadcrumb_search, extract_records, extract_records_repeated_ids, extract_records_by_site, selectors_only, values_only, field_projection,
         quality_gate, common_selectors, site_sample, upsert_site_table, load_site_config, bump_config_version, site_run_rows,
-        train_sites, read_link_csv, read_link_lines, mine_link_lines, default_field_rules, read_records, write_records, write_links, stream_records, stream_dedup_urls, stream_train,
+        train_sites, read_link_csv, read_link_lines, mine_link_lines, mine_link_csv, default_field_rules, read_records, write_records, write_links, stream_records, stream_dedup_urls, stream_train,
     )
 }

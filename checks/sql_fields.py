@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+from checks.expected import AUTHOR_PATTERNS, CLIMBED_TAGS, DEFAULTS, EDITOR_PATTERNS, SOURCE_PATTERNS
 from checks.sql_dom import BLANKS, MEASURES, flat, over
 from checks.sql_urls import MINED, URLS
-from pagemine.operators.selectors import CLIMBED_TAGS
-from pagemine.sources.rules import AUTHOR_PATTERNS, EDITOR_PATTERNS, SOURCE_PATTERNS
 
 
 def lit(text: str) -> str:
@@ -168,6 +167,37 @@ def _first(text: str, patterns: list[str]) -> str:
     return "coalesce(" + ", ".join(f"nullif(regexp_extract({text}, {lit(p)}, 1), '')" for p in patterns) + ")"
 
 
+RULE_VALUES = ", ".join(f"({lit(field)}, {lit(kind)}, {at}, {lit(expr)})" for field, kind, exprs in DEFAULTS for at, expr in enumerate(exprs))
+
+KIN = """kin as (
+  select t.page_id, min(s.seq) filter (where s.seq < t.seq) as lead_seq, min(s.seq) filter (where s.seq > t.seq) as sub_seq
+  from title_nodes t join family f using (page_id, seq) join family s on s.page_id = t.page_id and s.parent_seq = f.parent_seq and s.seq <> t.seq
+  group by t.page_id
+)"""
+
+SOURCES = """inner_nodes as (
+  select c.page_id, n.seq, n.end_seq, n.tag, regexp_replace(n.token, '^<[A-Za-z][A-Za-z0-9:-]*', '<' || n.tag) as token
+  from content c join nodes n on n.page_id = c.page_id and n.seq >= c.seq and n.seq < c.end_seq
+),
+pieces as (
+  select page_id, seq as place, 1 as rank, 0 as tie, token as piece from inner_nodes
+  union all select page_id, end_seq, 0, -seq, '</' || tag || '>' from inner_nodes where end_seq > seq + 1
+  union all select c.page_id, t.seq, 1, 0, replace(replace(replace(t.text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
+    from content c join texts t on t.page_id = c.page_id and t.seq > c.seq and t.seq < c.end_seq
+),
+sources as (select page_id, md5(string_agg(piece, '' order by place, rank, tie)) as htmlcontent from pieces group by page_id),
+pictures as (
+  select c.page_id, string_agg(regexp_extract(n.token, 'src="([^"]*)"', 1), ' ' order by n.seq) as images
+  from content c join nodes n on n.tag = 'img' and n.page_id = c.page_id and n.seq > c.seq and n.seq < c.end_seq group by c.page_id
+)"""
+
+# every link once, all under one site, as the link file has them
+ALL_LINKS = URLS.replace("select page_id, url, html,", "select min(page_id) as page_id, url, '' as html,", 1).replace("as host from pages", "as host from pages group by url").replace(
+    "regexp_extract(host, '([^.]+[.][^.]+)$', 1) as site", "'' as site"
+)
+# sites as a list of links has them: scheme and host
+ROOTED = URLS.replace("regexp_extract(host, '([^.]+[.][^.]+)$', 1) as site", "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) as site")
+
 T = f"{over()}, {MEASURES}, {TITLES}, {SIMILAR}"
 R = f"{over(RICH)}, {MEASURES}, {TITLES}, {SIMILAR}, {HEADINGS}"
 
@@ -245,9 +275,13 @@ ORACLES = {
     "configured_first": f"""with {over()}, {STRINGS} select page_id, 'string(//article/h1)' as xpath, md5(arg_min(value, seq)) as digest
         from nodes join strings using (page_id, seq) where tag = 'h1' and value <> '' group by page_id""",
     "drop_noise": f"""with {over()}, noise as (
-          select page_id, seq, end_seq from nodes where class = 'ad' or tag = 'nav')
-        select page_id, tag, count(*) as n from nodes n where not exists (
-          select 1 from noise x where x.page_id = n.page_id and x.seq <= n.seq and x.end_seq > n.seq) group by all""",
+          select page_id, seq, end_seq from nodes where class = 'ad' or tag = 'nav'),
+        left_over as (
+          select n.page_id, n.seq, n.tag, f.depth, f.parent_seq, row_number() over (partition by n.page_id order by n.seq) as at
+          from nodes n join family f using (page_id, seq)
+          where not exists (select 1 from noise x where x.page_id = n.page_id and x.seq <= n.seq and x.end_seq > n.seq))
+        select l.page_id, l.at, l.tag, l.depth, coalesce(p.at, 0) as parent_at
+        from left_over l left join left_over p on p.page_id = l.page_id and p.seq = l.parent_seq""",
     "content_images": f"""with {over(RICH)}, {MEASURES} select c.page_id, coalesce(string_agg(regexp_extract(n.token, 'src="([^"]*)"', 1), ' ' order by n.seq), '') as images
         from content c left join nodes n on n.tag = 'img' and n.page_id = c.page_id and n.seq > c.seq and n.seq < c.end_seq group by c.page_id""",
     "content_video": f"""with {over(RICH)}, {MEASURES} select c.page_id, min(regexp_extract(n.token, 'src="([^"]*)"', 1)) as video
@@ -257,13 +291,25 @@ ORACLES = {
     "breadcrumb": f"with {NAMES} select page_id, first || ' ' || second as names, '/r /n' as hrefs from crumbs",
     "breadcrumb_path": f"with {NAMES} select page_id, first || '|' || first || '>' || second as navs from crumbs",
     "breadcrumb_search": f"""with {NAMES} select page_id, '//div[@class="crumb"]//a' as xpath from crumbs""",
-    "extract_records": f"""with {R}, {NAMES}, {guess('content')}, videos as (
+    "extract_records": f"""with {R}, {NAMES}, {STRINGS}, {KIN}, {SOURCES}, {guess('content')}, videos as (
           select c.page_id, min(regexp_extract(n.token, 'src="([^"]*)"', 1)) as video
           from content c join raw_nodes n on n.tag = 'video' and n.page_id = c.page_id and n.seq > c.seq and n.seq < c.end_seq group by c.page_id)
         select c.page_id, c.url, t.title_value as title, md5(m.text) as content, g.xpath as content_xpath,
           n.published as publish_date, n.second as source, '作者：张三' as author, n.first || '>' || n.second as channel, '' as editor,
-          coalesce(v.video, '') as video_url
-        from pages c join title_values t using (page_id) join content m using (page_id) join crumbs n using (page_id) join guessed g using (page_id) left join videos v using (page_id)""",
+          coalesce(v.video, '') as video_url, htmlcontent, coalesce(images, '') as images,
+          md5(coalesce(l.value, '')) as leadtitle, md5(coalesce(s.value, '')) as subtitle
+        from pages c join title_values t using (page_id) join content m using (page_id) join crumbs n using (page_id) join guessed g using (page_id) left join videos v using (page_id)
+        join sources using (page_id) left join pictures using (page_id) left join kin k using (page_id)
+        left join strings l on l.page_id = c.page_id and l.seq = k.lead_seq left join strings s on s.page_id = c.page_id and s.seq = k.sub_seq""",
+    "extract_records_repeated_ids": f"""with {R} select page_id % 50 as page_id, url, title_value as title, md5(m.text) as content
+        from title_values join content m using (page_id) join pages using (page_id)""",
+    "extract_records_by_site": f"""with {R.replace("regexp_extract(title, '^[^-_|]*') as head", "case when page_id % 3 = 0 then split_part(title, 'e', 1) else regexp_extract(title, '^[^-_|]*') end as head")}, {NAMES},
+        shots as (
+          select i.page_id, string_agg(regexp_extract(i.token, 'src="([^"]*)"', 1), ' ' order by i.seq) as images from nodes i
+          where i.tag = 'img' and exists (select 1 from nodes a where a.tag = 'article' and a.page_id = i.page_id and a.seq < i.seq and a.end_seq > i.seq) group by i.page_id)
+        select page_id, title_value as title, case when page_id % 3 = 1 then '' else n.second end as source,
+          case when page_id % 3 <> 0 then n.first || '>' || n.second end as channel, case when page_id % 3 = 2 then images end as images
+        from title_values join crumbs n using (page_id) left join shots using (page_id)""",
     "selectors_only": f"""with {R}, {guess('content')} select page_id, 'string(' || xpath || ')' as xpath, '' as regex, 2 as parts from guessed""",
     "values_only": f"""with {R} select page_id, title_value as title, md5(m.text) as content from title_values join content m using (page_id)""",
     "field_projection": f"""with {R} select page_id, title_value as title, md5(m.text) as content from title_values join content m using (page_id)""",
@@ -281,28 +327,33 @@ ORACLES = {
         firsts as (select *, row_number() over (partition by web_name, job_id order by version desc, fresh desc) as rn from every)
         select web_name, job_id, version, url from firsts where rn = 1""",
     "load_site_config": f"""with {URLS}, hosts as (select distinct host from site_pages),
-        defaults(field, kind, n) as (values ('channel', 'pattern', 1), ('title', 'pattern', 1), ('author', 'pattern', 4), ('editor', 'pattern', 4),
-          ('video_url', 'pattern', 1), ('source', 'pattern', 1), ('publish_date', 'pattern', 30), ('noise_node', 'noise', 1))
-        select host as site, field, kind, n from hosts, defaults where host not like 'www.%'
-        union all select host, 'title', 'selector', 1 from hosts where host like 'www.%'""",
+        defaults(field, kind, priority, expr) as (values {RULE_VALUES})
+        select host as site, field, kind, priority, expr from hosts, defaults where host not like 'www.%'
+        union all select host, 'title', 'selector', 0, '//h1' from hosts where host like 'www.%'""",
     "bump_config_version": f"""with {URLS}, exprs as (select site, max(page_id % 9) as v, list_sort(list(distinct '//p' || page_id % 6)) as xs from site_pages group by site)
         select site, v + 1 as version, '{{"title":{{"XPATH":["' || array_to_string(xs, '","') || '"],"PATTERN":["[-_|]"]}}}}' as config from exprs""",
     "site_run_rows": f"""with {URLS}, sites as (select site, count(*) as n, min(host) as host from site_pages group by site)
         select site as web_name, '["http://' || host || '"]' as start_urls, 1 as status, n as version, '["' || site || '"]' as allowed_domains,
                '.*' as article_regex, 'job' as job_id, '2020-01-02 00:00:00' as updated_at from sites""",
-    "train_sites": f"""with {URLS}, {MINED}, wanted as (select site, arg_min(regexp_extract(url, '^(https?://[^/?#]+)', 1), page_id) as root from site_pages group by site),
-        matching as (select p.site, min(p.page_id) as page_id from site_pages p join ranked r on r.site = p.site and r.rank = 1 and regexp_matches(p.url, r.regex) group by p.site)
+    "train_sites": f"""with {R}, {guess('content')},
+        site_urls as materialized (with {URLS} select site, url, page_id from site_pages),
+        best as materialized (with {URLS}, {MINED} select site, regex from ranked where rank = 1),
+        roots as (select site, arg_min(regexp_extract(url, '^(https?://[^/?#]+)', 1), page_id) as root from site_urls group by site),
+        matches as (select p.site, p.page_id from site_urls p join best b using (site) where regexp_matches(p.url, b.regex)),
+        matching as (select site, min(page_id) as page_id from matches group by site),
+        paths as (select site, 'string(' || xpath || ')' as path, count(*) as n from matches join guessed using (page_id) group by all),
+        learned as (select site, string_agg(path, ' ' order by n desc, path) as content_xpaths from paths group by site)
         select w.site as web_name, '["' || root || '"]' as start_urls, 1 as status, 1 as version, '["' || w.site || '"]' as allowed_domains,
-               r.regex as article_regex, 'job' as job_id, p.url as sample
-        from wanted w join ranked r on r.site = w.site and r.rank = 1 join matching m on m.site = w.site join site_pages p on p.page_id = m.page_id""",
+               b.regex as article_regex, 'job' as job_id, p.url as sample, content_xpaths, t.title_value as sample_title, md5(c.text) as sample_content
+        from roots w join best b using (site) join matching m using (site) join site_urls p on p.page_id = m.page_id
+        join learned l on l.site = w.site join title_values t on t.page_id = m.page_id join content c on c.page_id = m.page_id""",
     "read_link_csv": "select distinct url as link from pages",
     "read_link_lines": "select url as link from pages",
-    "mine_link_lines": "select distinct regexp_extract(url, '^(https?://[^/?#]+)', 1) as site, 1 as rooted from pages",
+    "mine_link_lines": f"""with {ROOTED}, {MINED} select site, site || regex[3:] as regex, n_nodes, n_kinds, support, rank from ranked where rank <= 5""",
+    "mine_link_csv": f"""with {ALL_LINKS}, {MINED} select regex, n_nodes, n_kinds, support, rank from ranked where rank <= 100""",
     "read_records": "select page_id, job_id, 't' || page_id as title from pages, (values ('one'), ('two')) as jobs(job_id)",
-    "default_field_rules": f"""with {URLS}, hosts as (select count(distinct host) as h from site_pages),
-        defaults(field, kind, n) as (values ('channel', 'pattern', 1), ('title', 'pattern', 1), ('author', 'pattern', 4), ('editor', 'pattern', 4),
-          ('video_url', 'pattern', 1), ('source', 'pattern', 1), ('publish_date', 'pattern', 30), ('noise_node', 'noise', 1))
-        select field, kind, n * h as n, h as n_sites from defaults, hosts""",
+    "default_field_rules": f"""with {URLS}, defaults(field, kind, priority, expr) as (values {RULE_VALUES})
+        select distinct host as site, field, kind, priority, expr from site_pages, defaults""",
     "write_records": "select page_id, url, 't' || page_id as title from pages",
     "write_links": "select url as value from pages",
     "stream_records": f"with {T}, {HEADINGS} select page_id, url, title_value as title, md5(m.text) as content from pages join title_values using (page_id) join content m using (page_id)",
