@@ -80,9 +80,29 @@ def token_facts(tokens: Column) -> Column:
     return F.transform(tokens, named)
 
 
+#: Inputs estimated at fewer partitions than this share of the cores are dealt to all cores.
+FEW_PARTITIONS = 0.5
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """Pages as they are read; where they are too few to give the cores a partition each, dealt out evenly.
+
+    Pages grow by an order of magnitude when they are cut, so a small file would keep one core busy
+    and leave the others idle. What Spark knows of the size decides, nothing is counted; inputs of a
+    partition's size per core are never moved.
+    """
+    spark = pages.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    # the tables read, as estimates of joins multiply
+    leaves = pages._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(at).stats().sizeInBytes())) for at in range(leaves.size()))
+    partition = int(str(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
+    return pages.repartition(cores) if size < FEW_PARTITIONS * cores * partition else pages
+
+
 def with_tokens(pages: DataFrame) -> DataFrame:
     """Pages with their tokens, cut once, and a fact about each; only the facts go to the stack."""
-    cut = once(pages, {"tokens": token_array(F.col("html"))})
+    cut = once(spread(pages), {"tokens": token_array(F.col("html"))})
     return once(cut, {"facts": token_facts(F.col("tokens"))})
 
 

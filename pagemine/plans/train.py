@@ -60,13 +60,13 @@ def train_sites(
         rules = config_rules(site_configs) if rules is None else rules
         versions = current_configs(site_configs).select("site", "version") if versions is None else versions
     current = rules
-    # the built-in patterns are always tried last; of the built-in rules only noise has to be handed over
-    noise = [row for row in DEFAULT_ROWS if row[1] == "noise"]
-    nothing = pages.sparkSession.createDataFrame([], FIELD_RULES)
-    rules = resolve_config(sites, nothing if rules is None else rules.select(*FIELD_RULES.fieldNames()), noise)
     if max_pages is not None:
         pages = _capped(pages, max_pages)
-    records = extract_records(pages, rules)
+    # the built-in patterns are always tried last; of the built-in rules only noise has to be handed over
+    noise = [row for row in DEFAULT_ROWS if row[1] == "noise"]
+    if rules is not None:
+        rules = resolve_config(sites, rules.select(*FIELD_RULES.fieldNames()), noise)
+    records = extract_records(pages, rules, noise=[row[3] for row in noise] if rules is None else None)
     if gate:
         records = quality_gate(records)
     records = cut_lineage(records.withColumn("job_id", F.lit(job_id)))

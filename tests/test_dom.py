@@ -112,8 +112,11 @@ def test_entities(spark):
     assert df.select(decode_entities(F.col("t"))).first()[0] == "&lt; <b> 中文 &#0; &#xZ; ©\u00a0x & y"
 
 
-def test_nothing_is_shuffled(make_pages):
+def test_nothing_is_shuffled(make_pages, monkeypatch):
     pages = make_pages([CASES["article"]] * 8)
+    # a small input is dealt to all cores, once
+    assert page_docs(pages)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange RoundRobin") == 1
+    monkeypatch.setattr(D, "FEW_PARTITIONS", 0)
     for df in (page_docs(pages), extract_records(pages), N.score_top_k(pages), D.html_nodes(pages)):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
