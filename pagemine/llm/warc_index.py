@@ -271,6 +271,9 @@ def find_url(directory: Directory, folder: str, url: str) -> list[tuple[dict[str
     return found
 
 
+#: Index blocks a task of the reading stage looks up, on clusters of fewer cores than that gives tasks.
+BLOCKS_A_TASK = 8
+
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -282,7 +285,8 @@ def read_captures(wanted: DataFrame, directory: DataFrame, folder: str) -> DataF
     must be those in its headers.
     """
     spark = wanted.sparkSession
-    shared = spark.sparkContext.broadcast(read_directory(directory))
+    known_blocks = read_directory(directory)
+    shared = spark.sparkContext.broadcast(known_blocks)
 
     def place(batches):
         known = shared.value
@@ -321,7 +325,10 @@ def read_captures(wanted: DataFrame, directory: DataFrame, folder: str) -> DataF
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     places = wanted.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(place, "block int, key string, page_id long")
-    return places.groupBy("block").applyInArrow(fetch, RECORD)
+    # a few bytes name a capture, while reading it is the work: the directory's size says how many tasks, not the rows'
+    blocks = len(known_blocks.blocks)
+    tasks = max(1, min(blocks, max(spark.sparkContext.defaultParallelism, -(-blocks // BLOCKS_A_TASK))))
+    return places.repartition(tasks, "block").groupBy("block").applyInArrow(fetch, RECORD)
 
 
 def _facts(headers: dict[str, str], body: bytes) -> tuple:

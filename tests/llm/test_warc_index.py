@@ -3,6 +3,7 @@ import hashlib
 
 import pytest
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from pagemine.llm import warc_index as warc
 from tests.llm.conftest import by_row
@@ -89,3 +90,11 @@ def test_directory_stays_within_its_bound(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_pages(empty, str(tmp_path)).collect() == []
+
+
+def test_reading_takes_as_many_tasks_as_the_directory_asks_for(spark, tmp_path):
+    pages = spark.createDataFrame(pages_rows(), "page_id long, url string, html string")
+    directory = warc.write_index(warc.write_archives(pages, str(tmp_path)), str(tmp_path), block_lines=7)
+    got = warc.read_captures(pages, directory, str(tmp_path))
+    tasks = got.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks >= min(4, spark.sparkContext.defaultParallelism)
