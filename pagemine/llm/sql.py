@@ -76,9 +76,9 @@ LICENSE_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
 def _op2() -> str:
-    """Brute force: every line against every template, all word sets in full."""
+    """Brute force: every window of a notice's length against the notice, all word sets in full."""
     quoted = lambda text: "'" + text.replace("'", "''") + "'"
-    notices = ", ".join(f"({at}, {quoted(label)}, {quoted(text)})" for at, (label, text) in enumerate(NOTICES))
+    notices = ", ".join(f"({at}, {quoted(label)}, {quoted(text)}, {quoted(must)})" for at, (label, text, must) in enumerate(NOTICES))
     words = LICENSE_WORDS.format(ASCII_LOWER.format("{}"))
     places = " || ".join(
         "list_transform(list_filter(range(1, len(w) + 1), lambda i: "
@@ -88,17 +88,17 @@ def _op2() -> str:
     )
     return f"""
 WITH templates AS (
-  SELECT id, label, list_distinct({words.format("notice")}) AS ws FROM (VALUES {notices}) AS t(id, label, notice)
-), needed AS (
-  SELECT id, label, len(ws) AS n, unnest(ws) AS word FROM templates
+  SELECT id, label, must, len(sequence) AS span, list_distinct(sequence) AS ws
+  FROM (SELECT id, label, must, {words.format("notice")} AS sequence FROM (VALUES {notices}) AS t(id, label, notice, must))
 ), docs AS (
-  SELECT doc_id, coalesce(text, '') AS text, coalesce({words.format("text")}, []) AS w, row_number() OVER () AS r FROM documents
-), lines AS (
-  SELECT r, i, unnest(list_distinct({words.format("ls[i]")})) AS word
-  FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT r, string_split(text, chr(10)) AS ls FROM docs))
+  SELECT doc_id, coalesce({words.format("coalesce(text, '')")}, []) AS w, row_number() OVER () AS r FROM documents
+), possible AS (
+  SELECT r, w, label, must, span, ws FROM docs, templates WHERE list_contains(w, must) AND len(list_intersect(w, ws)) >= 0.8 * len(ws)
+), ends AS (
+  SELECT r, label, must, ws, w[greatest(1, i - span + 1):i] AS held FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM possible)
 ), blocks AS (
-  SELECT l.r, l.i, t.id, t.label, count(*)::DOUBLE / any_value(t.n) AS containment
-  FROM lines l JOIN needed t ON l.word = t.word GROUP BY l.r, l.i, t.id, t.label HAVING count(*) >= 0.8 * any_value(t.n)
+  SELECT r, label, len(list_intersect(held, ws))::DOUBLE / len(ws) AS containment FROM ends
+  WHERE list_contains(held, must) AND len(list_intersect(held, ws)) >= 0.8 * len(ws)
 ), found AS (
   SELECT r, list(DISTINCT label) AS labels, max(containment) AS best FROM blocks GROUP BY r
 ), phrases AS (
@@ -115,18 +115,18 @@ FROM phrases LEFT JOIN found USING (r)
 
 #: Fixed values, restated: the notices op2 looks for.
 NOTICES = (
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("mit", "Released under the MIT License.", "mit"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "software"),
+    ("apache", "Licensed under the Apache License, Version 2.0.", "apache"),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "apache"),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3.", "gnu"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "commons"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "sharealike"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0.", "nc"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "copyright"),
 )
 
 OP3 = """
