@@ -11,7 +11,7 @@ from pagemine.operators.docs import body_text, documented, node_at, node_text, o
 from pagemine.operators.dom import with_page_ids, with_trees
 from pagemine.operators.fields import with_first_match, with_own_match, with_publish_date
 from pagemine.operators.media import content_images, content_video, with_breadcrumb
-from pagemine.operators.selectors import configured_first, configured_values, cut_noise, guess_selector, selected, value_node, wrapped
+from pagemine.operators.selectors import configured_first, configured_values, cut_noise, guess_selector, live_keys, selected, value_node, wrapped
 from pagemine.operators.titles import first_line, with_heading_title, with_sibling_titles, with_title, with_title_node
 from pagemine.sources.rules import DEFAULT_PATTERNS, site_rule_arrays
 from pagemine.sources.schemas import FIELD_TYPES, FIELDS
@@ -54,14 +54,22 @@ def extract_records(
     trees = with_trees(docs)
 
     def exprs(field: str, kind: str) -> Column:
-        own = F.filter(F.col("rules"), lambda r: (r["field"] == field) & (r["kind"] == kind))
+        def wanted(r: Column) -> Column:
+            own = (r["field"] == field) & (r["kind"] == kind)
+            return own if kind == "pattern" else own & (r["key"].isNull() | F.array_contains("_live", r["key"]))
+
+        own = F.filter(F.col("rules"), wanted)
         return F.coalesce(F.transform(own, lambda r: r["expr"]), F.array().cast("array<string>"))
 
     if noise or rules is not None:
         cut = F.concat(F.array(*[F.lit(x) for x in noise or ()]).cast("array<string>"), *([exprs("noise_node", "noise")] if rules is not None else []))
-        trees = cut_noise(documented(trees, keep=("tokens", "tree")), cut)
+        measured = documented(trees, keep=("tokens", "tree"))
+        if rules is not None:
+            measured = once(measured, {"_live": live_keys(F.col("rules.key"))})
+        trees = cut_noise(measured, cut)
     docs = documented(trees)
     if rules is not None:
+        docs = once(docs, {"_live": live_keys(F.col("rules.key"))})
         configured = [f for f in fields if f in (*PATTERN_FIELDS, "publish_date")] + ["title", "content"]
         docs = once(docs, {f"set_{f}": configured_first(exprs(f, "selector")) for f in configured})
         docs = once(docs, {"channel_at": F.get(F.transform(

@@ -83,6 +83,35 @@ def _inner(expr: Column) -> Column:
     return F.when(expr.rlike(WRAPPED), F.regexp_extract(expr, WRAPPED, 1)).otherwise(expr)
 
 
+def selector_key(expr: Column) -> Column:
+    """What a node must have to be selected: its tag, or its tag with class or id, by the last step.
+
+    Null where the last step takes any element, and for selectors outside the grammar.
+    """
+    inner = _inner(expr)
+    last = F.regexp_extract(F.regexp_replace(inner, TAIL + "$", ""), f"({STEP})$", 1)
+    name = F.regexp_extract(last, rf"^//?({_NAME}|\.\.)", 1)
+    return (
+        F.when(~inner.rlike(SELECTOR) | name.isin("*", "..", ""), F.lit(None).cast("string"))
+        .when(F.contains(last, F.lit("[@class=")), F.concat(name, F.lit("."), F.regexp_extract(last, r'\[@class="([^"]*)"\]', 1)))
+        .when(F.contains(last, F.lit("[@id=")), F.concat(name, F.lit("#"), F.regexp_extract(last, r'\[@id="([^"]*)"\]', 1)))
+        .otherwise(name)
+    )
+
+
+def node_keys() -> Column:
+    """The keys of a document's nodes, each once."""
+    named = F.transform("nodes", lambda n: n["tag"])
+    classed = F.transform(F.filter("nodes", lambda n: n["class"].isNotNull()), lambda n: F.concat(n["tag"], F.lit("."), n["class"]))
+    marked = F.transform(F.filter("nodes", lambda n: n["id"].isNotNull()), lambda n: F.concat(n["tag"], F.lit("#"), n["id"]))
+    return F.array_distinct(F.concat(named, classed, marked))
+
+
+def live_keys(keys: Column) -> Column:
+    """Those of the selectors' keys that a document has: a lookup by hash, so that only selectors that may hit are evaluated."""
+    return F.array_intersect(keys, node_keys())
+
+
 def _select(expr: Column) -> Column:
     """Nodes selected by the element steps of a selector, in page order."""
     steps = F.regexp_extract_all(F.regexp_replace(_inner(expr), TAIL + "$", ""), F.lit(f"({STEP})"), F.lit(1))
@@ -185,8 +214,10 @@ def eval_selectors(docs: DataFrame, rules: DataFrame | list[tuple[str, str]]) ->
         held = once(docs, {"_rules": pairs})
     else:
         selectors = rules.where("kind = 'selector'")
-        per_site = selectors.groupBy("site").agg(F.sort_array(F.collect_set(F.struct("field", "expr"))).alias("_rules"))
-        held = attach(docs, per_site, ["site"], F.col("page_id"))
+        keyed = F.struct("field", "expr", selector_key(F.col("expr")).alias("key"))
+        per_site = selectors.groupBy("site").agg(F.sort_array(F.collect_set(keyed)).alias("_rules"))
+        held = once(attach(docs, per_site, ["site"], F.col("page_id")), {"_live": live_keys(F.col("_rules.key"))})
+        held = once(held, {"_rules": F.filter("_rules", lambda r: r["key"].isNull() | F.array_contains("_live", r["key"]))})
     found = F.transform(
         "_rules",
         lambda rule: F.struct(rule["field"].alias("field"), rule["expr"].alias("xpath"), select_values(rule["expr"]).alias("found")),

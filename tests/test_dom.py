@@ -112,8 +112,9 @@ def test_entities(spark):
     assert df.select(decode_entities(F.col("t"))).first()[0] == "&lt; <b> 中文 &#0; &#xZ; ©\u00a0x & y"
 
 
-def test_nothing_is_shuffled(make_pages, monkeypatch):
-    pages = make_pages([CASES["article"]] * 8)
+def test_nothing_is_shuffled(spark, make_pages, tmp_path, monkeypatch):
+    make_pages([CASES["article"]] * 8).coalesce(1).write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
     # a small input is dealt to all cores, once
     assert page_docs(pages)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange RoundRobin") == 1
     monkeypatch.setattr(D, "FEW_PARTITIONS", 0)

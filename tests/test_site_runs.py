@@ -8,7 +8,7 @@ from pagemine.operators import records as P
 from pagemine.operators.density import measured_tree
 from pagemine.operators.dom import with_page_ids
 from pagemine.operators.links import extract_links, registered_domain
-from pagemine.operators.selectors import drop_noise
+from pagemine.operators.selectors import drop_noise, selector_key
 from pagemine.plans import train as train_module
 from pagemine.plans.train import train_sites
 from pagemine.sources import files, tables
@@ -120,6 +120,17 @@ def test_title_split_breadcrumb_and_image_rules_by_site(spark):
     assert not b.channel and [x.channel_name for x in c.channel.value] == ["News", "World"]
 
 
+def test_only_selectors_that_a_page_may_hold_are_tried(spark):
+    exprs = ['string(//div[@class="a b"]/h1[2])', "//ul//a/@href", '//p[@id="x"]//text()', "//div/..", "//*", "//div/*[@class='q']", '//td[@class="c"][3]']
+    keys = [r[0] for r in spark.createDataFrame([(e,) for e in exprs], "e string").select(selector_key(F.col("e"))).collect()]
+    assert keys == ["h1", "a", "p#x", None, None, None, "td.c"]
+    html = '<html><head><title>T</title></head><body><div class="art"><h1>Big headline</h1><p id="m">Long text, really.</p></div></body></html>'
+    pages = spark.createDataFrame([(1, "a", "u", html)], "page_id long, site string, url string, html string")
+    many = [("a", "title", "selector", n, f'//h1[@id="t{n}"]') for n in range(3000)] + [("a", "title", "selector", 3000, '//div[@class="art"]/h1')]
+    row = P.extract_records(pages, spark.createDataFrame(many, RULES), fields=["title"]).first()
+    assert (row.title.xpath, row.title.value) == ('//div[@class="art"]/h1', "Big headline")
+
+
 def test_a_second_run_uses_and_replaces_the_first(spark):
     def page(at):
         text = f'<div class="art"><h1>Story {at} today</h1><p>2020-01-0{at + 1} 10:00</p><p>Some, long text {at}; with marks. And more, more.</p></div>'
