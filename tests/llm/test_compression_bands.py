@@ -1,8 +1,11 @@
 import base64
 import random
 import re
+import string
 from collections import Counter
 
+import zstandard
+
 from pagemine.llm import compression_bands as bands
 from tests.llm.conftest import by_row, prose
 
@@ -49,6 +52,31 @@ def test_bands_reject_what_repeats_or_does_not_compress():
     assert judge(b"") == (None, 0.0, "empty")
 
 
+def expected(text):
+    """The whole-text verdict, from limits written down here."""
+    data = text.encode()
+    ratio = len(zstandard.ZstdCompressor(level=3).compress(data)) / len(data)
+    limits = {256: (0.40, 1.10), 1024: (0.495, 0.85), 2048: (0.46, 0.70), 8192: (0.41, 0.60), 32768: (0.384, 0.50), 10**12: (0.22, 0.50)}
+    low, high = limits[min(size for size in limits if len(data) < size)]
+    plain = sum(b < 128 for b in data) >= 0.9 * len(data)
+    return "repetitive" if ratio < low - (0 if plain else 0.15) else "incompressible" if ratio > high + (0 if plain else 0.05) else None
+
+
+def test_whole_texts_against_an_own_computation():
+    rng, judge, seen = random.Random(8), bands.Bands().judge, set()
+    for _ in range(400):
+        size = rng.choice((100, 300, 900, 1500, 4000, 12_000, 50_000))
+        pool = prose(rng, rng.choice((5, 20, 80, 300, 3000))).split(" ")
+        letters = rng.choice(("abc", "abcdefghij", "ünïcödé漢字語文章", "aé", string.ascii_letters + string.digits))
+        known = rng.choice((0.8, 0.8, 0.0))
+        words = [rng.choice(pool) if rng.random() < known else "".join(rng.choice(letters) for _ in range(5)) for _ in range(size // 5)]
+        text = " ".join(words)
+        want, (_, _, reason) = expected(text), judge(text.encode())
+        assert (reason if reason != "chunks" else None) == want
+        seen.add((want, reason))
+    assert {w for w, _ in seen} == {None, "repetitive", "incompressible"}
+
+
 def test_accepted_rows_are_those_marked(odd_table):
     kept = bands.quality_rules(odd_table).where("kept").select("doc_id").collect()
     assert by_row(bands.accepted(odd_table, ["doc_id", "text"]).select("doc_id").collect()) == by_row(kept)
