@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemine.functions import urls as U
 from pagemine.operators.links import registered_domain
 from pagemine.sources.files import read_pages
 

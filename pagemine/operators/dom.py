@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from pagemine.functions.bind import let, once
 from pagemine.functions.text import attribute, collapse_text, count_punctuation, decode_entities
 from pagemine.operators import tree
-from pagemine.operators.tree import BLOCK_TAGS, CLOSE, DROPPED_WHEN_EMPTY, IMPLIED_ENDS, LEAF, OPEN, REMEMBERED_TAGS, TEXT
-
-__all__ = ["BLOCK_TAGS", "DROPPED_WHEN_EMPTY", "IMPLIED_ENDS", "REMEMBERED_TAGS"]
+from pagemine.operators.tree import CLOSE, LEAF, OPEN, TEXT
 
 # Elements that never have content.
 VOID_TAGS = ["br", "img", "meta", "link", "input", "hr", "area", "source", "base", "col", "embed", "param", "track", "wbr"]
@@ -106,7 +104,6 @@ def with_tokens(pages: DataFrame) -> DataFrame:
     return once(cut, {"facts": token_facts(F.col("tokens"))})
 
 
-# The names of types in these two must be types, not strings: they tell the kind of function.
 def _raw_trees(facts: pa.Array) -> pa.Array:
     return tree.raw_trees(facts)
 
@@ -115,10 +112,6 @@ def _clean_trees(facts: pa.Array) -> pa.Array:
     return tree.clean_trees(facts)
 
 
-for _function in (_raw_trees, _clean_trees):
-    _function.__annotations__ = {"facts": pa.Array, "return": pa.Array}
-
-
 def tree_of(facts: Column) -> Column:
     """The cleaned tree over token facts: struct (nodes, texts, points, has_body, deviation)."""
     return F.arrow_udf(_clean_trees, tree.CLEAN_TREE)(facts)

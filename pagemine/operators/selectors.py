@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from pagemine.functions.bind import let, once
 from pagemine.functions.skew import attach
-from pagemine.functions.text import attribute
 from pagemine.operators.docs import documented, node_at, string_value
 from pagemine.operators.dom import token_facts, tree_of, with_trees
 
