@@ -7,6 +7,8 @@ with equal ids stay apart; one page is the unit of work.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,12 +106,12 @@ def with_tokens(pages: DataFrame) -> DataFrame:
     return once(cut, {"facts": token_facts(F.col("tokens"))})
 
 
-def _raw_trees(facts: pa.Array) -> pa.Array:
-    return tree.raw_trees(facts)
+def _raw_trees(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return tree.raw_trees(batches)
 
 
-def _clean_trees(facts: pa.Array) -> pa.Array:
-    return tree.clean_trees(facts)
+def _clean_trees(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return tree.clean_trees(batches)
 
 
 def tree_of(facts: Column) -> Column:

@@ -3,17 +3,22 @@
 The input is one short fact per token (kind, tag, whether it is useless, counts of its text), never
 the HTML itself; the output is the node, text and point arrays of the page. So a page keeps its
 row: nothing is shuffled, pages with equal ids stay apart, and a page costs time in its tokens.
+A batch of pages is worked off in runs, and each run is handed back before the next is unpacked.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 
 OPEN, LEAF, TEXT, CLOSE = 1, 2, 3, 4
 
+#: Tokens that a worker holds as Python objects at a time, or one page where it has more.
+RUN_TOKENS = 1 << 15
+
 # Elements that end an open paragraph or an open inline element.
 BLOCK_TAGS = [
     "address", "article", "aside", "blockquote", "body", "dd", "div", "dl", "dt", "fieldset", "figure", "footer", "form",
@@ -229,8 +234,26 @@ def _listed(pages: list[list], fields: list[tuple[str, pa.DataType]]) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=empty)
 
 
+def _runs(facts: pa.Array) -> Iterator[pa.Array]:
+    """The pages of a batch in order, in runs of at most RUN_TOKENS tokens; a page is never cut."""
+    start = held = 0
+    for at, size in enumerate(facts.value_lengths().to_pylist()):
+        size = size or 0
+        if at > start and held + size > RUN_TOKENS:
+            yield facts.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    if start < len(facts):
+        yield facts.slice(start)
+
+
+def _over_runs(batches: Iterator[pa.Array], work: Callable[[pa.Array], pa.Array]) -> Iterator[pa.Array]:
+    """`work` of every run of every batch. No run or batch is held longer than it is worked on."""
+    return map(work, chain.from_iterable(map(_runs, batches)))
+
+
 def _over_pages(facts: pa.Array, work: Callable[..., object]) -> list:
-    """`work(kinds, tags, useless, chars, marks)` of every page of a batch; null facts give None."""
+    """`work(kinds, tags, useless, chars, marks)` of every page of a run; null facts give None."""
     flat = facts.flatten()
     columns = [flat.field(name).to_pylist() for name in ("kind", "tag", "useless", "chars", "marks")]
     out, at = [], 0
@@ -244,17 +267,21 @@ def _over_pages(facts: pa.Array, work: Callable[..., object]) -> list:
     return out
 
 
-def raw_trees(facts: pa.Array) -> pa.Array:
+def raw_trees(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Per page the nodes of its raw tree, as RAW; `useless` says whether a node lies in a useless subtree or is one."""
 
     def work(kinds, tags, useless, chars, marks):
         return [(*node[:6], node[6] > 0, *node[7:]) for node in raw_tree(kinds, tags, useless)[0]]
 
-    return _listed(_over_pages(facts, work), RAW)
+    return _over_runs(batches, lambda facts: _listed(_over_pages(facts, work), RAW))
 
 
-def clean_trees(facts: pa.Array) -> pa.Array:
+def clean_trees(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Per page a struct (nodes, texts, points, has_body, deviation) of its cleaned tree."""
+    return _over_runs(batches, _clean_run)
+
+
+def _clean_run(facts: pa.Array) -> pa.Array:
     trees = _over_pages(facts, clean_tree)
     parts = [[None if tree is None else tree[at] for tree in trees] for at in range(3)]
     facts = [(None, None) if tree is None else tree[3] for tree in trees]

@@ -1,7 +1,9 @@
 import math
 import random
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +147,39 @@ def test_a_page_of_many_nodes_takes_linear_time():
     began = time.process_time()
     nodes, texts, _, _ = tree.clean_tree(kinds, tags, [False] * len(kinds), [3] * len(kinds), [0] * len(kinds))
     assert len(nodes) == len(texts) == 20_000 and nodes[-1][-1] == 20_000 and time.process_time() - began < 5
+
+
+FACTS = pa.list_(pa.struct([("kind", pa.int32()), ("tag", pa.string()), ("useless", pa.bool_()), ("chars", pa.int32()), ("marks", pa.int32())]))
+PARAGRAPH = [(kind, tag, False, 3, 1) for kind, tag in ((tree.OPEN, "p"), (tree.TEXT, ""), (tree.CLOSE, "p"))]
+
+
+def facts_of(pages):
+    names = [field.name for field in FACTS.value_type]
+    return pa.array([page if page is None else [dict(zip(names, fact)) for fact in page] for page in pages], FACTS)
+
+
+@pytest.mark.parametrize("build", [tree.clean_trees, tree.raw_trees])
+def test_batches_are_worked_off_in_runs(monkeypatch, build):
+    monkeypatch.setattr(tree, "RUN_TOKENS", 30)
+    pages = [None, [], PARAGRAPH * 2, PARAGRAPH * 10, PARAGRAPH * 4, None, PARAGRAPH * 40, [], PARAGRAPH, PARAGRAPH * 9, PARAGRAPH * 8]
+    batches = [facts_of(pages[:7]), facts_of([]), facts_of(pages)[7:]]
+    done = list(build(iter(batches)))
+    assert [len(run) for run in done] == [3, 1, 2, 1, 3, 1]
+    alone = [build(iter([facts_of([page])])) for page in pages]
+    assert [row for run in done for row in run.to_pylist()] == [row for one in alone for run in one for row in run.to_pylist()]
+    assert [len(run) for run in build(iter([facts_of([None] * 3)]))] == [3]
+
+
+def test_python_objects_do_not_grow_with_the_batch(monkeypatch):
+    monkeypatch.setattr(tree, "RUN_TOKENS", 3_000)
+
+    def peak(n_pages):
+        batch = facts_of([PARAGRAPH * 50] * n_pages)
+        tracemalloc.start()
+        rows = sum(map(len, tree.clean_trees(iter([batch]))))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == n_pages
+        return most
+
+    assert peak(400) < 1.5 * peak(40)
